@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .bpe import SAFE, Merger
 from .common import Memo
 
 #: ASCII white space, at which every pre-token of the vocabulary ends.
 SPACE = re.compile(r"[ \t\n\r]+")
+#: Pre-tokens of lower-case texts of SAFE characters.
+SAFE_PRE_TOKEN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+""")
 #: Remainders that are spread at once; with it the memory of a task is bounded.
 GROUP = 1024
 
@@ -120,7 +123,16 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 2048, key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.from_file(path)
         # White space only parts words in this vocabulary, so that runs of other characters are encoded each for itself.
-        memo = Memo(lambda w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), most=500_000)
+        merger = Merger(path)
+
+        def encoded(word: str) -> bytes:
+            if SAFE.fullmatch(word) and "<|" not in word:
+                ids = [i for piece in SAFE_PRE_TOKEN.findall(word.lower()) for i in merger.ids(piece)]
+            else:
+                ids = tokenizer.encode(word, add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes()
+
+        memo = Memo(encoded, most=500_000)
         number = TaskContext.get().partitionId() << 32
         rest: list[tuple] = []  # key, start, ids, doc_tokens of remainders
         rows: list[tuple] = []

@@ -6,6 +6,7 @@ offline, with a Spark job over the vocabulary, which do. `count_tokens` then cou
 that is such a string as one, at the price of one look-up, and merges only the rest.
 """
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,25 +17,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .bpe import SAFE, Merger, byte_of_symbol
 from .common import Memo
 
 #: How a byte-level tokenizer of this family cuts a text into pre-tokens (a fixed value of the format).
 PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: The same for texts of SAFE characters, where it is faster.
+SAFE_PRE_TOKEN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
 #: A vocabulary larger than this is refused: the proved strings are sent to every executor.
 LARGEST_VOCABULARY = 1_000_000
 
 
-def _byte_of_symbol() -> dict[str, int]:
-    """The byte for which each symbol of a byte-level vocabulary stands: printable Latin-1
-    characters stand for themselves, the other bytes for the characters from 256 on, in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def whole_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The vocabulary strings that are one pre-token and encode alone as one token: (piece)."""
-    symbols = _byte_of_symbol()
+    symbols = byte_of_symbol()
     pieces = []
     for token in Tokenizer.from_file(path).get_vocab(with_added_tokens=False):
         try:
@@ -71,13 +67,19 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", tokens: str = "
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = Tokenizer.from_file(path)
-        merged = Memo(lambda piece: len(tokenizer.encode(piece, add_special_tokens=False).ids), fixed=dict.fromkeys(proved.value, 1))
+        merger = Merger(path)
+
+        def merge(piece: str) -> int:
+            return len(merger.ids(piece) if SAFE.fullmatch(piece) else tokenizer.encode(piece, add_special_tokens=False).ids)
+
+        counted = Memo(merge, fixed=dict.fromkeys(proved.value, 1))
 
         def of(value: str | None) -> int:
             if not value:
                 return 0
+            pattern = SAFE_PRE_TOKEN if SAFE.fullmatch(value) else PRE_TOKEN
             parts = special.split(value) if special is not None else [value]
-            return len(parts) - 1 + sum(sum(map(merged.__getitem__, PRE_TOKEN.findall(part))) for part in parts)
+            return len(parts) - 1 + sum(sum(map(counted.__getitem__, pattern.findall(part))) for part in parts)
 
         for series in batches:
             yield pd.Series([of(x) for x in series], dtype="int64")
