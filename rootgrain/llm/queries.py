@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, packing, quality, tokencount
+from . import decontam, licenses, packing, quality, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.fit(docs, table(spark, sf_dir, "labels")).score(docs)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    response = F.col("response")
+    digest = F.when(F.col("record_type") == "revisit", F.substring_index(response["declared_digest"], ":", -1)).otherwise(response["payload_digest"])
+    return read.select("page_id", response["http_length"].alias("payload_bytes"), digest.alias("payload_digest"), "record_type", response["refers_to_page"].cast("long").alias("refers_to"), "target_uri", F.col("request")["record_id"].alias("request_id"), F.size("metadata").alias("n_metadata"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -39,6 +52,8 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
     "op10_decontamination": op10_decontamination,
 }
