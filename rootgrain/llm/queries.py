@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, ngramjoin, packing, quality, tokencount, toxicity, warc
+from . import decontam, licenses, linededup, ngramjoin, packing, quality, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = linededup.line_dedup(table(spark, sf_dir, "documents"))
+    return deduped.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
+    "op8_line_dedup": op8_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
@@ -67,4 +73,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op4_quality_rules": quality.oracle_sql(),
+    "op8_line_dedup": linededup.oracle_sql(),
 }
