@@ -1,14 +1,14 @@
 """Helpers that the operators share: shared-folder tables, word splitting, word hashes."""
 
-from __future__ import annotations
-
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of code points other than space and the ASCII controls 9 to 13.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,6 +59,32 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: Bits of the fixed-size filter of maybe_in.
+FILTER_BITS = 1 << 24
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, of: Column) -> Column:
+    """A condition on df that holds wherever `key` occurs in keys as `of`, and by chance elsewhere.
+
+    The filter has one bit for each of FILTER_BITS hash values, whatever the size of keys: 2 MB go
+    through the driver. It keeps rows that cannot match out of a shuffle; a join still decides.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    at = keys.select((bit(of) + 1).alias("at"))
+    rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    some = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for r in rows:
+        some[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+    sent = df.sparkSession.sparkContext.broadcast(some.ravel())
+
+    @F.pandas_udf("boolean")
+    def maybe(bits: pd.Series) -> pd.Series:
+        b = bits.to_numpy()
+        return pd.Series((sent.value[b >> 3] >> (b & 7) & 1).astype(bool))
+
+    return maybe(bit(key))
+
+
 class Memo(dict):
     """A dictionary that computes what it lacks and never holds more than `most` entries of up to `longest` characters."""
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, WORD, Memo, stored, windows, word_hash
+from .common import ASCII_LOWER, WORD, Memo, maybe_in, stored, windows, word_hash
 from .components import components
 
 #: A shingle in this many documents goes to the end of the order.
@@ -43,7 +43,6 @@ GROUP_BYTES = 12_000_000
 BLOCK = 128
 #: Candidates of a set in one other component, in the rounds of comparison after the pivot's; the last round takes all.
 ROUNDS = (4, 64, None)
-FILTER_BITS = 1 << 24
 
 _lower = Memo(lambda w: word_hash(w.translate(ASCII_LOWER)))
 
@@ -237,20 +236,8 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links, by exact intersection."""
-    spark = pairs.sparkSession
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("s")).select(bit("s").alias("bit"))
-    rows = involved.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")).collect()
-    some = np.zeros((FILTER_BITS // 32768 + 1, 4096), np.uint8)  # of fixed size, whatever the number of pairs
-    for r in rows:
-        some[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
-    sent = spark.sparkContext.broadcast(some.ravel())
-
-    @F.pandas_udf("boolean")
-    def maybe(bits: pd.Series) -> pd.Series:
-        b = bits.to_numpy()
-        # bucket numbers start at 1, bit positions within 4096 bytes at 0
-        return pd.Series((sent.value[b >> 3] >> (b & 7) & 1).astype(bool))
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("s"))
+    own = sets.where(maybe_in(sets, F.col("set"), involved, F.col("s"))).select("set", "tokens")
 
     @F.pandas_udf("boolean")
     def link(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -260,7 +247,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * ((len(x) + len(y)) // 6 - both))
         return pd.Series(out, dtype=bool)
 
-    own = sets.where(maybe(bit("set"))).select("set", "tokens")
     joined = pairs.join(own.toDF("a", "ta"), "a").join(own.toDF("b", "tb"), "b")
     return joined.where(link("ta", "tb")).select("a", "b")
 
