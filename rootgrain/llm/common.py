@@ -85,6 +85,16 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, of: Column) -> Column:
     return maybe(bit(key))
 
 
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """df less the rows whose key is in `gone` (one column); rows with a null key stay. Only rows that
+    the filter cannot clear are shuffled."""
+    name, hit = fresh(df, "_gone", "_hit")
+    gone = gone.toDF(name).where(F.col(name).isNotNull()).distinct()
+    marked = df.withColumn(hit, F.coalesce(maybe_in(df, F.col(key), gone, F.col(name)), F.lit(False)))
+    rest = marked.where(F.col(hit)).join(gone, F.col(key) == F.col(name), "left_anti")
+    return marked.where(~F.col(hit)).unionByName(rest).drop(hit)
+
+
 class Memo(dict):
     """A dictionary that computes what it lacks and never holds more than `most` entries of up to `longest` characters."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, windows, word_hash
+from .common import Memo, stored, windows, without, word_hash
 
 #: Places that count are 1. Each mask bears another spacing of substitutions.
 MASKS = ("1110011", "11010011", "110010101", "1010110001", "11111")
@@ -126,4 +126,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_equ
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """docs without the documents that hold a verified overlap; rows with a null key stay."""
-    return docs.join(overlaps(docs, benchmark, key=key, **how).select(key).distinct(), key, "left_anti").select(*docs.columns)
+    return without(docs, key, stored(overlaps(docs, benchmark, key=key, **how).select(key).distinct(), "leaks"))

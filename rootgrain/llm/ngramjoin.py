@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, WORD, Memo, maybe_in, stored, windows, word_hash
+from .common import ASCII_LOWER, WORD, Memo, maybe_in, stored, windows, without, word_hash
 from .components import components
 
 #: A shingle in this many documents goes to the end of the order.
@@ -324,6 +324,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """docs with one document of each component, that with the smallest key; of rows with that key, all."""
-    keep = near_duplicates(docs, key, **how).where(F.col(key).eqNullSafe(F.col("component_id")) | F.col(key).isNull()).select(key).distinct()
-    return docs.join(keep.withColumnRenamed(key, "_keep"), docs[key].eqNullSafe(F.col("_keep")), "left_semi")
+    """docs with one document of each component, that with the smallest key; rows with a null key,
+    and all rows with that key, stay."""
+    found = near_duplicates(docs, key, **how)
+    return without(docs, key, stored(found.where(F.col(key) != F.col("component_id")).select(key), "copies"))
