@@ -8,7 +8,7 @@ is rejected. Rules on the single text come first.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh
+from .common import SPACES, fresh, stored
 
 #: Rules of the single text.
 MIN_WORDS = 50
@@ -94,9 +94,9 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     more rows than the limit are joined back, and of those the distinct documents are counted.
     """
     line = ["_host", "_h1", "_h2"]
-    rows = line_rows(docs.where(F.col(key).isNotNull()), key, text, host)
+    rows = stored(line_rows(docs.where(F.col(key).isNotNull()), key, text, host), "lines")
     often = rows.groupBy(*line).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max_documents).drop("_rows")
-    held = rows.join(often, line).groupBy(*line, "_key").agg(F.sum("_n").alias("_n"))
+    held = stored(rows.join(often, line).groupBy(*line, "_key").agg(F.sum("_n").alias("_n")), "often")
     frequent = held.groupBy(*line).agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_documents).drop("_docs")
     lost = held.join(frequent, line).groupBy("_key").agg(F.sum("_n").alias("_lost"))
     copies = docs.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_copies"))
