@@ -27,7 +27,7 @@ def line_sequence(docs: DataFrame, key: str, text: str) -> DataFrame:
     split = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("line", "s"))
     own = split.select("k", "th", "line", F.regexp_replace("s", rf"^{SPACES}|{SPACES}$", "").alias("s")).where("s <> ''")
     hashed = own.select("k", "th", "line", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), F.size(F.split("s", SPACES)).alias("w"))
-    place = F.row_number().over(Window.partitionBy("k", "th").orderBy("line"))
+    place = F.dense_rank().over(Window.partitionBy("k", "th").orderBy("line"))  # rows of equal key and text are one
     return hashed.withColumn("i", place)
 
 
@@ -83,7 +83,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
 
     A run is one line of min_words words or more, or two or more lines on end; lines without a word
     do not count, neither does white space at a line's ends. Of equal runs the first in order of
-    (key, hash of the text, line) stays, whatever else of it is removed; every line of the others
+    (key, null first, hash of the text, line) stays, whatever else of it is removed; every line of the others
     goes, with its line end. n_lines counts the lines with a word, n_removed the removed ones, n_runs
     the stretches that they form. A text without removed lines is unchanged, a null text stays null
     with zeros. Rows of equal key and text are one document and get the same result; rows of one key
