@@ -98,7 +98,7 @@ def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
 class Memo(dict):
     """A dictionary that computes what it lacks and never holds more than `most` entries of up to `longest` characters."""
 
-    def __init__(self, compute, most: int = 400_000, longest: int = 80, fixed: dict | None = None):
+    def __init__(self, compute, most: int = 200_000, longest: int = 80, fixed: dict | None = None):
         super().__init__(fixed or {})
         self.compute, self.most, self.longest, self.fixed = compute, most, longest, fixed or {}
 

@@ -38,13 +38,15 @@ LONG = 32
 HOT_BITS = 24
 COUNTED = int(0.4 * 2**32)
 #: Bytes of counted shingles, and of prefix entries, for each group of a shuffle.
-GROUP_BYTES = 12_000_000
+GROUP_BYTES = 4_000_000
+#: Rows whose shingles a task holds at once.
+ROWS = 1000
 #: Sets in a block of a long list.
 BLOCK = 128
 #: Candidates of a set in one other component, in the rounds of comparison after the pivot's; the last round takes all.
 ROUNDS = (4, 64, None)
 
-_lower = Memo(lambda w: word_hash(w.translate(ASCII_LOWER)))
+_lower = Memo(lambda w: word_hash(w.translate(ASCII_LOWER)), most=150_000)
 
 
 def _order(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -89,7 +91,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, None] = {}
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out = []
             for value in batch.column(1).to_pylist():
                 found = WORD.findall(value or "")
@@ -149,7 +151,7 @@ def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFr
     sent = sets.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.unpackbits(sent.value).astype(bool)
+        late = np.unpackbits(sent.value).view(bool)
         for batch in batches:
             names, sizes, tokens, who, place = [], [], [], [], []
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

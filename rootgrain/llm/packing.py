@@ -132,7 +132,7 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 2048, key: str
                 ids = tokenizer.encode(word, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
 
-        memo = Memo(encoded, most=500_000)
+        memo = Memo(encoded, most=200_000)
         number = TaskContext.get().partitionId() << 32
         rest: list[tuple] = []  # key, start, ids, doc_tokens of remainders
         rows: list[tuple] = []

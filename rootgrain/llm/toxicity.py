@@ -117,7 +117,7 @@ class Lexicon(dict):
                 return fixed[low]
             return next(((INSULT, stems[low[:n]]) for n in reversed(STEMS) if low[:n] in stems and len(low) >= n), None)
 
-        self.of = Memo(look, most=200_000).__getitem__
+        self.of = Memo(look, most=100_000).__getitem__
 
 
 def features(text: str | None, lexicon: Lexicon, table: dict) -> tuple[float, float, float]:
