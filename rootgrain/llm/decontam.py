@@ -7,7 +7,6 @@ beside the item, word by word, and the stretch with the best balance of equal an
 kept if it is long and equal enough.
 """
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,22 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, stored, windows, without, word_hash
+from .common import byte_values, hashed_words, slices, stored, windows, without
 
 #: Places that count are 1. Each mask bears another spacing of substitutions.
 MASKS = ("1110011", "11010011", "110010101", "1010110001", "11111")
-TOKEN = re.compile(r"\w+")
 #: Characters of benchmark text that one broadcast block may hold; more items make more blocks.
 BLOCK_CHARS = 32_000_000
 #: A stretch gains 1 for an equal word and loses this for an unequal one.
 PENALTY = 3
 
-_memo = Memo(lambda w: word_hash(w.lower()))
+_VALUES = byte_values("letters")
 
 
-def _words(text: str | None) -> np.ndarray:
-    found = TOKEN.findall(text or "")
-    return np.fromiter(map(_memo.__getitem__, found), np.uint64, len(found))
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return hashed_words([t.lower() for t in texts], _VALUES)
 
 
 def _seeds(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -46,7 +43,7 @@ class Items:
 
     def __init__(self, items: list[tuple]):
         self.ids = [i for i, _ in items]
-        self.words = [_words(text) for _, text in items]
+        self.words = [_words([text])[0] for _, text in items]
         parts = [(h, np.full(len(h), n), np.arange(len(h))) for n, w in enumerate(self.words) for _, h in _seeds(w)]
         empty = np.empty(0, np.int64)
         hashes = np.concatenate([p[0] for p in parts]) if parts else empty.astype(np.uint64)
@@ -58,7 +55,7 @@ class Items:
         self.some[self.hashes >> np.uint64(42)] = True
 
     def hits(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (item, place in words of the item's first word)."""
+        """(item, place in words, place in the item's words) of each seed in common."""
         found = []
         for _, h in _seeds(words):
             at = np.flatnonzero(self.some[h >> np.uint64(42)])
@@ -66,8 +63,8 @@ class Items:
                 low, high = np.searchsorted(self.hashes, h[at]), np.searchsorted(self.hashes, h[at], "right")
                 many = high - low
                 which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                found.append(np.stack([self.item[which], np.repeat(at, many) - self.place[which]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+                found.append(np.stack([self.item[which], np.repeat(at, many), self.place[which]], 1))
+        return np.concatenate(found) if found else np.empty((0, 3), np.int64)
 
 
 def _best(equal: np.ndarray) -> tuple[int, int]:
@@ -101,16 +98,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_equ
             items = Items(sent.value)
             for batch in batches:
                 out = []
-                for who, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = _words(value)
-                    for item, diagonal in items.hits(words).tolist():
+                keys = batch.column(0).to_pylist()
+                for first, part in slices(batch.column(1).to_pylist()):
+                    words, bounds = _words(part)
+                    hits = items.hits(words)
+                    # the document is that of the hit's own place, which may lie past the item's first word
+                    for item, diagonal, doc in sorted({(i, at - p, int(np.searchsorted(bounds, at, "right")) - 1) for i, at, p in hits.tolist()}):
                         own = items.words[item]
-                        a, b = max(0, diagonal), min(len(words), diagonal + len(own))
+                        a, b = max(bounds[doc], diagonal), min(bounds[doc + 1], diagonal + len(own))
                         equal = words[a:b] == own[a - diagonal : b - diagonal]
                         start, end = _best(equal)
                         same = int(equal[start:end].sum())
                         if end - start >= min(min_words, len(own)) and same >= min_equal * (end - start):
-                            out.append((who, items.ids[item], a + start, a + start - diagonal, end - start, same))
+                            out.append((keys[first + doc], items.ids[item], int(a - bounds[doc]) + start, int(a - diagonal) + start, end - start, same))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 6, schema(batch), strict=True)], schema=schema(batch))
 
         def schema(batch: pa.RecordBatch) -> pa.Schema:

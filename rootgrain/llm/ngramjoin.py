@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, WORD, Memo, maybe_in, stored, windows, without, word_hash
+from .common import byte_values, hashed_words, maybe_in, slices, stored, windows, without
 from .components import components
 
 #: A shingle in this many documents goes to the end of the order.
@@ -46,7 +46,7 @@ BLOCK = 128
 #: Candidates of a set in one other component, in the rounds of comparison after the pivot's; the last round takes all.
 ROUNDS = (4, 64, None)
 
-_lower = Memo(lambda w: word_hash(w.translate(ASCII_LOWER)), most=150_000)
+_VALUES = byte_values("spaced")
 
 
 def _order(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -83,23 +83,32 @@ def _difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _shingles(texts: list[str], words: int) -> Iterator[np.ndarray]:
+    """The shingle hashes of each text, or the hash of all its words where they are fewer."""
+    hashes, bounds = hashed_words(texts, _VALUES)
+    whole = windows(hashes, list(range(words)), words)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if b - a >= words:
+            yield whole[a : b - words + 1]
+        elif b > a:
+            yield np.array([xxhash.xxh3_64_intdigest(hashes[a:b].tobytes(), int(b - a))], np.uint64)
+        else:
+            yield whole[:0]
+
+
 def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(key, n, set, tokens, bitmap): set is a 128-bit name of the set of shingles, null where it is
     empty; tokens and bitmap are given with the first of equal sets of a task only."""
     kind = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("bitmap", T.BinaryType())])
-    places = list(range(words))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, None] = {}
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out = []
-            for value in batch.column(1).to_pylist():
-                found = WORD.findall(value or "")
-                hashes = np.fromiter(map(_lower.__getitem__, found), np.uint64, len(found))
-                if not len(hashes):
+            sets = (own for _, part in slices(batch.column(1).to_pylist()) for own in _shingles(part, words))
+            for own in sets:
+                if not len(own):
                     out.append((0, None, None, None))
                     continue
-                own = windows(hashes, places, words) if len(hashes) >= words else np.array([xxhash.xxh3_64_intdigest(hashes.tobytes(), len(hashes))], np.uint64)
                 tokens = np.unique(own >> np.uint64(16))
                 blob = _packed(tokens)
                 name = xxhash.xxh3_128_digest(blob)
