@@ -1,12 +1,17 @@
 """Removal of byte strings of a given length that start anywhere else, over all documents.
 
-Each start of a `span`-byte string is assigned to the smallest hash among the short strings within
-it. Equal strings are assigned alike, wherever they stand, and neighbouring starts mostly share
-their hash, so that a document becomes a sequence of stretches of starts. Stretches of equal hash
-are brought together by a shuffle: where all strings of a stretch are those of another one, all of
-its starts repeat; where stretches of one hash differ, the strings are compared one by one. That
-is exact for every span-byte string, needs one pass over the texts and a second one over those that
-hold differing stretches, and no step depends on the length of the longest text.
+Two strings can only be equal if they stand in one column of an alignment: every start of a
+`span`-byte string is laid on the leftmost of the smallest hashes among the short strings within it.
+Equal strings have it at the same place, wherever they stand. A document becomes a sequence of pieces,
+each with the starts of one such place, and the pieces of one hash, over all documents, are a
+collection whose columns are aligned there.
+
+Over each collection its Burrows-Wheeler transform is built column-wise, all documents at once: from
+the last column to the first, each round inserts one symbol of every piece, and updates the order of
+the pieces' suffixes and the common prefixes of neighbours. After the round of a column, a string of
+`span` bytes starts again elsewhere exactly if a neighbour's common prefix has that length. Equal
+pieces are collapsed into one with a count before that. Pieces lie in tables of the shared folder,
+dealt by hash, which tasks read one after another; no step depends on the longest text.
 """
 
 from collections.abc import Iterator
@@ -23,9 +28,11 @@ SPAN = 400
 #: Length of the short strings: a power of two below the span.
 SHORT = 128
 #: Starts of a text that are looked at together; longer texts are read in overlapping parts.
-PART = 1 << 22
-#: Stretches of one hash that are compared in one task; of more, each string becomes a row of a shuffle.
+PART = 1 << 20
+#: Pieces of one hash that are inserted in one task; of more, each string becomes a row of a shuffle.
 TOGETHER = 4096
+#: Bytes of pieces, about, whose columns are inserted together.
+GROUP_BYTES = 4_000_000
 
 _BYTE = np.random.default_rng(20240101).integers(1, 2**64, 256, np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -75,35 +82,20 @@ def strings(data: bytes, span: int) -> np.ndarray:
 
 
 def stretches(data: bytes, span: int, short: int = SHORT) -> tuple[np.ndarray, ...]:
-    """(first start, starts, hash, name of its strings) of each stretch, and starts whose string
-    stands twice within one stretch. Positions are in bytes."""
+    """(first start, starts, lead, hash, name of its strings) of each stretch of starts that are laid
+    on one place, which is `lead` bytes after the first start. Positions are in bytes."""
     raw = np.frombuffer(data, np.uint8)
     n = len(raw) - span + 1
     if n <= 0:
-        empty = np.empty(0, np.int64)
-        return empty, empty, empty, empty, empty
+        return (np.empty(0, np.int64),) * 5
     h = _hashes(raw, [short, span])
-    # A string can stand twice in a stretch only where its smallest hash does: within a window, whose
-    # leftmost and rightmost minimum then differ, or in windows further on, which moves the leftmost one.
     high, at = h[short] & ~np.uint64(0xFFFFFF), np.arange(len(h[short]), dtype=np.uint64)
-    width = span - short + 1
-    left = (_smallest(high | at, width) & np.uint64(0xFFFFFF)).astype(np.int64)
-    right = 0xFFFFFF - (_smallest(high | (np.uint64(0xFFFFFF) - at), width) & np.uint64(0xFFFFFF)).astype(np.int64)
-    key = h[short][left]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    place = (_smallest(high | at, span - short + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
     count = np.diff(np.append(first, n))
     with np.errstate(over="ignore"):
         name = np.add.reduceat((h[span] ^ (h[span] >> np.uint64(31))) * _B, first) * _A + count.astype(np.uint64)
-    own = np.empty(0, np.int64)
-    tied = np.flatnonzero((np.add.reduceat((left != right).astype(np.int64), first) > 0) | (left[first] != left[first + count - 1]))
-    if len(tied):
-        found = []
-        for i in tied:
-            g = h[span][first[i] : first[i] + count[i]]
-            _, inverse, times = np.unique(g, return_inverse=True, return_counts=True)
-            found.append(first[i] + np.flatnonzero(times[inverse] > 1))
-        own = np.concatenate(found)
-    return first, count, key[first].view(np.int64), name.view(np.int64), own
+    return first, count, place[first] - first, h[short][place[first]].view(np.int64), name.view(np.int64)
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,9 +104,58 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[at], np.diff(np.append(at, len(starts)))
 
 
+def _columns(pieces: list[bytes], lead: np.ndarray) -> tuple[np.ndarray, int]:
+    """A row of symbols for each column, 0 where a piece has none and its byte plus 1 elsewhere, and
+    the number of columns before the one on which the pieces are laid."""
+    lengths = np.array([len(p) for p in pieces])
+    before, after = int(lead.max()), int((lengths - lead).max())
+    grid = np.zeros((before + after, len(pieces)), np.uint16)
+    who = np.repeat(np.arange(len(pieces)), lengths)
+    inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    grid[inside + np.repeat(before - lead, lengths), who] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint16) + 1
+    return grid, before
+
+
+def repeated_starts(pieces: list[bytes], lead: np.ndarray, collection: np.ndarray, span: int) -> np.ndarray:
+    """(piece, start within it), in that order, of each span-byte string that another piece of the
+    same collection holds in the same column. collection ascends.
+
+    order lists the pieces, those of one collection together, by their suffixes from the column on;
+    common[i] is the common prefix of the i-th and the one before it, 0 at the head of a collection.
+    Inserting a column sorts by its symbols and keeps the order among equal ones; where two have one
+    symbol and are now neighbours, their common prefix is one more than the least between them before.
+    """
+    grid, before = _columns(pieces, lead)
+    order, common = np.arange(len(pieces)), np.zeros(len(pieces) + 1, np.int32)
+    bound = np.concatenate([[0], np.cumsum(np.diff(collection) != 0)]).astype(np.int64) << 9
+    found = np.zeros((before + 1, len(pieces)), bool)
+    for column in range(len(grid) - 1, -1, -1):
+        symbol = grid[column][order]
+        key = bound | symbol
+        if (np.diff(key) < 0).any():
+            moved = np.argsort(key, kind="stable")
+            low, high = np.minimum(moved[:-1], moved[1:]) + 1, np.maximum(moved[:-1], moved[1:])
+            least = common[high]
+            apart = np.flatnonzero((low < high) & (key[moved[1:]] == key[moved[:-1]]))
+            if len(apart):
+                least[apart] = np.minimum.reduceat(common, np.stack([low[apart], high[apart] + 1], 1).ravel())[::2]
+            common[1:-1] = least
+            order, key, symbol = order[moved], key[moved], symbol[moved]
+        same = (np.diff(key) == 0) & (symbol[1:] != 0)
+        common[1:-1] = np.where(same, common[1:-1] + 1, 0)
+        if column <= before:
+            long = common >= span
+            found[column, order[long[:-1] | long[1:]]] = True
+    column, piece = np.nonzero(found)
+    start = column - (before - lead[piece])
+    sort = np.lexsort((start, piece))
+    return np.stack([piece[sort], start[sort]], 1)
+
+
 def repeated(docs: DataFrame, key: str, text: str, span: int) -> DataFrame:
     """(k, th, start, n): from byte `start` on, n strings of span bytes begin that start elsewhere too."""
-    kind = T.StructType([T.StructField("k", docs.schema[key].dataType)] + [T.StructField(c, T.LongType()) for c in ("th", "start", "n", "hash", "name")])
+    told_kind = T.StructType([T.StructField("k", docs.schema[key].dataType)] + [T.StructField(c, T.LongType()) for c in ("th", "start", "n")])
+    kind = T.StructType([*told_kind, T.StructField("lead", T.LongType()), T.StructField("times", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("name", T.LongType())])
 
     def parts(value: str | None) -> Iterator[tuple[int, bytes]]:
         data = (value or "").encode("utf-8", "surrogatepass")
@@ -123,39 +164,48 @@ def repeated(docs: DataFrame, key: str, text: str, span: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            who, columns = [], [[], [], [], []]
+            who, columns = [], [[] for _ in range(6)]
+
+            def put(i: int, *values: np.ndarray) -> None:
+                who.append(np.full(len(values[0]), i))
+                for c, v in zip(columns, values, strict=True):
+                    c.append(v)
+
             for i, value in enumerate(batch.column(2).to_pylist()):
                 for at, data in parts(value):
-                    first, count, hashed, name, own = stretches(data, span)
-                    starts, many = _runs(own)  # told at once, with 0 for a hash and a name
-                    nothing = np.zeros(len(starts), np.int64)
-                    for c, a, b in zip(columns, (first + at, count, hashed, name), (starts + at, many, nothing, nothing), strict=True):
-                        c += [a, b]
-                    who.append(np.full(len(first) + len(starts), i))
+                    first, count, lead, hashed, name = stretches(data, span)
+                    pairs = np.stack([hashed, name], 1)
+                    _, one, inverse, times = np.unique(pairs, axis=0, return_index=True, return_inverse=True, return_counts=True)
+                    again = np.flatnonzero(times[inverse] > 1)
+                    if len(again):  # told at once, with times 0 and no hash
+                        starts, many = _runs(np.concatenate([np.arange(first[j], first[j] + count[j]) for j in again]))
+                        nothing = np.zeros(len(starts), np.int64)
+                        put(i, starts + at, many, nothing, nothing, nothing, nothing)
+                    put(i, first[one] + at, count[one], lead[one], times, hashed[one], name[one])
             rows = pa.array(np.concatenate(who) if who else np.empty(0, np.int64))
             values = [pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in columns]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *values], names=["k", "th", "start", "n", "hash", "name"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *values], names=kind.names)
 
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("t"))
     found = stored(rows.mapInArrow(read, kind), "stretches")
-    told = found.where("hash = 0 AND name = 0").select("k", "th", "start", "n")
-    keys = found.where("hash != 0 OR name != 0").groupBy("hash").agg(F.count("*").alias("times"), F.min("name").alias("low"), F.max("name").alias("high")).where("times > 1")
-    shared = stored(found.join(keys.select("hash", (F.col("low") != F.col("high")).alias("mixed")), "hash").where("hash != 0 OR name != 0"), "shared")
-    same = shared.where("NOT mixed")
+    told = found.where("times = 0").select("k", "th", "start", "n")
+    laid = found.where("times > 0")
+    keys = laid.groupBy("hash").agg(F.sum("times").alias("all"), F.min("name").alias("low"), F.max("name").alias("high")).where("all > 1")
+    shared = stored(laid.join(keys.select("hash", (F.col("low") != F.col("high")).alias("mixed")), "hash"), "shared")
     mixed = shared.where("mixed")
-    names = mixed.groupBy("hash", "name").agg(F.count("*").alias("times"))
-    same = same.select("k", "th", "start", "n").unionByName(mixed.join(names.where("times > 1"), ["hash", "name"]).select("k", "th", "start", "n"))
-    # one stretch of each name stands for all of them
-    one = F.struct("k", "th", "start", "n")
-    asked = mixed.groupBy("hash", "name").agg(F.min(one).alias("at")).select("hash", "at.*")
-    sizes = asked.groupBy("hash").agg(F.count("*").alias("size"))
-    asked = stored(asked.join(sizes, "hash"), "asked")
-    if asked.isEmpty():
+    # equal pieces are one with a count; a collection of one piece with a count needs no round
+    names = mixed.groupBy("hash", "name").agg(F.sum("times").alias("all"), F.min(F.struct("k", "th", "start", "n", "lead")).alias("at"))
+    same = shared.where("NOT mixed").select("k", "th", "start", "n").unionByName(mixed.join(names.where("all > 1").select("hash", "name"), ["hash", "name"]).select("k", "th", "start", "n"))
+    asked = names.select("hash", "all", "at.*")
+    asked = stored(asked.join(asked.groupBy("hash").agg(F.count("*").alias("size")), "hash"), "asked")
+    total = asked.agg(F.sum(F.col("n") + span - 1)).first()[0]
+    if not total:
         return told.unionByName(same)
-    lists = asked.groupBy("k", "th").agg(F.collect_list(F.struct("hash", "start", "n", "size")).alias("asked"))
+    buckets = total // GROUP_BYTES + 1
+    lists = asked.groupBy("k", "th").agg(F.collect_list(F.struct("hash", "start", "n", "lead", "all", "size")).alias("asked"))
     held = rows.where(maybe_in(rows, F.struct("k", "th"), lists, F.struct("k", "th")))
     joined = held.withColumnsRenamed({"k": "_k", "th": "_th"}).join(lists, F.col("_k").eqNullSafe(F.col("k")) & F.col("_th").eqNullSafe(F.col("th"))).select("k", "th", "t", "asked").dropDuplicates(["k", "th"])
-    cut = T.StructType([kind["k"], *[T.StructField(c, T.LongType()) for c in ("th", "start", "hash", "size")], T.StructField("strings", T.BinaryType())])
+    cut = T.StructType([*told_kind.fields[:2], *[T.StructField(c, T.LongType()) for c in ("start", "lead", "all", "hash", "size")], T.StructField("piece", T.BinaryType())])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,34 +214,31 @@ def repeated(docs: DataFrame, key: str, text: str, span: int) -> DataFrame:
                 data = (value or "").encode("utf-8", "surrogatepass")
                 for w in wanted:
                     who.append(i)
-                    rest.append((w["start"], w["hash"], w["size"], strings(data[w["start"] : w["start"] + w["n"] + span - 1], span).tobytes()))
-            columns = list(zip(*rest, strict=True)) or [()] * 4
+                    rest.append((w["start"], w["lead"], w["all"], w["hash"], w["size"], data[w["start"] : w["start"] + w["n"] + span - 1]))
+            columns = list(zip(*rest, strict=True)) or [()] * 6
             at = pa.array(who, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["k", "th", "start", "hash", "size", "strings"])
-
-    def compare(table: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(b, np.uint64) for b in table.column("strings").to_pylist()]
-        _, inverse, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-        again, at, who, first, many = times[inverse] > 1, 0, [], [], []
-        for i, (g, start) in enumerate(zip(grams, table.column("start").to_pylist(), strict=True)):
-            starts, n = _runs(start + np.flatnonzero(again[at : at + len(g)]))
-            at += len(g)
-            who += [i] * len(starts)
-            first.append(starts)
-            many.append(n)
-        return table.select(["k", "th"]).take(pa.array(who, pa.int64())).append_column("start", pa.array(np.concatenate(first), pa.int64())).append_column("n", pa.array(np.concatenate(many), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], names=cut.names)
+
+    def insert(table: pa.Table) -> pa.Table:
+        table = table.sort_by("hash")
+        lead, collection, start = (table.column(c).to_numpy() for c in ("lead", "hash", "start"))
+        hits = repeated_starts(table.column("piece").to_pylist(), lead, collection, span)
+        # strings of neighbouring pieces must not run together
+        place, n = _runs(hits[:, 1] + (hits[:, 0] << 32))
+        who = place >> 32
+        rows = table.select(["k", "th"]).take(pa.array(who, pa.int64()))
+        return rows.append_column("start", pa.array(start[who] + (place & 0xFFFFFFFF), pa.int64())).append_column("n", pa.array(n, pa.int64()))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, blob in enumerate(batch.column("strings").to_pylist()):
-                g = np.frombuffer(blob, np.int64)
+            for i, piece in enumerate(batch.column("piece").to_pylist()):
+                g = strings(piece, span).view(np.int64)
                 at = pa.array(np.full(len(g), i))
                 yield pa.RecordBatch.from_arrays([batch.column("k").take(at), batch.column("th").take(at), pa.array(batch.column("start")[i].as_py() + np.arange(len(g))), batch.column("hash").take(at), pa.array(g)], names=["k", "th", "start", "hash", "string"])
 
-    out = T.StructType(kind.fields[:4])
-    fetched = stored(joined.mapInArrow(fetch, cut), "strings")
-    few = fetched.where(F.col("size") <= TOGETHER).groupBy("hash").applyInArrow(compare, out)
-    single = fetched.where(F.col("size") > TOGETHER).mapInArrow(explode, T.StructType([*kind.fields[:3], T.StructField("hash", T.LongType()), T.StructField("string", T.LongType())]))
+    fetched = stored(joined.mapInArrow(fetch, cut).withColumn("bucket", F.pmod("hash", F.lit(buckets))), "pieces")
+    few = fetched.where(F.col("size") <= TOGETHER).groupBy("bucket").applyInArrow(insert, told_kind)
+    single = fetched.where(F.col("size") > TOGETHER).mapInArrow(explode, T.StructType([*told_kind.fields[:3], T.StructField("hash", T.LongType()), T.StructField("string", T.LongType())]))
     twice = single.groupBy("hash", "string").agg(F.count("*").alias("times")).where("times > 1").drop("times")
     many = single.join(twice, ["hash", "string"]).select("k", "th", "start", F.lit(1).cast("long").alias("n"))
     return told.unionByName(same).unionByName(few).unionByName(many)

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from rootgrain.llm import components, linededup, ngramjoin, suffixdedup
 
 from . import brute
@@ -63,11 +65,35 @@ def test_repeated_bytes_equal_brute_force(spark):
     assert got == brute.repeated_bytes(rows, 150)
 
 
-def test_stretches_of_long_texts_are_read_in_parts():
+def test_stretches_cover_all_starts_and_lie_on_one_place():
     data = ("ab" * 400 + "".join(map(str, range(3000)))).encode()
-    first, count, _, _, own = suffixdedup.stretches(data, 400)
+    first, count, lead, hashed, _ = suffixdedup.stretches(data, 400)
     assert first[0] == 0 and (first[1:] == first[:-1] + count[:-1]).all() and first[-1] + count[-1] == len(data) - 399
-    assert set(own.tolist()) >= set(range(401))
+    assert (lead >= count - 1).all() and (lead <= 272).all()
+    short = suffixdedup._hashes(np.frombuffer(data, np.uint8), [128])[128].view(np.int64)
+    assert (short[first + lead] == hashed).all()
+
+
+def test_columns_inserted_give_the_repeated_strings():
+    r = random.Random(8)
+    pieces, lead, collection = [], [], []
+    for c in range(12):
+        core = bytes(r.choice(b"abc") for _ in range(40))
+        for _ in range(r.randint(1, 9)):
+            own = bytearray(core)
+            for _ in range(r.randint(0, 3)):
+                own[r.randrange(40)] = r.choice(b"abc")
+            a, b = r.randint(0, 12), r.randint(28, 40)
+            pieces.append(bytes(own[a:b]))
+            lead.append(20 - a)
+            collection.append(c)
+    got = {tuple(x) for x in suffixdedup.repeated_starts(pieces, np.array(lead), np.array(collection), 10).tolist()}
+    want = set()
+    for i, p in enumerate(pieces):
+        for s in range(len(p) - 9):
+            if s <= lead[i] and any(j != i and collection[j] == collection[i] and (t := s - lead[i] + lead[j]) >= 0 and len(q[t : t + 10]) == 10 and q[t : t + 10] == p[s : s + 10] for j, q in enumerate(pieces)):
+                want.add((i, s))
+    assert got == want and want
 
 
 def test_remove_repeats_of_nothing(spark):
