@@ -17,6 +17,10 @@ def fault_type(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[\s_]+", "-"), "[^a-z0-9-]", "")
 
 
+def _some(texts: Column, pattern: str) -> Column:
+    return F.exists(texts, lambda t: t.rlike(pattern))
+
+
 def category(slug: Column) -> Column:
     """The first category with a keyword that a token of the slug is, begins with or negates.
 
@@ -39,9 +43,9 @@ def category(slug: Column) -> Column:
     for name, keywords in CATEGORY_KEYWORDS:
         single = "^(?:" + "|".join(pattern(k) for k in keywords if "-" not in k) + ")$"
         joined = [k for k in keywords if "-" in k]
-        hit = F.exists(tokens, lambda t, p=single: t.rlike(p))
+        hit = _some(tokens, single)
         for k in joined:
-            hit = hit | F.exists(tails, lambda t, p=f"^(?:{pattern(k)})$": t.rlike(p))
+            hit = hit | _some(tails, f"^(?:{pattern(k)})$")
         out = out.when(hit, name)
     return out.otherwise("unknown")
 

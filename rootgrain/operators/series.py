@@ -14,7 +14,7 @@ from ..functions.units import resolution
 FLOOR = 1e-6
 
 
-def split_stats(signals: DataFrame, inject_ms: Column, *key: str) -> DataFrame:
+def split_stats(signals: DataFrame, inject_ms: Column | int, *key: str) -> DataFrame:
     """One row for each series with rows on both sides: baseline mean, population deviation, minimum
     and maximum, and the post part's extremes. The extremes suffice for the largest deviation, so
     that no row is joined back."""
@@ -27,7 +27,7 @@ def split_stats(signals: DataFrame, inject_ms: Column, *key: str) -> DataFrame:
     return out.where("n_base > 0 AND n_post > 0")
 
 
-def peak_z(signals: DataFrame, inject_ms: Column, *key: str) -> DataFrame:
+def peak_z(signals: DataFrame, inject_ms: Column | int, *key: str) -> DataFrame:
     """Services ranked by their largest peak: over their metrics, the largest deviation of a post value
     from the baseline's mean in baseline deviations. A flat baseline counts in steps of its unit.
     key ends in (service, name); ties go by service."""
@@ -39,7 +39,7 @@ def peak_z(signals: DataFrame, inject_ms: Column, *key: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("peak"), service)))
 
 
-def median_shift(signals: DataFrame, inject_ms: Column, *key: str) -> DataFrame:
+def median_shift(signals: DataFrame, inject_ms: Column | int, *key: str) -> DataFrame:
     """Services ranked by the largest shift of a metric's median, in 1.4826 median absolute deviations
     of the baseline; a flat baseline counts in steps of its unit. Medians are exact."""
     *groups, service, _ = key
@@ -55,7 +55,7 @@ def median_shift(signals: DataFrame, inject_ms: Column, *key: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("shift"), service)))
 
 
-def z_rows(signals: DataFrame, inject_ms: Column, *key: str) -> DataFrame:
+def z_rows(signals: DataFrame, inject_ms: Column | int, *key: str) -> DataFrame:
     """The post rows of series with a baseline, with z and their ordinal in arrival order (signal_idx)."""
     series = Window.partitionBy(*key)
     before = F.col("ts_ms") < inject_ms
@@ -98,7 +98,7 @@ def threshold_grid(rows: DataFrame, thresholds: list[float], samples: list[int],
     return flips.crossJoin(F.broadcast(grid)).groupBy("samples", "threshold").agg(F.count_if(admitted).alias("admitted"), F.count_if(~admitted).alias("refused"))
 
 
-def onsets(signals: DataFrame, inject_ms: Column, threshold: float, samples: int, *key: str) -> DataFrame:
+def onsets(signals: DataFrame, inject_ms: Column | int, threshold: float, samples: int, *key: str) -> DataFrame:
     """For each series in time order: the start of the first run of `samples` post rows that deviate
     from the baseline by `threshold` sample deviations or more; null where there is none."""
     series = Window.partitionBy(*key)
@@ -113,7 +113,7 @@ def onsets(signals: DataFrame, inject_ms: Column, threshold: float, samples: int
     return runs.groupBy(*key).agg(F.min(F.when(F.col("run") >= samples, F.col("start"))).alias("onset_ms"), F.max("run").alias("longest_run"))
 
 
-def preexisting(signals: DataFrame, inject_ms: Column, first: int, threshold: float, *key: str) -> DataFrame:
+def preexisting(signals: DataFrame, inject_ms: Column | int, first: int, threshold: float, *key: str) -> DataFrame:
     """Baseline rows after the first `first` ones that deviate from those by `threshold` or more: an
     anomaly that was there before the injection."""
     order = Window.partitionBy(*key).orderBy("ts_ms", "signal_idx")

@@ -12,7 +12,7 @@ from .views import graph as graph_view
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-AT = F.lit(INJECT_MS)
+
 KEY = ("case_id", "service", "name")
 
 
@@ -39,7 +39,7 @@ _Z = f"""s AS ({SIGNALS}), m AS (SELECT case_id, service, name, avg(value) AS me
 @query(f"""WITH {_STATS}, b AS (SELECT case_id, service, max(greatest(post_high - mean, mean - post_low) / CASE WHEN low = high THEN 0.01 ELSE greatest(sigma, 1e-6) END) AS p FROM st GROUP BY ALL)
 SELECT case_id, service, round(p, 4) AS peak, CAST(row_number() OVER (PARTITION BY case_id ORDER BY p DESC, service) AS INT) AS rank FROM b""")
 def peak_z_rank(spark: SparkSession, d: str) -> DataFrame:
-    return series.peak_z(signals(spark, d), AT, *KEY).withColumn("peak", F.round("peak", 4))
+    return series.peak_z(signals(spark, d), INJECT_MS, *KEY).withColumn("peak", F.round("peak", 4))
 
 
 @query(f"""WITH s AS ({SIGNALS}), m AS (SELECT *, median(CASE WHEN ts_ms < {INJECT_MS} THEN value END) OVER (PARTITION BY case_id, service, name) AS m FROM s),
@@ -48,14 +48,14 @@ st AS (SELECT case_id, service, name, any_value(m) AS m, median(CASE WHEN ts_ms
 b AS (SELECT case_id, service, max(abs(post - m) / CASE WHEN low = high THEN 0.01 ELSE greatest(1.4826 * mad, 1e-6) END) AS x FROM st WHERE m IS NOT NULL AND post IS NOT NULL GROUP BY ALL)
 SELECT case_id, service, round(x, 4) AS shift, CAST(row_number() OVER (PARTITION BY case_id ORDER BY x DESC, service) AS INT) AS rank FROM b""")
 def median_shift_rank(spark: SparkSession, d: str) -> DataFrame:
-    return series.median_shift(signals(spark, d), AT, *KEY).withColumn("shift", F.round("shift", 4))
+    return series.median_shift(signals(spark, d), INJECT_MS, *KEY).withColumn("shift", F.round("shift", 4))
 
 
 @query(f"""WITH {_Z}, i AS (SELECT *, z >= 1 AS hit, sum(CASE WHEN z >= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY case_id, service, name ORDER BY ord) AS g FROM z),
 r AS (SELECT case_id, service, name, g, count(*) FILTER (hit) AS run, max(ord) AS last FROM i GROUP BY ALL)
 SELECT case_id, service, name, max(run) AS longest_run, arg_max(run, last) AS trailing_run FROM r GROUP BY ALL""")
 def g3_longest_run(spark: SparkSession, d: str) -> DataFrame:
-    return series.longest_run(series.z_rows(signals(spark, d), AT, *KEY), 1.0, *KEY)
+    return series.longest_run(series.z_rows(signals(spark, d), INJECT_MS, *KEY), 1.0, *KEY)
 
 
 _FLIP = """SELECT case_id, service, name, max(CASE WHEN n = {k} THEN low END) AS flip FROM (SELECT *, min(z) OVER w AS low, count(z) OVER w AS n FROM z
@@ -64,14 +64,14 @@ _FLIP = """SELECT case_id, service, name, max(CASE WHEN n = {k} THEN low END) AS
 
 @query(f"WITH {_Z} SELECT case_id, service, name, round(flip, 4) AS flip FROM ({_FLIP.format(k=3, k1=2)})")
 def g3_flip_point(spark: SparkSession, d: str) -> DataFrame:
-    return series.flip_point(series.z_rows(signals(spark, d), AT, *KEY), 3, *KEY).withColumn("flip", F.round("flip", 4))
+    return series.flip_point(series.z_rows(signals(spark, d), INJECT_MS, *KEY), 3, *KEY).withColumn("flip", F.round("flip", 4))
 
 
 @query(f"""WITH {_Z}, f AS (SELECT case_id, 2 AS samples, max(flip) AS flip FROM ({_FLIP.format(k=2, k1=1)}) GROUP BY ALL UNION ALL SELECT case_id, 3, max(flip) FROM ({_FLIP.format(k=3, k1=2)}) GROUP BY ALL
  UNION ALL SELECT case_id, 4, max(flip) FROM ({_FLIP.format(k=4, k1=3)}) GROUP BY ALL), g AS (SELECT unnest([0.5, 1.0, 1.25, 1.5]) AS threshold)
 SELECT CAST(samples AS INT) AS samples, CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (coalesce(threshold <= flip, false)) AS admitted, count(*) FILTER (NOT coalesce(threshold <= flip, false)) AS refused FROM f, g GROUP BY ALL""")
 def g3_threshold_grid(spark: SparkSession, d: str) -> DataFrame:
-    return series.threshold_grid(series.z_rows(signals(spark, d), AT, *KEY), [0.5, 1.0, 1.25, 1.5], [2, 3, 4], *KEY)
+    return series.threshold_grid(series.z_rows(signals(spark, d), INJECT_MS, *KEY), [0.5, 1.0, 1.25, 1.5], [2, 3, 4], *KEY)
 
 
 @query(f"""WITH s AS ({SIGNALS}), m AS (SELECT case_id, service, name, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS sigma FROM s WHERE ts_ms < {INJECT_MS} GROUP BY ALL),
@@ -80,14 +80,14 @@ i AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY case_id,
 r AS (SELECT case_id, service, name, g, count(*) FILTER (hit) AS run, min(ts_ms) FILTER (hit) AS start FROM i GROUP BY ALL)
 SELECT case_id, service, name, min(start) FILTER (run >= 2) AS onset_ms, max(run) AS longest_run FROM r GROUP BY ALL""")
 def validity_onset(spark: SparkSession, d: str) -> DataFrame:
-    return series.onsets(signals(spark, d), AT, 1.0, 2, *KEY)
+    return series.onsets(signals(spark, d), INJECT_MS, 1.0, 2, *KEY)
 
 
 @query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY case_id, service, name ORDER BY ts_ms, signal_idx) AS n FROM ({SIGNALS}) WHERE ts_ms < {INJECT_MS}),
 m AS (SELECT case_id, service, name, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS sigma FROM s WHERE n <= 5 GROUP BY ALL)
 SELECT case_id, service, name, count(*) AS n_base, count(*) FILTER (n > 5 AND abs(value - mean) / greatest(sigma, 1e-6) >= 4) AS n_anomalous FROM s JOIN m USING (case_id, service, name) GROUP BY ALL""")
 def preexisting_anomaly(spark: SparkSession, d: str) -> DataFrame:
-    return series.preexisting(signals(spark, d), AT, 5, 4.0, *KEY)
+    return series.preexisting(signals(spark, d), INJECT_MS, 5, 4.0, *KEY)
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
@@ -110,10 +110,10 @@ def rule_time(spark: SparkSession, d: str) -> DataFrame:
     return rules.classify(_orders(spark, d), _RULES[:1]).select("o_orderkey", F.when(F.col("failure").isNull(), F.col("at")).alias("at"), F.col("failure.code").alias("code"))
 
 
-@query("SELECT event_id, round(value / 1000, 6) AS seconds, round(value / 1000 / 60, 6) AS minutes FROM events")
+@query("SELECT event_id, round(value / 1000, 9) AS seconds, round(value / 1000 / 60, 9) AS minutes FROM events")
 def rule_unit(spark: SparkSession, d: str) -> DataFrame:
     out, _ = rules.transform(table(spark, d, "events").select("event_id", "value"), [Rule("a", "unit", "seconds", source="value", source_unit="ms", target_unit="s"), Rule("b", "unit", "minutes", source="seconds", source_unit="s", target_unit="min")])
-    return out.select("event_id", F.round("seconds", 6).alias("seconds"), F.round("minutes", 6).alias("minutes"))
+    return out.select("event_id", F.round("seconds", 9).alias("seconds"), F.round("minutes", 9).alias("minutes"))
 
 
 @query(f"WITH o AS ({_ORDERS}) SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' END AS status, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'UNMAPPED_VALUE' END AS code FROM o")
@@ -283,7 +283,7 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = ["signup", "purchase", "error", "view", "click"]
 
 
-@query("SELECT 'svc-' || (user_id % 10) AS service, CAST(floor(epoch_ms(ts) / 1000) AS BIGINT) AS time, " + ", ".join(f"arg_max(value, event_id) FILTER (event_type = '{n}') AS {n}" for n in _NAMES) + " FROM events GROUP BY 1, 2")
+@query("SELECT 'svc-' || (user_id % 10) AS service, epoch_us(ts) // 1000000 AS time, " + ", ".join(f"arg_max(value, event_id) FILTER (event_type = '{n}') AS {n}" for n in _NAMES) + " FROM events GROUP BY 1, 2")
 def wide_metrics(spark: SparkSession, d: str) -> DataFrame:
     return reshape.wide(signals(spark, d), F.col("name"), _NAMES, "service")
 
@@ -293,14 +293,14 @@ def long_metrics(spark: SparkSession, d: str) -> DataFrame:
     return reshape.long(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("totalprice"), F.col("o_custkey").alias("custkey")), "o_orderkey")
 
 
-@query("""WITH r AS (SELECT 'svc-' || (user_id % 10) AS service, CAST(floor(epoch_ms(ts) / 3600000) AS BIGINT) * 3600000 AS b, CASE WHEN event_type <> 'view' THEN event_type END AS c FROM events),
+@query("""WITH r AS (SELECT 'svc-' || (user_id % 10) AS service, epoch_us(ts) // 3600000000 * 3600000 AS b, CASE WHEN event_type <> 'view' THEN event_type END AS c FROM events),
 s AS (SELECT service, min(b) AS lo, max(b) AS hi FROM r GROUP BY service), k AS (SELECT DISTINCT service, c FROM r WHERE c IS NOT NULL), g AS (SELECT service, c, unnest(generate_series(lo, hi, 3600000)) AS b FROM k JOIN s USING (service))
 SELECT g.service, g.b AS bucket_ms, g.c AS cluster, count(r.b) AS n FROM g LEFT JOIN r ON r.service = g.service AND r.b = g.b AND r.c = g.c GROUP BY ALL""")
 def log_grid(spark: SparkSession, d: str) -> DataFrame:
     return reshape.log_grid(signals(spark, d), F.when(F.col("name") != "view", F.col("name")), 3600, "service")
 
 
-@query("""WITH b AS (SELECT event_id, to_timestamp(floor((epoch_ms(ts) + 28800000) / 1800000) * 1800) AT TIME ZONE 'UTC' AS s FROM events)
+@query("""WITH b AS (SELECT event_id, to_timestamp((epoch_us(ts) + 28800000000) // 1800000000 * 1800) AT TIME ZONE 'UTC' AS s FROM events)
 SELECT event_id, strftime(s, '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(s + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS period FROM b""")
 def occurrence_window(spark: SparkSession, d: str) -> DataFrame:
     return signals(spark, d).select(F.col("signal_idx").alias("event_id"), times.period(F.col("ts_ms")).alias("period"))

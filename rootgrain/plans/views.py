@@ -23,7 +23,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SIGNALS = """SELECT 'case-' || (user_id % 25) AS case_id, 'svc-' || (user_id % 10) AS service, event_type AS name, value, '1' AS unit,
-  epoch_ms(ts) AS ts_ms, event_id AS signal_idx, 'metric' AS signal, props AS body FROM events"""
+  epoch_us(ts) // 1000 AS ts_ms, event_id AS signal_idx, 'metric' AS signal, props AS body FROM events"""
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
