@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, stored
@@ -163,25 +163,30 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
+def _beginnings(words: Column, n: int) -> Column:
+    return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+
 def _learn_terms(sample: DataFrame) -> dict[str, float]:
     """Words and word beginnings that occur in toxic documents and next to never in others, chosen
     one after another, each time the one that explains most toxic documents not yet explained (of
     equals the longest). Copies of a document bring many terms but explain no more, so that few
-    general ones are left."""
+    general ones are left. Insults known before that bear it out get their learned weight too."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
+    stems = [_beginnings(words, n) for n in STEMS]
     terms = F.explode(F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("="), w)), *stems)))
     rows = stored(sample.select("k", "toxic", terms.alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"), F.collect_set(F.when(F.col("toxic") == 1, F.col("k"))).alias("ks")).where(f"a >= {MIN_SUPPORT} AND a >= {MIN_PRECISION} * n"), "terms")
     n_toxic, n_all = sample.agg(F.sum("toxic"), F.count("*")).first()
     candidates = {r.term: (r.a, r.n, set(r.ks)) for r in rows.collect()}
-    chosen: dict[str, float] = {}
+    weight = lambda a, n: math.log((a + 0.5) / (n_toxic + 1)) - math.log((n - a + 0.5) / (n_all - n_toxic + 1))
+    chosen = {t: weight(*candidates[t][:2]) for w in SEEDS.split() if (t := f"={w}") in candidates}
     while candidates and len(chosen) < MAX_TERMS:
         # Counts only fall, so that a term is looked at again only while it can still be the best.
         best = max(candidates, key=lambda t: (len(candidates[t][2]), t[0] == "=", len(t), t))
         a, n, keys = candidates.pop(best)
         if len(keys) < MIN_SUPPORT:
             break
-        chosen[best] = math.log((a + 0.5) / (n_toxic + 1)) - math.log((n - a + 0.5) / (n_all - n_toxic + 1))
+        chosen[best] = weight(a, n)
         covered = set(keys)
         candidates = {t: (x, y, left) for t, (x, y, ks) in candidates.items() if len(left := ks - covered) >= MIN_SUPPORT}
     return chosen
