@@ -94,14 +94,13 @@ def number(value: Column) -> Column:
     """A double as shortest text: no fraction where it is whole, an exponent only below 1e-6 or from 1e21 on."""
     short = value.cast("string")
     size = F.abs(value)
-    exact = F.regexp_replace(F.regexp_replace(value.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", "")
+    part = lambda i: F.regexp_extract(short, r"^(-?)(\d)\.(\d+)E(-?\d+)$", i)
+    after, exponent = F.when(part(3) == "0", "").otherwise(part(3)), part(4).cast("int")
+    zeros = lambda n: F.repeat(F.lit("0"), n)
+    large = F.when(F.length(after) <= exponent, F.concat(part(2), after, zeros(exponent - F.length(after)))).otherwise(F.concat(part(2), F.substr(after, F.lit(1), exponent), F.lit("."), F.substr(after, exponent + 1)))
+    plain = F.concat(part(1), F.when(exponent >= 0, large).otherwise(F.concat(F.lit("0."), zeros(-exponent - 1), part(2), after)))
     scientific = F.lower(F.regexp_replace(F.regexp_replace(short, r"\.0E", "E"), "E([0-9])", "E+$1"))
-    return (
-        F.when((value == F.floor(value)) & (size < 1e15), value.cast("bigint").cast("string"))
-        .when(short.contains("E") & (size >= 1e-6) & (size < 1e20), exact)
-        .when(short.contains("E"), scientific)
-        .otherwise(short)
-    )
+    return F.when((value == F.floor(value)) & (size < 1e15), value.cast("bigint").cast("string")).when(short.contains("E") & (size >= 1e-6) & (size < 1e21), plain).when(short.contains("E"), scientific).otherwise(short)
 
 
 def csv_cell(text: Column) -> Column:

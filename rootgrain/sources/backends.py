@@ -65,8 +65,8 @@ class HttpPages(DataSource):
         return HttpReader(self.options)
 
 
-def _parts(rows: DataFrame, reason: Column, raw: Column, **fields: Column) -> tuple[DataFrame, DataFrame]:
-    told = rows.withColumn("_reason", reason)
+def _parts(rows: DataFrame, why: Column, raw: Column, /, **fields: Column) -> tuple[DataFrame, DataFrame]:
+    told = rows.withColumn("_reason", why)
     return told.where("_reason IS NULL").select(*[c.alias(k) for k, c in fields.items()]), told.where("_reason IS NOT NULL").select(F.col("_reason").alias("reason"), raw.alias("record"))
 
 

@@ -71,7 +71,8 @@ def anomaly_runs(stream: DataFrame, threshold: float, samples: int, baseline: in
 def dangling_parents(spans: DataFrame, lateness: str = "1 minute", reach: str = "5 minutes") -> DataFrame:
     """(trace_id, parent, ts) of spans whose parent does not arrive within `reach` of them: a left outer
     join of the stream with itself, told once the watermark has passed."""
-    children = spans.where("parent IS NOT NULL").select("trace_id", "parent", "ts").withWatermark("ts", lateness)
+    # the condition names ts, so that it stays above the watermark: spans without a parent move it too
+    children = spans.select("trace_id", "parent", "ts").withWatermark("ts", lateness).where(F.when(F.col("ts").isNotNull(), F.col("parent").isNotNull()))
     parents = spans.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("ts").alias("_at")).withWatermark("_at", lateness)
     near = F.expr(f"_t = trace_id AND _s = parent AND _at BETWEEN ts - INTERVAL {reach} AND ts + INTERVAL {reach}")
     return children.join(parents, near, "left_outer").where("_s IS NULL").select("trace_id", "parent", "ts")
