@@ -1,0 +1,35 @@
+"""Telemetry from declarations: series with an excursion, one row for each sample, without randomness."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import units
+
+#: Samples on either side of the onset, and the noise of each, in fiftieths of the level.
+POINTS = 8
+JITTER = (0.0, 1.0, -1.0, 0.5, -0.5, 0.8, -0.8, 0.3)
+NOISE = 0.02
+
+
+def expand_series(declared: DataFrame) -> DataFrame:
+    """(case_id, service, name, unit, ts_ms, value, ord) of declarations (case_id, service, name, unit,
+    baseline, post, counter boolean, exact boolean, hold int, start_ms, onset_ms, end_ms).
+
+    Eight samples from the start on lie at the baseline, eight up to the end at the post level, after
+    `hold` of them (null: all) at the baseline again. A counter stays flat and then climbs to post in
+    equal steps. Levels that are not exact get the fixed noise; values stay within their unit's bounds,
+    and counts are whole.
+    """
+    numbered = declared.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(2 * POINTS - 1))))
+    after = F.col("ord") >= POINTS
+    i = F.pmod("ord", F.lit(POINTS))
+    spacing = F.when(after, F.col("end_ms") - F.col("onset_ms")).otherwise(F.col("onset_ms") - F.col("start_ms")) / POINTS
+    at = F.when(after, F.col("onset_ms") + (i + 1) * spacing).otherwise(F.col("start_ms") + i * spacing)
+    counter, exact = F.coalesce("counter", F.lit(False)), F.coalesce("exact", F.lit(False))
+    held = after & (i < F.coalesce("hold", F.lit(POINTS)))
+    level = F.when(held, F.col("post")).otherwise(F.col("baseline"))
+    noise = F.element_at(F.array(*[F.lit(j * NOISE) for j in JITTER]), (i + 1).cast("int"))
+    measured = units.clamp(F.when(exact, level).otherwise(level * (1 + noise)), F.col("unit"))
+    climbed = F.when(after, F.col("baseline") + (i + 1) * (F.col("post") - F.col("baseline")) / POINTS).otherwise(F.col("baseline"))
+    value = units.quantize(F.when(counter, climbed).otherwise(measured), F.col("unit"))
+    return numbered.select("case_id", "service", "name", "unit", F.floor(at).cast("bigint").alias("ts_ms"), F.round(value, 6).alias("value"), "ord")
