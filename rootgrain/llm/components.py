@@ -23,3 +23,14 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
         if moved.where("changed").isEmpty():
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) of components() with further links (a, b): the components are joined as
+    nodes of a smaller graph. Nodes without a label are their own."""
+    of = lambda c: labels.toDF(c, f"_{c}")
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    joined = components(ends.where("a != b")).toDF("label", "_new")
+    old = labels.join(joined, "label", "left").select("node", F.coalesce("_new", "label").alias("label"))
+    fresh = joined.toDF("node", "label").join(labels.select("node"), "node", "left_anti")
+    return stored(old.unionByName(fresh), "labels")

@@ -28,23 +28,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_values, hashed_words, maybe_in, slices, stored, windows, without
-from .components import components
+from .components import components, merged
 
 #: A shingle in this many documents goes to the end of the order.
-HOT = 16
+HOT = 4
 #: A list of more sets than this is compared with its pivot first.
-LONG = 32
+LONG = 8
 #: Hot shingles are told by the first 24 bits of their hash; only hashes in the lowest fifths matter for prefixes.
 HOT_BITS = 24
 COUNTED = int(0.4 * 2**32)
 #: Bytes of counted shingles, and of prefix entries, for each group of a shuffle.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 8_000_000
 #: Rows whose shingles a task holds at once.
 ROWS = 1000
+#: Pairs of list entries that a task looks at together.
+PAIRS = 250_000
 #: Sets in a block of a long list.
 BLOCK = 128
-#: Candidates of a set in one other component, in the rounds of comparison after the pivot's; the last round takes all.
-ROUNDS = (4, 64, None)
+#: The rounds of comparison after the pivot's: whether with one block of the family only, and how many
+#: candidates a set takes from a block; the last round takes all.
+ROUNDS = ((True, 2), (False, 2), (False, None))
 
 _VALUES = byte_values("spaced")
 
@@ -114,7 +117,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 name = xxhash.xxh3_128_digest(blob)
                 new = name not in seen
                 if new:
-                    if len(seen) > 200_000:
+                    if len(seen) > 50_000:
                         seen.clear()
                     seen[name] = None
                 out.append((len(tokens), name, blob if new else None, _bitmap(tokens) if new else None))
@@ -127,7 +130,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 def _hot(sets: DataFrame, total: int) -> np.ndarray:
     """Which hashes, by their first bits, may belong to shingles of HOT documents or more: counted
     over all sets, in ranges of the hash; a bitmap of fixed size comes back."""
-    ranges = 1 << min(HOT_BITS, max(3, math.ceil(math.log2(max(1, total * 1.6 / GROUP_BYTES)))))
+    ranges = 1 << min(HOT_BITS, max(3, math.ceil(math.log2(max(1, total * 3.2 / GROUP_BYTES)))))
     shift = 32 - ranges.bit_length() + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +158,9 @@ def _hot(sets: DataFrame, total: int) -> np.ndarray:
 
 def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFrame:
     """Candidates from the shingles' lists: (kind 0, a, b) are pairs of sets to compare, (kind 1, a, b)
-    says that set b stands in a long list whose pivot is set a."""
-    groups = max(1, math.ceil(total * (100 - percent) / 100 * 9 / GROUP_BYTES))
+    says that set b stands in a long list whose pivot is set a. Sets are given by a 64-bit hash of
+    their name; where two have one hash, both are compared."""
+    groups = max(1, math.ceil(total * (100 - percent) / 100 * 18 / GROUP_BYTES))
     sent = sets.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,25 +180,19 @@ def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFr
                 sizes.append(n)
             if not names:
                 continue
-            tokens, who, place, sizes = np.concatenate(tokens), np.concatenate(who), np.concatenate(place), np.array(sizes, np.uint32)
+            tokens, who, place, sizes, names = np.concatenate(tokens), np.concatenate(who), np.concatenate(place), np.array(sizes, np.uint32), np.array(names, np.int64)
             group = (tokens * np.uint32(0x9E3779B1) >> np.uint32(8)) % groups
             order = np.argsort(group, kind="stable")
             cut = np.searchsorted(group[order], np.arange(groups + 1))
-            rows = {k: [] for k in ("group", "tokens", "who", "place", "names", "sizes")}
+            rows = {k: [] for k in ("group", "tokens", "names", "place", "sizes")}
             for g in np.flatnonzero(np.diff(cut)):
                 at = order[cut[g] : cut[g + 1]]
-                here, local = np.unique(who[at], return_inverse=True)
-                for k, v in (("group", int(g)), ("tokens", tokens[at].tobytes()), ("who", local.astype(np.uint32 if len(here) > 65535 else np.uint16).tobytes()), ("place", place[at].tobytes()), ("names", b"".join(names[i] for i in here)), ("sizes", sizes[here].tobytes())):
+                for k, v in (("group", int(g)), ("tokens", tokens[at].tobytes()), ("names", names[who[at]].tobytes()), ("place", place[at].tobytes()), ("sizes", sizes[who[at]].tobytes())):
                     rows[k].append(v)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "group" else pa.binary()) for k, v in rows.items()})
 
     def pairs(table: pa.Table) -> pa.Table:
-        parts = []
-        for r in table.to_pylist():
-            token = np.frombuffer(r["tokens"], np.uint32)
-            local = np.frombuffer(r["who"], np.uint16 if len(r["who"]) == 2 * len(token) else np.uint32)
-            parts.append((token, np.frombuffer(r["names"], "V16")[local], np.frombuffer(r["place"], np.uint16), np.frombuffer(r["sizes"], np.uint32)[local]))
-        token, name, place, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        token, name, place, size = (np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in (("tokens", np.uint32), ("names", np.int64), ("place", np.uint16), ("sizes", np.uint32)))
         names, who = np.unique(name, return_inverse=True)
         order = np.lexsort((who, size, token))
         token, who, place, size = token[order], who[order], place[order].astype(np.int64), size[order].astype(np.int64)
@@ -215,7 +213,7 @@ def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFr
 
         for m in np.unique(long[(long > 1) & (long <= LONG)]):
             at, (x, y) = starts[long == m], np.triu_indices(m, 1)
-            for block in np.array_split(at, max(1, len(at) * len(x) // 2_000_000)):
+            for block in np.array_split(at, max(1, len(at) * len(x) // PAIRS)):
                 keep((block[:, None] + x).ravel(), (block[:, None] + y).ravel())
         for start, m in zip(starts[long > LONG], long[long > LONG], strict=True):
             at = np.arange(start, start + m)
@@ -225,11 +223,10 @@ def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFr
         out = [np.unique(np.concatenate(x), axis=0) for x in (found, members)]
         kinds = np.repeat(np.arange(2, dtype=np.int32), [len(x) for x in out])
         both = np.concatenate(out)
-        column = lambda c: pa.array([bytes(x) for x in names[both[:, c]]], pa.binary())
-        return pa.table({"kind": pa.array(kinds), "a": column(0), "b": column(1)})
+        return pa.table({"kind": pa.array(kinds), "a": pa.array(names[both[:, 0]]), "b": pa.array(names[both[:, 1]])})
 
-    dealt = sets.select("set", "tokens").mapInArrow(deal, "group int, tokens binary, who binary, place binary, names binary, sizes binary")
-    return dealt.groupBy("group").applyInArrow(pairs, "kind int, a binary, b binary")
+    dealt = sets.select(F.xxhash64("set"), "tokens").mapInArrow(deal, "group int, tokens binary, names binary, place binary, sizes binary")
+    return dealt.groupBy("group").applyInArrow(pairs, "kind int, a long, b long")
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,15 +237,15 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         # a link's sets differ in at most (1 - t) / (1 + t) of their sizes' sum
         return pd.Series([_difference(x, y) * (100 + percent) <= (100 - percent) * (p + q) for x, y, p, q in zip(a, b, m, n, strict=True)], dtype=bool)
 
-    own = sets.select("set", "n", "bitmap")
-    joined = pairs.join(own.toDF("a", "na", "ba"), "a").join(own.toDF("b", "nb", "bb"), "b")
-    return joined.where(possible("ba", "bb", "na", "nb")).select("a", "b")
+    own = sets.select(F.xxhash64("set"), "set", "n", "bitmap")
+    joined = pairs.join(own.toDF("a", "sa", "na", "ba"), "a").join(own.toDF("b", "sb", "nb", "bb"), "b")
+    return joined.where(possible("ba", "bb", "na", "nb")).select(F.col("sa").alias("a"), F.col("sb").alias("b"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, by exact intersection."""
+def _linked(pairs: DataFrame, given: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links, by exact intersection. given may hold the tokens of a set more than once."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("s"))
-    own = sets.where(maybe_in(sets, F.col("set"), involved, F.col("s"))).select("set", "tokens")
+    own = given.where(maybe_in(given, F.col("set"), involved, F.col("s"))).select("set", "tokens").dropDuplicates(["set"])
 
     @F.pandas_udf("boolean")
     def link(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -262,37 +259,57 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(link("ta", "tb")).select("a", "b")
 
 
-def _across(families: DataFrame, labels: DataFrame, sets: DataFrame, done: DataFrame, percent: int, most: int | None) -> DataFrame:
+class _Block:
+    """Sets of one block, their bitmaps side by side by length."""
+
+    def __init__(self, members: list[dict]):
+        self.names, self.labels = [m["b"] for m in members], [m["label"] for m in members]
+        self.sizes = np.array([m["n"] for m in members])
+        self.number = {x: i for i, x in enumerate(dict.fromkeys(self.labels))}
+        self.of = np.array([self.number[x] for x in self.labels])
+        lengths = np.array([len(m["bitmap"]) for m in members])
+        self.rows = {int(k): np.flatnonzero(lengths == k) for k in np.unique(lengths)}
+        self.bits = {k: np.frombuffer(b"".join(members[i]["bitmap"] for i in at), np.uint8).reshape(len(at), k) for k, at in self.rows.items()}
+
+    def near(self, u: dict, percent: int, most: int | None) -> list[bytes]:
+        """Members of other components that u may be linked with, at most `most`, the nearest ones."""
+        own, apart = np.frombuffer(u["bitmap"], np.uint8), np.empty(len(self.sizes), np.int64)
+        for k, at in self.rows.items():
+            width = min(k, len(own))  # the longer ones are folded to the length of the others
+            bits = np.bitwise_xor.reduce(self.bits[k].reshape(len(at), k // width, width), axis=1)
+            apart[at] = np.bitwise_count(bits ^ np.bitwise_xor.reduce(own.reshape(-1, width), axis=0)).sum(axis=1)
+        small, large = np.minimum(self.sizes, u["n"]), np.maximum(self.sizes, u["n"])
+        ok = np.flatnonzero((100 * small >= percent * large) & (self.of != self.number.get(u["label"], -1)) & (apart * (100 + percent) <= (100 - percent) * (small + large)))
+        if most is not None:
+            ok = ok[np.argsort(apart[ok], kind="stable")[:most]]
+        return [self.names[i] for i in ok]
+
+
+def _across(families: DataFrame, labels: DataFrame, sets: DataFrame, done: DataFrame, percent: int, one_block: bool, most: int | None) -> DataFrame:
     """Pairs (a, b) of sets of one long list's family that lie in different components, one of them
     outside the family's main one, and whose sizes and bitmaps do not rule a link out; for each set
-    and other component at most `most`, those whose bitmaps differ least. Compared block by block."""
-    known = families.join(sets.select(F.col("set").alias("b"), "n", "bitmap"), "b").join(labels.toDF("b", "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    known = stored(known.select("a", "b", "n", "bitmap", "label"), "family")
+    and block at most `most`, those whose bitmaps differ least. Compared block by block, or with the
+    first block only: what is linked at all is mostly linked with one of that many."""
+    known = families.join(labels.toDF("b", "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    known = stored(known.select("a", "b", "label"), "family")
     main = known.groupBy("a", "label").agg(F.count("*").alias("m")).groupBy("a").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("all")).where("parts > 1").drop("parts")
-    held = known.join(main, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("all") / BLOCK)))
+    split = known.join(main, "a").join(sets.select(F.col("set").alias("b"), "n", "bitmap"), "b")
+    held = stored(split.withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("all") / BLOCK))), "split")
     row = F.struct("b", "n", "bitmap", "label")
     blocks = held.groupBy("a", "block").agg(F.collect_list(row).alias("members"))
     odd = held.where("label != main").groupBy("a", "block").agg(F.collect_list(row).alias("odd")).select("a", "odd")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows = set()
             for odds, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sizes = np.array([m["n"] for m in members])
+                block = _Block(members)
                 for u in odds:
-                    near = np.flatnonzero((100 * np.minimum(sizes, u["n"]) >= percent * np.maximum(sizes, u["n"])))
-                    best: dict[bytes, list[tuple[int, bytes]]] = {}
-                    for i in near:
-                        y = members[i]
-                        if y["label"] != u["label"]:
-                            d = _difference(u["bitmap"], y["bitmap"])
-                            if d * (100 + percent) <= (100 - percent) * (u["n"] + y["n"]):
-                                best.setdefault(y["label"], []).append((d, y["b"]))
-                    for own in best.values():
-                        rows += [(min(u["b"], b), max(u["b"], b)) for _, b in sorted(own)[:most]]
-            columns = list(zip(*set(rows), strict=True)) or [(), ()]
+                    rows |= {(min(u["b"], b), max(u["b"], b)) for b in block.near(u, percent, most)}
+            columns = list(zip(*rows, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
 
+    blocks = blocks.where("block = 0") if one_block else blocks
     dealt = odd.join(blocks.select("a", "members"), "a").select("odd", "members")
     return dealt.mapInArrow(compare, "a binary, b binary").distinct().join(done, ["a", "b"], "left_anti")
 
@@ -314,18 +331,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     sets = stored(given.groupBy("set").agg(F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "sets")
     found = stored(_lists(given, _hot(given, total), total, percent), "candidates")
     pairs = found.where("kind = 0").select("a", "b").distinct()
-    links = stored(_linked(stored(_near(pairs, sets, percent), "near"), given.dropDuplicates(["set"]), percent), "links")
+    labels = components(stored(_linked(stored(_near(pairs, sets, percent), "near"), given, percent), "links"))
     families = found.where("kind = 1").select("a", "b").distinct()
     if not families.isEmpty():
-        families = stored(families, "families")
+        families = stored(families.join(sets.select(F.xxhash64("set").alias("b"), "set"), "b").select("a", F.col("set").alias("b")), "families")
         done = stored(spark.createDataFrame([], "a binary, b binary"), "done")
-        for most in ROUNDS:
-            more = stored(_across(families, components(links), sets, done, percent, most), "across")
+        for one_block, most in ROUNDS:
+            more = stored(_across(families, labels, sets, done, percent, one_block, most), "across")
             if more.isEmpty():
-                break
+                continue
             done = done.unionByName(more)
-            links = stored(links.unionByName(_linked(more, given.dropDuplicates(["set"]), percent)), "links")
-    labels = components(links)
+            labels = merged(labels, stored(_linked(more, given, percent), "links"))
     smallest = rows.where("set IS NOT NULL").groupBy("set").agg(F.min("key").alias("least"))
     named = smallest.join(labels.toDF("set", "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     reached = named.groupBy("label").agg(F.min("least").alias("component_id"))
