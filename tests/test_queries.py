@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from rootgrain.plans import documents  # noqa: F401
+from rootgrain.plans import cases, documents  # noqa: F401
 from rootgrain.plans import queries as engine
 
 FOLDER = "/root/testdata/sf0.001"
