@@ -55,7 +55,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     """Write gzip-compressed WARC files of at most per_file captures each under path.
 
     Null keys are written as captures of their own, null urls as an empty target, null payloads as
-    empty ones; rows of one key and equal payloads are one capture. Files are written by Spark's own
+    empty ones; rows of one key and equal payloads get equal record ids and are one capture when read. Files are written by Spark's own
     text writer, so that path can be on any file system that Spark knows.
     """
     how = decisions(pages, key, payload, min_bytes)
@@ -158,11 +158,11 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 def captures(records: DataFrame) -> DataFrame:
     """One nested row for each response or revisit: (record_id, target_uri, date, record_type, request,
     response, metadata). request is the request that names the record in concurrent_to, or null;
-    metadata an array of all metadata records that do, in order of their ids."""
-    main = records.where("record_type IN ('response', 'revisit')")
+    metadata an array of all metadata records that do, in order of their ids. Records of one id count once."""
+    main = records.where("record_type IN ('response', 'revisit')").dropDuplicates(["record_id"])
     fields = ["record_id", "http_head", "block_bytes"]
     requests = records.where("record_type = 'request'").groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(F.struct(*fields)).alias("request"))
-    notes = records.where("record_type = 'metadata'").groupBy(F.col("concurrent_to").alias("record_id")).agg(F.sort_array(F.collect_list(F.struct("record_id", F.col("payload").cast("string").alias("fields")))).alias("metadata"))
+    notes = records.where("record_type = 'metadata'").groupBy(F.col("concurrent_to").alias("record_id")).agg(F.sort_array(F.collect_set(F.struct("record_id", F.col("payload").cast("string").alias("fields")))).alias("metadata"))
     joined = main.join(requests, "record_id", "left").join(notes, "record_id", "left")
     response = F.struct("http_head", "http_length", "payload_digest", "declared_digest", "refers_to", "refers_to_page", "payload")
     return joined.select("record_id", "target_uri", "date", "record_type", "request", response.alias("response"), "metadata")

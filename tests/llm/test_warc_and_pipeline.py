@@ -56,7 +56,9 @@ def test_pipeline_keeps_clean_documents_and_columns(spark):
     assert groups.where("component_id != doc_id").count() == 0
     packed = corpus_pipeline.pack(spark, kept, folder)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
-    assert corpus_pipeline.run(spark, folder).count() == packed.count()
+    # which pieces there are depends on how the rows lie in partitions, which documents does not
+    run = corpus_pipeline.run(spark, folder)
+    assert {tuple(r) for r in run.select("doc_id", "doc_tokens").collect()} == {tuple(r) for r in packed.select("doc_id", "doc_tokens").collect()}
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
