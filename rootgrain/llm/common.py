@@ -128,6 +128,8 @@ class Memo(dict):
 #: Fixed odd multipliers, one for each place of a window of words.
 PLACES = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) & 0xFFFFFFFFFFFFFFFF | 1) for i in range(64)]
 _NEAR, _FAR = np.random.default_rng(7).integers(1, 2**64, (2, 256), np.uint64) | np.uint64(1)
+#: The first 256 bytes are weighed by _NEAR alone, so that a word's hash does not depend on the words beside it.
+_FAR[0] = 1
 
 
 def byte_values(words: str) -> np.ndarray:

@@ -27,6 +27,16 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def test_near_duplicates_beside_a_long_word(spark):
+    r = random.Random(12)
+    texts = [" ".join(f"w{r.randint(0, 999)}" for _ in range(60)) for _ in range(3)]
+    near = texts[1].split() + ["more"]
+    rows = [(0, texts[0]), (1, texts[1]), (2, texts[2]), (3, "u" * 300 + " " + " ".join(f"x{i}" for i in range(20))), (4, "新" * 100), (5, texts[2] + " " + "v" * 700), (6, texts[0]), (7, " ".join(near)), (8, texts[2]), (9, None), (10, ""), (11, "a")]
+    d = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    got = {x[0]: (x[1], x[2]) for x in ngramjoin.near_duplicates(d).collect()}
+    assert got == brute.near_duplicates(rows) and [got[i][1] for i in (5, 6, 7, 8)] == [2, 0, 1, 2]
+
+
 def test_one_of_each_keeps_columns_and_null_keys(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "p"), (2, "a b c d e f", "q"), (2, "a b c d e f", "q"), (None, "a b c d e f", "r"), (3, None, "s")], "doc_id long, text string, _gone string")
     left = ngramjoin.one_of_each(docs).collect()

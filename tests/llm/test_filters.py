@@ -40,6 +40,16 @@ def test_overlaps_in_blocks_and_of_nothing(spark, monkeypatch):
     assert decontam.overlaps(d.limit(0), b).count() == 0 and decontam.overlaps(d, b.limit(0)).count() == 0
 
 
+def test_overlaps_beside_a_long_word(spark):
+    r = random.Random(6)
+    item, rest = words(r, 20), words(r, 40)
+    texts = [" ".join(rest + item), " ".join([*item, "u" * 300]), "v" * 300 + " " + " ".join(rest)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(item[:15]) + " " + "v" * 300)], "item_id long, text string")
+    got = sorted(tuple(x) for x in decontam.overlaps(d, b).collect())
+    assert got == [(0, 0, 40, 0, 20, 20), (0, 1, 40, 0, 15, 15), (1, 0, 0, 0, 20, 20), (1, 1, 0, 0, 15, 15)]
+
+
 def brute_base(text):
     w = WORD.findall(text or "")
     windows = collections.Counter(zip(w, w[1:], w[2:]))
