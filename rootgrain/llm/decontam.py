@@ -3,11 +3,11 @@
 A mask is a window of words in which only some places count, so that a word changed at another
 place does not change the window's hash. Every window of every benchmark item is hashed under each
 mask, every window of every document too; equal hashes are hits. Around a hit the document is laid
-beside the item, word by word, and the stretch with the best balance of equal and unequal words is
-kept if it is long and equal enough.
+beside the item, word by word, and all stretches that are long and equal enough are kept.
 """
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -22,8 +22,6 @@ from .common import byte_values, hashed_words, slices, stored, windows, without
 MASKS = ("1110011", "11010011", "110010101", "1010110001", "11111")
 #: Characters of benchmark text that one broadcast block may hold; more items make more blocks.
 BLOCK_CHARS = 32_000_000
-#: A stretch gains 1 for an equal word and loses this for an unequal one.
-PENALTY = 3
 
 _VALUES = byte_values("letters")
 
@@ -67,12 +65,30 @@ class Items:
         return np.concatenate(found) if found else np.empty((0, 3), np.int64)
 
 
-def _best(equal: np.ndarray) -> tuple[int, int]:
-    """From and to of the stretch with the largest balance."""
-    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    return int(np.flatnonzero(sums[: end + 1] == low[end])[-1]), end
+def _stretches(equal: np.ndarray, least: int, share: Fraction) -> list[tuple[int, int]]:
+    """From and to of the stretches of `least` places or more of which a share is equal, in their order.
+
+    Each is as long as the share allows, and none has only equal places that another one has too. Its
+    ends are equal, unless it would then be shorter than `least`.
+    """
+    at = np.flatnonzero(equal)
+    few = -(-share.numerator * least // share.denominator)
+    if len(equal) < least or len(at) < max(few, 1):
+        return []
+    # from the n-th equal place to the m-th the share holds where gain[m] >= loss[n]; all in whole numbers
+    n = np.arange(len(at))
+    gain = share.denominator * (n + 1) - share.numerator * (at + 1)
+    loss = share.denominator * n - share.numerator * at
+    last = len(at) - 1 - np.searchsorted(np.maximum.accumulate(gain[::-1]), loss)
+    longer = last > np.maximum.accumulate(np.concatenate([[-1], last[:-1]]))
+    out = []
+    for first in np.flatnonzero(longer & (last - n + 1 >= few)).tolist():
+        start, end = int(at[first]), int(at[last[first]]) + 1
+        if end - start < least:
+            start = min(start, len(equal) - least)
+            end = start + least
+        out.append((start, end))
+    return out
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_equal: float = 0.8, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -81,11 +97,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_equ
     A row says that n_words words of the document lie beside as many of the item, from the given
     starts on, and that n_equal of them, a share of min_equal at least, are the same; case and
     punctuation don't count. A stretch has min_words words or more, or the whole item where that is
-    shorter. Items of fewer words than a mask spans match nothing; null and empty texts neither.
+    shorter; all stretches of a pair of texts have a row, save those whose equal words all lie in
+    another one. With the defaults the masks miss none of 8 words or more; items of 5 to 7 words with
+    a changed one may be missed, and fewer than 5 words match nothing; null and empty texts neither.
     Repeated document rows give repeated rows, equal items a row each. Other columns are not read.
     The items are broadcast in blocks of at most BLOCK_CHARS characters, each against all documents.
     """
     listed = benchmark.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    share = Fraction(min_equal).limit_denominator(1_000_000)
     chars = listed.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = chars // BLOCK_CHARS + 1
     kind = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item_key, benchmark.schema[item_key].dataType)] + [T.StructField(c, T.LongType()) for c in ("doc_start", "item_start", "n_words", "n_equal")])
@@ -107,10 +126,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_equ
                         own = items.words[item]
                         a, b = max(bounds[doc], diagonal), min(bounds[doc + 1], diagonal + len(own))
                         equal = words[a:b] == own[a - diagonal : b - diagonal]
-                        start, end = _best(equal)
-                        same = int(equal[start:end].sum())
-                        if end - start >= min(min_words, len(own)) and same >= min_equal * (end - start):
-                            out.append((keys[first + doc], items.ids[item], int(a - bounds[doc]) + start, int(a - diagonal) + start, end - start, same))
+                        for start, end in _stretches(equal, min(min_words, len(own)), share):
+                            out.append((keys[first + doc], items.ids[item], int(a - bounds[doc]) + start, int(a - diagonal) + start, end - start, int(equal[start:end].sum())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 6, schema(batch), strict=True)], schema=schema(batch))
 
         def schema(batch: pa.RecordBatch) -> pa.Schema:

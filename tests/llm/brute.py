@@ -62,3 +62,14 @@ def line_dedup(rows, min_words):
                     gone[k].update(n for n, _ in own[i : i + length])
                 seen.add(run)
     return {k: (None if t is None else "\n".join(s for n, s in enumerate(t.split("\n")) if n not in gone[k]), len(lines.get(k, ())), len(gone[k])) for k, t in rows}
+
+
+def stretches(equal, least, percent):
+    """{(first, last equal place)} of all stretches of `least` places or more that are equal enough, less those that lie in another"""
+    found = set()
+    for i in range(len(equal)):
+        for j in range(i + least, len(equal) + 1):
+            at = [n for n in range(i, j) if equal[n]]
+            if at and 100 * len(at) >= percent * (j - i):
+                found.add((at[0], at[-1]))
+    return {(a, b) for a, b in found if not any((x, y) != (a, b) and x <= a and b <= y for x, y in found)}

@@ -1,12 +1,14 @@
 import collections
 import random
 import re
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from rootgrain.llm import decontam, licenses, quality, toxicity
 
-from .brute import WORD
+from .brute import WORD, stretches
 
 
 def words(r, n):
@@ -50,6 +52,29 @@ def test_overlaps_beside_a_long_word(spark):
     assert got == [(0, 0, 40, 0, 20, 20), (0, 1, 40, 0, 15, 15), (1, 0, 0, 0, 20, 20), (1, 1, 0, 0, 15, 15)]
 
 
+def test_stretches_equal_brute_force():
+    r = random.Random(7)
+    for _ in range(600):
+        n, likely = r.randint(0, 45), r.choice([0.5, 0.75, 0.85, 0.95])
+        equal = [r.random() < likely for _ in range(n)]
+        least, percent = r.choice([(13, 80), (min(8, n) or 1, 80), (5, 66), (13, 100)])
+        got = decontam._stretches(np.array(equal, bool), least, Fraction(percent, 100))
+        held = [[x for x in range(i, j) if equal[x]] for i, j in got]
+        assert all(j - i >= least and 0 <= i and j <= n and 100 * len(h) >= percent * (j - i) for (i, j), h in zip(got, held, strict=True))
+        assert sorted((h[0], h[-1]) for h in held) == sorted(stretches(equal, least, percent))
+
+
+def test_overlaps_with_changes_near_the_ends(spark):
+    r = random.Random(8)
+    items = [words(r, 13), words(r, 10), words(r, 13), words(r, 28), words(r, 80)]
+    change = lambda item, *at: ["other" if i in at else w for i, w in enumerate(item)]
+    docs = [words(r, 5) + change(items[0], 1) + words(r, 5), change(items[1], 0), change(items[2], 6, 7), change(items[3], 12, 13, 14, 15), change(items[4], *range(20, 60)), change(items[2], 4, 7, 9)]
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string").coalesce(2)
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = sorted(tuple(x) for x in decontam.overlaps(d, b).collect())
+    assert got == [(0, 0, 5, 0, 13, 12), (1, 1, 0, 0, 10, 9), (2, 2, 0, 0, 13, 11), (3, 3, 0, 0, 28, 24), (4, 4, 0, 0, 20, 20), (4, 4, 60, 60, 20, 20)]
+
+
 def brute_base(text):
     w = WORD.findall(text or "")
     windows = collections.Counter(zip(w, w[1:], w[2:]))
