@@ -88,6 +88,10 @@ SPEAKS = r"licen[cs]e|licensed|cc by|cc0|copyright|permission|redistribut|provid
 LETTER = {name: chr(65 + i) if i < 26 else chr(97 + i - 26) for i, (name, _) in enumerate(SENTENCES)}
 #: The letter of a sentence that speaks of licences and is not known.
 UNKNOWN = "-"
+#: What stands before the text of a line in comments of programs, and SPEAKS where line ends and such marks may part words.
+MARKS = r"(?m)^[ \t]*(?:(?:[#*;%>!]+|/[/*]+|--+|<!--|dnl\b|rem\b)[ \t]*)+/?"
+SPEAKS_WRAPPED = SPEAKS.replace(" ", r"[\s#*;%>!/<-]+")
+ANY_SENTENCE = "|".join(f"(?:{p})" for _, p in SENTENCES)
 RULE_PATTERN = "|".join("".join(LETTER[i] for i in ids) for _, ids in RULES)
 
 
@@ -98,20 +102,29 @@ def _letter(sentence: Column) -> Column:
     return out.otherwise(UNKNOWN)
 
 
+def _letters(sentence: Column) -> Column:
+    """The letter of a sentence of one line; those of all known sentences in one of several lines, which may be run-on."""
+    found = F.array_join(F.transform(F.regexp_extract_all(F.translate(sentence, "\n", " "), F.lit(f"({ANY_SENTENCE})"), F.lit(0)), _letter), "")
+    return F.when(sentence.contains("\n"), F.when(found == "", UNKNOWN).otherwise(found)).otherwise(_letter(sentence))
+
+
 def scan(docs: DataFrame, text: str = "text", licenses: str = "licenses", sentences: str = "licence_sentences", unknown: str = "n_unknown_sentences") -> DataFrame:
     """docs with three more columns: the licences found, in the order of the text and with repeats;
     the identifiers of the known licence sentences, in that order; and how many sentences speak of
     licences without being known.
 
-    Null and empty texts have empty lists and 0. A sentence ends at a line end or at white space
-    after . ! or ?. Sentences that don't speak of licences are passed over, so they may stand
+    Null and empty texts have empty lists and 0. A sentence ends at white space after . ! or ?, at
+    a line end after a colon, at an empty line and before a list item, so it may be wrapped over
+    lines; comment marks before its lines don't count. Sentences that don't speak of licences are passed over, so they may stand
     between the sentences of a rule; an unknown licence sentence may not. Columns of these names
     are replaced, all others pass through; repeated rows are scanned each.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    cut = F.split(F.regexp_replace(F.lower(body), r"([.!?])[ \t\r]+", "$1\n"), "\n")
-    normal = F.transform(F.filter(cut, lambda s: s.rlike(SPEAKS)), lambda s: F.trim(F.regexp_replace(s, r"[ \t\r]+", " ")))
-    letters = F.when(F.lower(body).rlike(SPEAKS), F.array_join(F.transform(normal, _letter), "")).otherwise("")
+    lines = F.regexp_replace(F.lower(body), MARKS, "")
+    ended = F.regexp_replace(F.regexp_replace(lines, r"([.!?])[ \t\r]+|([.!?:])(?=\n)|:[ \t\r]+(?=\n)", "$1$2\n\n"), r"\n(?=[ \t]*[-•][ \t])", "\n\n")
+    tidy = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"[ \t\r]*\n[ \t\r]*", "\n"), r"[ \t\r]+", " ")
+    normal = F.filter(F.transform(F.split(ended, r"\n[ \t\r]*\n"), tidy), lambda s: F.translate(s, "\n", " ").rlike(SPEAKS))
+    letters = F.when(F.lower(body).rlike(SPEAKS_WRAPPED), F.array_join(F.transform(normal, _letters), "")).otherwise("")
     name = F.create_map(*[F.lit(x) for pair in ((LETTER[n], n) for n, _ in SENTENCES) for x in pair])
     first = {}
     for licence, ids in RULES:

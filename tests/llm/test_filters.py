@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import textwrap
 from fractions import Fraction
 
 import numpy as np
@@ -113,6 +114,45 @@ def test_licence_sentences_and_rules(spark):
     assert by[1] == by[2] == by[3] == ([], []) and len(by[4][0]) == 1
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."""
+
+
+def test_wrapped_licences(spark):
+    want = {"MIT": MIT, "BSD-3-Clause": BSD, "ISC": ISC, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL}
+    rows = []
+    for name, text in want.items():
+        for width in (24, 60, 72, 80):
+            for mark, end in (("", "\n"), ("# ", "\n"), (" * ", "\n"), ("// ", "\r\n")):
+                lines = [x for part in text.split("\n\n") for x in [*textwrap.wrap(part, width), ""]]
+                rows.append((name, end.join(mark + x for x in lines)))
+    got = licenses.scan(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert [(x.name, x.text[:9], list(x.licenses)) for x in got if list(x.licenses) != [x.name]] == []
+    apart = "Released under the MIT License\nLicensed under the Apache License, Version 2.0\nsome words"
+    assert list(licenses.scan(spark.createDataFrame([(apart,)], "text string")).first().licenses) == ["MIT", "Apache-2.0"]
+
+
 def test_toxicity_is_learned_and_clauses_count(spark):
     r = random.Random(5)
     rows, labels = [], []
