@@ -49,19 +49,20 @@ def repeated_bytes(rows, span):
 
 
 def line_dedup(rows, min_words):
-    """{key: (text, lines, removed)} for rows with distinct keys"""
+    """{key: (text, lines, removed, longest later copy in lines)} for rows with distinct keys"""
     lines = {k: [(n, s.strip(" \t\n\r\x0b\x0c")) for n, s in enumerate(t.split("\n")) if s.strip(" \t\n\r\x0b\x0c")] for k, t in rows if t is not None}
-    seen, gone = set(), collections.defaultdict(set)
-    for length in (1, 2):
-        seen.clear()
-        for k in sorted(lines):
+    gone, longest = collections.defaultdict(set), collections.Counter()
+    for length in range(1, max(map(len, lines.values())) + 1):
+        seen = set()
+        for k in sorted(lines, key=lambda k: (k is not None, k)):
             own = lines[k]
             for i in range(len(own) - length + 1):
                 run = tuple(s for _, s in own[i : i + length])
-                if run in seen and (length > 1 or len(WORD.findall(run[0])) >= min_words):
+                if run in seen and sum(len(WORD.findall(s)) for s in run) >= min_words:
                     gone[k].update(n for n, _ in own[i : i + length])
+                    longest[k] = length
                 seen.add(run)
-    return {k: (None if t is None else "\n".join(s for n, s in enumerate(t.split("\n")) if n not in gone[k]), len(lines.get(k, ())), len(gone[k])) for k, t in rows}
+    return {k: (None if t is None else "\n".join(s for n, s in enumerate(t.split("\n")) if n not in gone[k]), len(lines.get(k, ())), len(gone[k]), longest[k]) for k, t in rows}
 
 
 def stretches(equal, least, percent):

@@ -112,30 +112,43 @@ def test_remove_repeats_of_nothing(spark):
 
 def line_rows():
     r = random.Random(6)
-    pool = [" ".join(f"w{r.randint(0, 99)}" for _ in range(r.randint(1, 14))) for _ in range(30)]
+    pool = [" ".join(f"w{r.randint(0, 99)}" for _ in range(r.randint(1, 5))) for _ in range(30)]
     rows = []
     for i in range(60):
         own = [f"own {i} {j}" for j in range(r.randint(0, 4))]
         at = r.randint(0, 25)
-        rows.append((i, "\n".join(own[:2] + pool[at : at + r.randint(0, 5)] + ["", "  "] + own[2:])))
-    return rows + [(100, None), (101, ""), (102, "\n\n"), (103, rows[5][1]), (104, "  " + pool[3] + " ")]
+        rows.append((i, "\n".join(own[:2] + pool[at : at + r.randint(0, 9)] + ["", "  "] + own[2:])))
+    rows += [(i, "\n".join(r.choice("ab") for _ in range(r.randint(5, 60)))) for i in range(60, 75)]
+    return rows + [(100, None), (101, ""), (102, "\n\n"), (103, rows[5][1]), (104, "  " + pool[3] + " "), (105, "\n".join(pool)), (106, "\n".join(pool[3:])), (107, "\n".join(pool) + "\nx"), (108, "word " * 20000 + "\n" + pool[0]), (109, "word " * 20000), (None, "\n".join(pool[2:20]))]
 
 
 def test_line_dedup_equals_brute_force(spark):
     rows = line_rows()
-    docs = spark.createDataFrame([(i, t, "k", 5) for i, t in rows], "doc_id long, text string, k string, n_runs int").repartition(3)
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in linededup.line_dedup(docs).collect()}
+    docs = spark.createDataFrame([(i, t, "k", 5, 1, 2) for i, t in rows], "doc_id long, text string, k string, n_runs int, _d int, _t_ int").repartition(3)
+    deduped = linededup.line_dedup(docs)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed, r.longest_run) for r in deduped.collect()}
     assert got == brute.line_dedup(rows, linededup.MIN_WORDS)
+    assert set(docs.columns) < set(deduped.columns) and got[107][3] == 30
 
 
-def test_suffix_levels_follow_the_repeated_run(spark):
+def test_suffix_levels_and_the_longest_run(spark):
     run = "\n".join(f"line number {i}" for i in range(9))
     docs = spark.createDataFrame([(1, "x\n" + run), (2, run + "\ny"), (3, "z")], "doc_id long, text string")
-    levels = linededup.suffix_levels(linededup.line_sequence(docs, "doc_id", "text"))
+    levels = linededup.suffix_levels(linededup.recurring(linededup.line_sequence(docs, "doc_id", "text")))
     assert [level.count() for level in levels] == [18, 16, 12, 4]
-    assert [level.first().length for level in levels] == [1, 2, 4, 8]
     ranks = levels[1].select("rank", "n").distinct().collect()
     assert len(ranks) == 8 and all(r.n == 2 for r in ranks)
+    got = {(r.d.k, r.i): (r.l, r.origin.d.k, r.origin.i) for r in linededup.longest_earlier(levels).collect()}
+    assert got == {(2, i): (9 - i, 1, i + 1) for i in range(9)}
+    runs = linededup.later_runs(docs).where("maximal").collect()
+    assert [(r.d.k, r.i, r.l, r.origin.i) for r in runs] == [(2, 0, 9, 1)]
+
+
+def test_a_run_of_short_lines_counts_by_its_words(spark):
+    short = ["one two", "three", "four five", "six seven eight", "nine", "ten"]
+    docs = spark.createDataFrame([(1, "\n".join(short)), (2, "\n".join(short[:4])), (3, "p\n" + "\n".join(short) + "\nq")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_runs, r.longest_run, r.text) for r in linededup.line_dedup(docs).collect()}
+    assert got == {1: (0, 0, 0, "\n".join(short)), 2: (0, 0, 0, "\n".join(short[:4])), 3: (6, 1, 6, "p\nq")}
 
 
 def test_line_dedup_of_repeated_rows_and_empty_table(spark):
