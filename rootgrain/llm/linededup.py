@@ -86,7 +86,7 @@ def longest_earlier(levels: list[DataFrame]) -> DataFrame:
     a part that aren't its first go on with the longer run, the first goes with them as the place that
     they copy, and stays to be tried with fewer lines in the interval of all firsts.
     """
-    every = reduce(DataFrame.unionByName, [level.select("d", "i", F.lit(a).alias("a"), "rank", "first") for a, level in enumerate(levels)])
+    every = stored(reduce(DataFrame.unionByName, [level.select("d", "i", F.lit(a).alias("a"), "rank", "first") for a, level in enumerate(levels)]).repartition("d"), "intervals")
     last = every.where(F.col("first") != _place()).groupBy("d", "i").agg(F.max("a").alias("last"))
     state = every.join(last, ["d", "i"], "left").where(F.coalesce("last", F.lit(-1)) <= F.col("a"))
     state = state.select("d", "i", "a", F.expr("shiftleft(1, a)").alias("l"), F.col("first").alias("origin"), F.coalesce(F.col("last") == F.col("a"), F.lit(False)).alias("asks"))

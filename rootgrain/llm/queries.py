@@ -54,8 +54,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), span=400)
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    left = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), span=400, passage_words=51)
+    repeated_words = F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["length"])
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), repeated_words.alias("n_repeated_words"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,18 +75,44 @@ def test_repeated_bytes_equal_brute_force(spark):
     assert got == brute.repeated_bytes(rows, 150)
 
 
+def test_large_collections_equal_brute_force(spark, monkeypatch):
+    r = random.Random(5)
+    core = "".join(r.choice("abcdefgh") for _ in range(160))
+    rows = [(i, "".join(r.choice("xyz") for _ in range(r.randint(0, 40))) + core[r.choice((0, 0, 3)) :] + "".join(r.choice("uv") for _ in range(r.randint(0, 40)))) for i in range(90)] + repeat_rows()
+    monkeypatch.setattr(suffixdedup, "TOGETHER", 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffixdedup.remove_repeats(docs, span=150).collect()), key=repr)
+    assert got == brute.repeated_bytes(rows, 150)
+
+
+def test_passages_under_and_over_the_span(spark):
+    r = random.Random(9)
+
+    def w(n, longest):
+        return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, longest))) for _ in range(n))
+
+    short, long = w(60, 5), w(60, 12)
+    assert len(short) < 400 < len(long)
+    rows = [(i, " ".join([w(r.randint(5, 40), 9), *([short] if i % 4 == 1 else [long.upper()] if i % 4 == 2 else [long] if i % 4 == 3 else []), w(r.randint(5, 40), 9)])) for i in range(40)]
+    rows += [(40, short.replace(" ", "  ")), (41, " ".join(short.split()[:50])), (42, None), (43, "")]
+    docs = spark.createDataFrame([(*x, 0) for x in rows], "N_bytes long, text string, passages int")
+    got = {x[0]: (x._n_bytes, x.n_removed, sum(p.length for p in x.passages)) for x in suffixdedup.remove_repeats(docs, "N_bytes", span=400, passage_words=51).collect()}
+    assert {k: v[2] for k, v in got.items()} == {i: 60 * (i % 4 > 0) for i in range(40)} | {40: 60, 41: 0, 42: 0, 43: 0}
+    assert all((got[i][1] > 0) == (i % 4 > 1) for i in range(40)) and got[42] == got[43] == (0, 0, 0)
+
+
 def test_stretches_cover_all_starts_and_lie_on_one_place():
-    data = ("ab" * 400 + "".join(map(str, range(3000)))).encode()
-    first, count, lead, hashed, _ = suffixdedup.stretches(data, 400)
+    data = np.frombuffer(("ab" * 400 + "".join(map(str, range(3000)))).encode(), np.uint8)
+    first, count, lead, hashed = suffixdedup.stretches(data, 400)
     assert first[0] == 0 and (first[1:] == first[:-1] + count[:-1]).all() and first[-1] + count[-1] == len(data) - 399
     assert (lead >= count - 1).all() and (lead <= 272).all()
-    short = suffixdedup._hashes(np.frombuffer(data, np.uint8), [128])[128].view(np.int64)
+    short = suffixdedup._hashes(data, 128).view(np.int64)
     assert (short[first + lead] == hashed).all()
 
 
 def test_columns_inserted_give_the_repeated_strings():
     r = random.Random(8)
-    pieces, lead, collection = [], [], []
+    pieces, lead, collection, times = [], [], [], []
     for c in range(12):
         core = bytes(r.choice(b"abc") for _ in range(40))
         for _ in range(r.randint(1, 9)):
@@ -97,13 +123,16 @@ def test_columns_inserted_give_the_repeated_strings():
             pieces.append(bytes(own[a:b]))
             lead.append(20 - a)
             collection.append(c)
-    got = {tuple(x) for x in suffixdedup.repeated_starts(pieces, np.array(lead), np.array(collection), 10).tolist()}
+            times.append(r.choice((1, 1, 1, 2)))
     want = set()
     for i, p in enumerate(pieces):
         for s in range(len(p) - 9):
-            if s <= lead[i] and any(j != i and collection[j] == collection[i] and (t := s - lead[i] + lead[j]) >= 0 and len(q[t : t + 10]) == 10 and q[t : t + 10] == p[s : s + 10] for j, q in enumerate(pieces)):
+            if s <= lead[i] and (times[i] > 1 or any(j != i and collection[j] == collection[i] and (t := s - lead[i] + lead[j]) >= 0 and len(q[t : t + 10]) == 10 and q[t : t + 10] == p[s : s + 10] for j, q in enumerate(pieces))):
                 want.add((i, s))
-    assert got == want and want
+    for kind in (np.uint8, np.uint64):
+        symbols = [np.frombuffer(p, np.uint8).astype(kind) for p in pieces]
+        got = {tuple(x) for x in suffixdedup.repeated_starts(symbols, np.array(lead), np.array(collection), np.array(times), 10).tolist()}
+        assert got == want and want
 
 
 def test_remove_repeats_of_nothing(spark):
