@@ -44,20 +44,39 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: lineage ends there."""
+#: The paths that stored() wrote within each scratch() that is open, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it again: lineage ends there. Within a
+    scratch() the table goes at its end, unless it is to be kept, then at the end of the one around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rootgrain/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the folder of a table that stored() wrote and that is no longer read."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() writes within are deleted at the end, and the shuffles behind them, which
+    Spark drops once the driver has collected their plans."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            removed(spark, path)
+        spark._jvm.System.gc()
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

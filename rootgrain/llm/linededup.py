@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, fresh, stored
+from .common import SPACES, fresh, scratch, stored
 
 #: A repeated run is deleted from this many words on, whether they stand in one line or in many.
 MIN_WORDS = 10
@@ -140,7 +140,8 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     null keys, are documents of their own. Columns of these names are replaced, all others pass
     through; an empty table gives an empty one.
     """
-    gone = stored(later_runs(docs, key, text, min_words).where("gone").select("d", "i", "line", "l"), "later")
+    with scratch(docs.sparkSession):
+        gone = stored(later_runs(docs, key, text, min_words).where("gone").select("d", "i", "line", "l"), "later", keep=True)
     before = F.lag("i").over(Window.partitionBy("d").orderBy("i"))
     starts = gone.withColumn("starts", (before.isNull() | (before != F.col("i") - 1)).cast("long"))
     split, d, lines, runs, longest = fresh(docs, "_split", "_d", "_lines", "_runs", "_longest")

@@ -5,12 +5,13 @@ share one of the first few shingles of each. The order is by hash, with the shin
 documents hold at its end, so that common passages hardly ever get into a prefix. Set relations
 save the rest of the work:
 
-* index level: the sets in a shingle's list are ordered by size, and blocks of them are skipped by
-  length and by the position of the shingle in both sets;
+* index level: the sets in a shingle's list are ordered by size and by the shingle's position in
+  them. Sets of one size are a block; whole blocks, and the rest of a block from a position on, are
+  skipped before any pair is made, by sizes and by the positions in both sets;
 * answer level: sets that are equal are one node. In a long list all sets are compared with one
-  pivot first, and what is linked with it takes over its answer, the component. Only sets outside
-  the list's main component are then compared with others, block by block, and only with sets of
-  other components.
+  pivot first, and what is linked with it takes over its answer, the component, and is not compared
+  with the list's other members. Only for sets outside the list's main component are answers looked
+  up further, block by block, and only among sets of other components.
 
 Candidates pass a parity bitmap (the symmetric difference of two sets has at least as many members
 as their bitmaps differ in bits), and what is left is counted exactly.
@@ -23,11 +24,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, hashed_words, maybe_in, slices, stored, windows, without
+from .common import byte_values, hashed_words, maybe_in, scratch, slices, stored, windows, without
 from .components import components, merged
 
 #: A shingle in this many documents goes to the end of the order.
@@ -43,8 +44,10 @@ GROUP_BYTES = 8_000_000
 ROWS = 1000
 #: Pairs of list entries that a task looks at together.
 PAIRS = 250_000
-#: Sets in a block of a long list.
+#: Sets in a block of a family.
 BLOCK = 128
+#: Places from here on are not told: they count as the first, which skips nothing.
+FAR = 65535
 #: The rounds of comparison after the pivot's: whether with one block of the family only, and how many
 #: candidates a set takes from a block; the last round takes all.
 ROUNDS = ((True, 2), (False, 2), (False, None))
@@ -156,6 +159,46 @@ def _hot(sets: DataFrame, total: int) -> np.ndarray:
     return np.packbits(hot.ravel())
 
 
+def _possible(i: np.ndarray, j: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of entries of one list that sizes and places do not rule out."""
+    most = np.minimum(size[i] - place[i], size[j] - place[j])
+    ok = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & ((100 + percent) * most >= percent * (size[i] + size[j]))
+    return i[ok], j[ok]
+
+
+def _block_pairs(at: np.ndarray, token: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of one list, for all lists among the entries `at`, which are in order of token,
+    size and place.
+
+    The entries of a list with one size are a block, in order of their places. An entry looks at its
+    own block and at those of larger sizes: a block is skipped if its size is too large for the
+    entry's, or if what follows the entry's place is too little for both sizes, and a block's rest
+    from the first place on after which its own sets have too little left. So no pair is made that
+    sizes or places rule out.
+    """
+    token, size, place = token[at], size[at], place[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (token[1:] != token[:-1]) | (size[1:] != size[:-1])
+    heads = np.flatnonzero(new)
+    block = np.cumsum(new) - 1
+    ends = np.append(heads[1:], len(at))
+    lasts = np.searchsorted(token[heads], token[heads], "right")  # the block after the last one of the block's list
+    sizes, order = size[heads], block * (FAR + 1) + place
+    for part in np.array_split(np.arange(len(at)), max(1, len(at) * LONG // PAIRS)):
+        many = lasts[block[part]] - block[part]
+        i = np.repeat(part, many)
+        b = block[i] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        need = -(-percent * (size[i] + sizes[b]) // (100 + percent))  # members in common, at least
+        ok = (100 * size[i] >= percent * sizes[b]) & (size[i] - place[i] >= need) & (sizes[b] >= need)
+        i, b, need = i[ok], b[ok], need[ok]
+        first = np.maximum(heads[b], np.where(b == block[i], i + 1, 0))
+        last = np.minimum(np.searchsorted(order, b * (FAR + 1) + np.minimum(sizes[b] - need, FAR), "right"), ends[b])
+        some = last > first
+        i, first, many = i[some], first[some], (last - first)[some]
+        j = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        yield at[np.repeat(i, many)], at[j]
+
+
 def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFrame:
     """Candidates from the shingles' lists: (kind 0, a, b) are pairs of sets to compare, (kind 1, a, b)
     says that set b stands in a long list whose pivot is set a. Sets are given by a 64-bit hash of
@@ -175,7 +218,7 @@ def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFr
                 own = np.concatenate([high[~end], high[end]])[:first] if end.any() else high[:first]
                 tokens.append(own)
                 who.append(np.full(len(own), len(names), np.uint32))
-                place.append(np.minimum(np.arange(len(own)), 65535).astype(np.uint16))
+                place.append(np.minimum(np.arange(len(own)), FAR).astype(np.uint16))
                 names.append(name)
                 sizes.append(n)
             if not names:
@@ -193,32 +236,29 @@ def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFr
 
     def pairs(table: pa.Table) -> pa.Table:
         token, name, place, size = (np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in (("tokens", np.uint32), ("names", np.int64), ("place", np.uint16), ("sizes", np.uint32)))
+        place = np.where(place == FAR, 0, place)
         names, who = np.unique(name, return_inverse=True)
-        order = np.lexsort((who, size, token))
+        order = np.lexsort((who, place, size, token))
         token, who, place, size = token[order], who[order], place[order].astype(np.int64), size[order].astype(np.int64)
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (who[1:] != who[:-1])  # equal sets of several tasks
         token, who, place, size = token[new], who[new], place[new], size[new]
-        place = np.where(place == 65535, 0, place)
         starts = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
         long = np.diff(np.append(starts, len(token)))
         found, members = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
-            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-            most = np.minimum(size[i] - place[i], size[j] - place[j])
-            ok = (100 * small >= percent * large) & ((100 + percent) * most >= percent * (size[i] + size[j]))
-            a, b = who[i[ok]], who[j[ok]]
+            a, b = who[i], who[j]
             found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
 
-        for m in np.unique(long[(long > 1) & (long <= LONG)]):
-            at, (x, y) = starts[long == m], np.triu_indices(m, 1)
-            for block in np.array_split(at, max(1, len(at) * len(x) // PAIRS)):
-                keep((block[:, None] + x).ravel(), (block[:, None] + y).ravel())
+        short = np.repeat((long > 1) & (long <= LONG), long)
+        for i, j in _block_pairs(np.flatnonzero(short), token, size, place, percent):
+            keep(i, j)
         for start, m in zip(starts[long > LONG], long[long > LONG], strict=True):
             at = np.arange(start, start + m)
             pivot = at[np.argmin(who[at])]
-            keep(np.full(m - 1, pivot), at[at != pivot])
+            rest = at[at != pivot]
+            keep(*_possible(np.full(m - 1, pivot), rest, size, place, percent))
             members.append(np.stack([np.full(m, who[pivot]), who[at]], 1))
         out = [np.unique(np.concatenate(x), axis=0) for x in (found, members)]
         kinds = np.repeat(np.arange(2, dtype=np.int32), [len(x) for x in out])
@@ -314,6 +354,34 @@ def _across(families: DataFrame, labels: DataFrame, sets: DataFrame, done: DataF
     return dealt.mapInArrow(compare, "a binary, b binary").distinct().join(done, ["a", "b"], "left_anti")
 
 
+def _components(rows: DataFrame, percent: int) -> DataFrame:
+    """(set, label) of all sets that have a link, from the rows of shingle_sets()."""
+    spark = rows.sparkSession
+    given = rows.where("tokens IS NOT NULL")
+    total = int(given.agg(F.sum("n")).first()[0] or 0)
+    with scratch(spark):
+        hot = _hot(given, total)
+        sets = stored(given.groupBy("set").agg(F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "sets", keep=True)
+    with scratch(spark):
+        found = stored(_lists(given, hot, total, percent), "candidates", keep=True)
+    pairs = found.where("kind = 0").select("a", "b").distinct()
+    with scratch(spark):
+        near = stored(_near(pairs, sets, percent), "near")
+        labels = components(stored(_linked(near, given, percent), "links"), keep=True)
+    families = found.where("kind = 1").select("a", "b").distinct()
+    if families.isEmpty():
+        return labels
+    families = stored(families.join(sets.select(F.xxhash64("set").alias("b"), "set"), "b").select("a", F.col("set").alias("b")), "families")
+    done = stored(spark.createDataFrame([], "a binary, b binary"), "done")
+    for one_block, most in ROUNDS:
+        with scratch(spark):
+            more = stored(_across(families, labels, sets, done, percent, one_block, most), "across", keep=True)
+            if not more.isEmpty():
+                done = done.unionByName(more)
+                labels = merged(labels, stored(_linked(more, given, percent), "links"), keep=True)
+    return labels
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """(key, n_shingles, component_id): component_id is the smallest key that can be reached by links.
 
@@ -324,24 +392,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     give a row each; a null key never is the smallest unless all of its component are null.
     Columns other than key and text are not read; an empty table gives an empty one.
     """
-    spark: SparkSession = docs.sparkSession
     rows = stored(shingle_sets(docs, key, text, words), "shingles")
-    given = rows.where("tokens IS NOT NULL")
-    total = int(given.agg(F.sum("n")).first()[0] or 0)
-    sets = stored(given.groupBy("set").agg(F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "sets")
-    found = stored(_lists(given, _hot(given, total), total, percent), "candidates")
-    pairs = found.where("kind = 0").select("a", "b").distinct()
-    labels = components(stored(_linked(stored(_near(pairs, sets, percent), "near"), given, percent), "links"))
-    families = found.where("kind = 1").select("a", "b").distinct()
-    if not families.isEmpty():
-        families = stored(families.join(sets.select(F.xxhash64("set").alias("b"), "set"), "b").select("a", F.col("set").alias("b")), "families")
-        done = stored(spark.createDataFrame([], "a binary, b binary"), "done")
-        for one_block, most in ROUNDS:
-            more = stored(_across(families, labels, sets, done, percent, one_block, most), "across")
-            if more.isEmpty():
-                continue
-            done = done.unionByName(more)
-            labels = merged(labels, stored(_linked(more, given, percent), "links"))
+    with scratch(docs.sparkSession):
+        labels = stored(_components(rows, percent), "labels", keep=True)
     smallest = rows.where("set IS NOT NULL").groupBy("set").agg(F.min("key").alias("least"))
     named = smallest.join(labels.toDF("set", "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     reached = named.groupBy("label").agg(F.min("least").alias("component_id"))

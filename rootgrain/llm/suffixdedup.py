@@ -20,6 +20,7 @@ joined again. That repeats until collections are small; a band of one column hol
 """
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, hashed_words, maybe_in, slices, stored
+from .common import byte_values, hashed_words, maybe_in, scratch, slices, stored
 
 SPAN = 400
 #: Starts of a text that are looked at together; longer texts are read in overlapping parts.
@@ -40,6 +41,9 @@ BANDS = (64, 8, 1)
 #: Bytes of pieces, about, whose columns are inserted together.
 GROUP_BYTES = 4_000_000
 
+#: Documents whose spans a task holds at once.
+ROWS = 200
+
 _BYTE = np.random.default_rng(20240101).integers(1, 2**64, 256, np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORDS = byte_values("spaced")
@@ -162,9 +166,8 @@ def repeated_starts(pieces: list[np.ndarray], lead: np.ndarray, collection: np.n
             long = common >= span
             found[column, order[long[:-1] | long[1:]]] = True
     # what an equal piece elsewhere holds, the count says
-    starts = np.array([len(p) for p in pieces]) - span + 1
-    at = np.arange(before + 1)[:, None] - (before - lead)
-    found |= (at >= 0) & (at < starts) & (times > 1)
+    for i in np.flatnonzero(times > 1).tolist():
+        found[before - lead[i] : before - lead[i] + len(pieces[i]) - span + 1, i] = True
     column, piece = np.nonzero(found)
     start = column - (before - lead[piece])
     sort = np.lexsort((start, piece))
@@ -311,8 +314,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     """
     names = [c if c.lower() != key.lower() else f"_{c}" for c in ("n_bytes", "n_removed", "n_spans", "spans", "kept", "passages")]
     units = {"bytes": span} | ({"words": passage_words} if passage_words else {})
-    found = [stored(repeated(docs, key, text, length, unit), "repeated").withColumn("unit", F.lit(unit)) for unit, length in units.items()]
-    every = found[0].unionByName(found[1]) if passage_words else found[0]
+    found = []
+    for unit, length in units.items():
+        with scratch(docs.sparkSession):
+            found.append(stored(repeated(docs, key, text, length, unit), "repeated", keep=True).withColumn("unit", F.lit(unit)))
+    every = reduce(DataFrame.unionByName, found)
     own = lambda unit: F.collect_set(F.when(F.col("unit") == unit, F.struct("start", "n")))
     lists = every.groupBy("d").agg(own("bytes").alias("starts"), own("words").alias("words"))
     rows = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("th")).alias("_d"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
@@ -325,7 +331,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = lambda spans: [{"start": a, "length": b - a} for a, b in spans]
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out = []
             for value, starts, words in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 data, spans = value.encode("utf-8", "surrogatepass"), _merged(starts, span)

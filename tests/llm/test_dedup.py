@@ -185,3 +185,14 @@ def test_line_dedup_of_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.text, r.n_removed) for r in linededup.line_dedup(docs).collect())
     assert [x[2] for x in got] == [0, 1, 1]
     assert linededup.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_block_pairs_are_the_possible_pairs_of_each_list():
+    r = np.random.default_rng(2)
+    token, size, place = r.integers(0, 40, 300), r.integers(5, 40, 300), r.integers(0, 12, 300)
+    order = np.lexsort((place, size, token))
+    token, size, place = token[order], size[order], place[order]
+    got = [(a, b) for i, j in ngramjoin._block_pairs(np.arange(300), token, size, place, 75) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    i, j = np.triu_indices(300, 1)
+    want = ngramjoin._possible(*(x[token[i] == token[j]] for x in (i, j)), size, place, 75)
+    assert sorted(got) == sorted(zip(*(x.tolist() for x in want), strict=True)) and len(got) > 100
