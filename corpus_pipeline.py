@@ -11,19 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootgrain.llm import decontam, linededup, ngramjoin, packing, toxicity
-from rootgrain.llm.common import shared_dir
+from rootgrain.llm.common import fresh, removed, scratch, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.score(docs, score="_score").where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = fresh(docs, "_score")[0]
+    return model.score(docs, score=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; those of which nothing is left go."""
-    left = linededup.line_dedup(docs).where("n_removed = 0 OR n_removed < n_lines")
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    others = F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")]) if len(docs.columns) > 2 else F.lit(0)
+    left = linededup.line_dedup(docs.select("doc_id", "text", others.alias("others"))).where("n_removed = 0 OR n_removed < n_lines")
+    counted = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("others.n_chars")) if "n_chars" in docs.columns else None
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": counted}
+    return left.select(*[own.get(c, F.col("others")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents table; each result is a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to the documents table; each result is a table in the shared folder until the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/rootgrain/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs
