@@ -135,10 +135,13 @@ def fingerprint(*columns: str) -> Column:
 
 def anti_pollution(cases: DataFrame, signals: DataFrame, public: DataFrame, similar: float = 0.9, overlap: float = 0.5) -> DataFrame:
     """G5: near-duplicate task texts, overlapping windows, repeated cases, members of a public set (by
-    fingerprint, column fp) and personal data or secrets in the first 200 signals of a case."""
+    fingerprint, column fp) and personal data or secrets in the task text, in the declared cause or in
+    logs among the first 200 signals of a case."""
     marked = cases.withColumn("_fp", fingerprint("system", "fault_type", "inject_time", "root_entity_id", "window_start", "window_end"))
     again = marked.withColumn("_n", F.row_number().over(Window.partitionBy("_fp").orderBy("case_ord"))).where("_n > 1")
-    leaky = signals.where("signal = 'log' AND signal_idx < 200").where(text.sensitive(F.col("body"))).select("case_id").distinct()
+    head = signals.withColumn("_n", F.row_number().over(Window.partitionBy("case_id").orderBy("signal_idx"))).where("_n <= 200 AND signal = 'log'").where(text.sensitive(F.col("body")))
+    said = cases.where(text.sensitive(F.concat_ws("\n", *[c for c in ("query", "reason", "component") if c in cases.columns])))
+    leaky = head.select("case_id").union(said.select("case_id")).distinct()
     checks = [
         _violations(similar_texts(cases, similar).withColumnRenamed("b", "case_id"), "G5", "NEAR_DUPLICATE_QUERY", F.concat(F.lit("task text like that of "), "a"), "query"),
         _violations(overlapping_windows(cases, overlap).withColumnRenamed("b", "case_id"), "G5", "OVERLAPPING_WINDOW", F.concat(F.lit("window overlaps that of "), "a"), "window"),
@@ -149,6 +152,54 @@ def anti_pollution(cases: DataFrame, signals: DataFrame, public: DataFrame, simi
     return reduce(DataFrame.unionByName, checks)
 
 
+def difficulty_distribution(cases: DataFrame, floors: DataFrame, max_l1: float = 0.2, min_l4: float = 0.1, min_cases: int = 10) -> DataFrame:
+    """One row (n, graded, l1_share, l4_share, codes) of cases (case_id, difficulty) and their floors: with
+    min_cases graded ones or more, DIFFICULTY_SKEWED_EASY where too many of those are L1, and
+    DIFFICULTY_SKEWED_HARD where too few of all cases have earned L4."""
+    level = cases.select("case_id", "difficulty").join(floors.select("case_id", "floor"), "case_id", "left")
+    told = level.agg(F.count("*").alias("n"), F.count("difficulty").alias("graded"), F.count_if(F.col("difficulty") == "L1").alias("l1"), F.count_if(F.col("floor") == "L4").alias("l4"))
+    shares = told.select("n", "graded", F.try_divide("l1", "graded").alias("l1_share"), F.try_divide("l4", "n").alias("l4_share"))
+    codes = F.array_compact(F.array(F.when(F.col("l1_share") > max_l1, "DIFFICULTY_SKEWED_EASY"), F.when(F.col("l4_share") < min_l4, "DIFFICULTY_SKEWED_HARD")))
+    return shares.withColumn("codes", F.when(F.col("graded") >= min_cases, codes).otherwise(F.array().cast("array<string>")))
+
+
+def discrimination(readings: DataFrame) -> DataFrame:
+    """One row (n, strict, tie, same_component, none, violated) of readings (case_id, kind): a set in which no
+    case has a strictly louder, separate component above its answer is violated, an empty one is not."""
+    kinds = ("strict", "tie", "same-component", "none")
+    told = readings.agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(k.replace("-", "_")) for k in kinds])
+    return told.withColumn("violated", (F.col("n") > 0) & (F.col("strict") == 0))
+
+
+def g4(cases: DataFrame, outcomes: DataFrame, floors: DataFrame, **limits) -> DataFrame:
+    """(case_id, code) of G4: cases that no baseline finds, and with a null case the codes of the set's
+    difficulty and of saturated methods."""
+    unsolved = solvability(cases, outcomes).where("NOT solvable").select("case_id", F.lit("UNSOLVABLE").alias("code"))
+    nobody = F.lit(None).cast("string").alias("case_id")
+    spread = difficulty_distribution(cases, floors, **limits).select(nobody, F.explode("codes").alias("code"))
+    loud = saturation(outcomes).where("saturated").select(nobody, F.lit("SATURATED").alias("code"))
+    return unsolved.unionByName(spread).unionByName(loud)
+
+
+def _name(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[-_./]+", " "), r"\s+", " "))
+
+
+def prompt_leaks(cases: DataFrame, min_length: int = 6, query: str = "query", component: str = "component") -> DataFrame:
+    """(case_id, judged, leaks): whether the task text names the root cause's component, as whole words, case
+    and punctuation of names aside; a name of fewer characters than min_length is not judged."""
+    name = _name(F.col(component))
+    judged = F.coalesce(F.length(name) >= min_length, F.lit(False))
+    pattern = F.concat(F.lit(r"(^|[^a-z0-9])\Q"), F.regexp_replace(name, r"\\E", ""), F.lit(r"\E([^a-z0-9]|$)"))
+    return cases.select("case_id", judged.alias("judged"), (judged & F.regexp_like(_name(F.coalesce(F.col(query), F.lit(""))), pattern)).alias("leaks"))
+
+
+def absent_answers(cases: DataFrame, signals: DataFrame) -> DataFrame:
+    """(case_id, component, carried) of cases whose series carry names, sorted, but not that of the answer."""
+    names = signals.where("trim(service) <> ''").groupBy("case_id").agg(F.sort_array(F.collect_set("service")).alias("carried"))
+    return cases.select("case_id", "component").join(names, "case_id").where(~F.array_contains("carried", F.col("component")))
+
+
 def status(cases: DataFrame, violations: DataFrame) -> DataFrame:
     """(case_id, status): rejected by G1 or G2, quarantined by any other gate, admitted without violations."""
     worst = violations.groupBy("case_id").agg(F.bool_or(F.col("gate_id").isin("G1", "G2")).alias("_hard"))

@@ -3,31 +3,49 @@
 rows hold the prediction and the truth of a case side by side, as columns of arrays and texts.
 """
 
+from collections import defaultdict
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .compare import set_f1
 from .scoring import normal
 
-#: Roots of one case, at most: the best of all assignments is found by subsets of them.
-MAX_ROOTS = 12
-
 
-def best_assignment(weights: Column) -> Column:
+def _best(weights: np.ndarray) -> float:
+    """The largest sum of one weight from each row and column: rows are added one after another, each by
+    the cheapest chain of columns that change hands, under prices that keep all chosen pairs cheapest."""
+    n = len(weights)
+    row_price, price, owner = np.zeros(n + 1), np.zeros(n + 1), np.full(n + 1, -1)  # column n stands for the row that is added
+    for row in range(n):
+        owner[n], column = row, n
+        least, came, done = np.full(n, np.inf), np.full(n, -1), np.zeros(n + 1, bool)
+        while owner[column] >= 0:
+            done[column] = True
+            free = np.flatnonzero(~done[:n])
+            slack = -weights[owner[column], free] - row_price[owner[column]] - price[free]
+            nearer = slack < least[free]
+            least[free[nearer]], came[free[nearer]] = slack[nearer], column
+            step_to = free[np.argmin(least[free])]
+            step = least[step_to]
+            taken = np.flatnonzero(done)
+            row_price[owner[taken]] += step
+            price[taken] -= step
+            least[free] -= step
+            column = step_to
+        while column != n:
+            owner[column], column = owner[came[column]], came[column]
+    return float(weights[owner[:n], np.arange(n)].sum())
+
+
+@F.pandas_udf(T.DoubleType())
+def best_assignment(weights: pd.Series) -> pd.Series:
     """The largest sum of one weight from each row and each column of a square matrix (an array of
-    arrays of doubles); 0 for an empty one. For each set of columns, as a bit mask, the best sum of as
-    many first rows is kept. Above MAX_ROOTS rows the job fails."""
-    size = F.size(weights)
-    power = lambda n: F.call_function("shiftleft", F.lit(1), n)
-    masks = F.sequence(F.lit(0), power(size) - 1)
-
-    def with_row(best: Column, row: Column) -> Column:
-        last = lambda m: F.transform(row, lambda w, j: F.when(F.getbit(m, j) == 1, F.element_at(best, m - power(j) + 1) + w))
-        return F.transform(masks, lambda m: F.array_max(last(m)))
-
-    start = F.transform(masks, lambda m: F.when(m == 0, 0.0))
-    total = F.aggregate(weights, start, with_row, lambda best: F.element_at(best, -1))
-    return F.when(size > MAX_ROOTS, F.raise_error(F.lit(f"more than {MAX_ROOTS} roots in one case"))).otherwise(total)
+    arrays of doubles) of any size; 0 for an empty one, null for null."""
+    return pd.Series([None if w is None else _best(np.array([np.asarray(r, float) for r in w])) if len(w) else 0.0 for w in weights], dtype="float64")
 
 
 def _all_declare(roots: Column, criterion: str) -> Column:
@@ -46,14 +64,17 @@ def root_weights(predicted: Column, truth: Column, same_time) -> Column:
     )
 
 
-def assigned_score(predicted: Column, truth: Column, same_time) -> Column:
-    """Share of all declared criteria that the best assignment of predicted to true roots earns; 0 where
-    their numbers differ, and for a truth that declares nothing. A criterion that only some of the true
-    roots declare earns nothing and is counted."""
-    declared = F.aggregate(truth, F.lit(0), lambda s, t: s + t["component"].isNotNull().cast("int") + t["reason"].isNotNull().cast("int") + t["time"].isNotNull().cast("int"))
-    equal = F.size(predicted) == F.size(truth)
-    earned = best_assignment(F.when(equal, root_weights(predicted, truth, same_time)))
-    return F.when(equal & (declared > 0), earned / declared).otherwise(0.0)
+def assigned_scores(rows: DataFrame, predicted: str, truth: str, same_time, score: str = "score") -> DataFrame:
+    """rows with the share of all declared criteria that the best assignment of predicted to true roots
+    earns; 0 where their numbers differ, and for a truth that declares nothing. A criterion that only
+    some of the true roots declare earns nothing and is counted."""
+    p, t = F.col(predicted), F.col(truth)
+    declared = F.aggregate(t, F.lit(0), lambda s, r: s + r["component"].isNotNull().cast("int") + r["reason"].isNotNull().cast("int") + r["time"].isNotNull().cast("int"))
+    weights = F.when(F.size(p) == F.size(t), root_weights(p, t, same_time))
+    known = rows.withColumns({"_weights": weights, "_declared": declared})
+    # read twice, so that the weights are computed before the assignment and not within it
+    earned = F.when(F.col("_weights").isNotNull() & (F.col("_declared") > 0), best_assignment("_weights") / F.col("_declared"))
+    return known.withColumn(score, F.coalesce(earned, F.lit(0.0))).drop("_weights", "_declared")
 
 
 def chain_nodes(edges: Column) -> Column:
@@ -61,21 +82,26 @@ def chain_nodes(edges: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(edges, lambda e: F.split(e, "->"))), lambda n: n != ""))
 
 
-def reaches(rows: DataFrame, case: str, edges: str, root: str, targets: str, most: int = 64) -> DataFrame:
-    """(case, reached): whether a path of one edge or more leads from the root to a target over the
-    case's own edges. A round follows all edges of all cases by one step; it ends when nothing is new."""
-    steps = rows.select(F.col(case).alias("c"), F.explode(edges).alias("e")).select("c", F.split("e", "->").alias("e")).where("size(e) = 2").select("c", F.col("e")[0].alias("a"), F.col("e")[1].alias("b")).where("a <> '' AND b <> ''").distinct()
-    seen = rows.select(F.col(case).alias("c"), F.col(root).alias("a")).join(steps, ["c", "a"]).select("c", F.col("b").alias("n")).distinct()
-    folder = rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    count = -1
-    for _ in range(most):
-        seen = seen.checkpoint() if folder else seen
-        if (now := seen.count()) == count:
-            break
-        count = now
-        seen = seen.unionByName(seen.withColumnRenamed("n", "a").join(steps, ["c", "a"]).select("c", F.col("b").alias("n"))).distinct()
-    hit = rows.select(F.col(case).alias("c"), F.explode(targets).alias("n")).join(seen, ["c", "n"], "left_semi").select(F.col("c").alias(case)).distinct().withColumn("reached", F.lit(True))
-    return rows.select(case).join(hit, case, "left").select(case, F.coalesce("reached", F.lit(False)).alias("reached"))
+@F.pandas_udf(T.BooleanType())
+def reaches(edges: pd.Series, root: pd.Series, targets: pd.Series) -> pd.Series:
+    """Whether a path of one `a->b` edge or more leads from the root to a target, over the row's own edges,
+    however long it is."""
+
+    def led(own: list[str], start: str, wanted: list[str]) -> bool:
+        after = defaultdict(list)
+        for a, b in (e.split("->") for e in own if e.count("->") == 1):
+            if a and b:
+                after[a].append(b)
+        seen, todo, goal = set(), [start], set(wanted)
+        while todo:
+            new = set(after[todo.pop()]) - seen
+            if new & goal:
+                return True
+            seen |= new
+            todo += new
+        return False
+
+    return pd.Series([led(*row) for row in zip(edges, root, targets, strict=True)], dtype=bool)
 
 
 def chain_scores(rows: DataFrame, case: str = "case_id") -> DataFrame:
@@ -89,10 +115,8 @@ def chain_scores(rows: DataFrame, case: str = "case_id") -> DataFrame:
     known = known.withColumn("_nodes", chain_nodes(F.col("true_chain")))
     service = (F.col("true_component") != "") & (F.col("component") == F.col("true_component"))
     kind = (F.col("true_fault") != "") & (F.col("fault") == F.col("true_fault"))
-    led = reaches(known, case, "chain", "true_component", "_nodes")
-    both = known.join(led, case)
-    path = F.when(F.size("true_chain") > 0, (service & F.col("reached")).cast("int"))
-    return both.select(case, (service & kind).cast("int").alias("em"), service.cast("int").alias("any_service"), set_f1(chain_nodes(F.col("chain")), F.col("_nodes")).alias("node_f1"), set_f1(F.col("chain"), F.col("true_chain")).alias("edge_f1"), path.alias("path"))
+    path = F.when(F.size("true_chain") > 0, (service & reaches("chain", "true_component", "_nodes")).cast("int"))
+    return known.select(case, (service & kind).cast("int").alias("em"), service.cast("int").alias("any_service"), set_f1(chain_nodes(F.col("chain")), F.col("_nodes")).alias("node_f1"), set_f1(F.col("chain"), F.col("true_chain")).alias("edge_f1"), path.alias("path"))
 
 
 def conjunction(facets: dict[str, tuple[Column, Column]]) -> Column:

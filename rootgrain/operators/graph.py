@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import EDGE_RELATIONS, RELATION_SIDES
+from ..sources.shared import kept
 
 
 def entity_id(kind: Column, namespace: Column, name: Column) -> Column:
@@ -36,36 +37,35 @@ def ambiguous_aliases(entities: DataFrame) -> DataFrame:
     return keys.groupBy("ref").agg(F.array_sort(F.collect_set("entity_id")).alias("owners")).where(F.size("owners") > 1)
 
 
-def closure(edges: DataFrame, relations: tuple[str, ...] = ("contains", "hosts"), most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, relations: tuple[str, ...] = ("contains", "hosts")) -> DataFrame:
     """(outer, inner): which entity lies within which, over one edge or more. Paths double in length
-    each round, so that the rounds are the logarithm of the depth; a cycle ends as nothing new comes.
-    Intermediate tables are checkpointed where the session names a folder for that."""
+    each round, so that the rounds are the logarithm of the depth; a cycle ends as nothing new comes."""
     direct = edges.where(F.col("relation").isin(*relations)).select(F.col("src").alias("outer"), F.col("dst").alias("inner")).distinct()
-    reached, count = direct, -1
-    for _ in range(most):
-        if edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            reached = reached.checkpoint()
-        if (now := reached.count()) == count:
-            break
+    reached, count = kept(direct, "closure"), -1
+    while (now := reached.count()) != count:
         count = now
         step = reached.select(F.col("outer").alias("_a"), F.col("inner").alias("_b")).join(reached, F.col("_b") == F.col("outer")).select(F.col("_a").alias("outer"), "inner")
-        reached = reached.unionByName(step).distinct()
+        reached = kept(reached.unionByName(step).distinct(), "closure")
     return reached
 
 
-def connected(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(node, label): label is the smallest node that can be reached over edges in either direction."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    labels = nodes.select(F.col("node"), F.col("node").alias("label"))
-    for _ in range(most):
+def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, label): label is the smallest node that can be reached over edges in either direction.
+
+    Each round a node takes the smallest label of its neighbours, then that label's own label, so that
+    reach doubles in the usual case; it ends when no label changes, however long the paths are.
+    """
+    both = kept(edges.select("src", "dst").union(edges.select("dst", "src")).where("src != dst").distinct(), "neighbours")
+    labels = kept(nodes.select(F.col("node"), F.col("node").alias("label")).distinct(), "labels")
+    while True:
         near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("_near"))
-        moved = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("label", F.coalesce("_near", "label")).alias("_next"), "label")
-        if moved.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            moved = moved.checkpoint()
-        labels = moved.select("node", F.col("_next").alias("label"))
-        if moved.where("_next != label").isEmpty():
-            break
-    return labels
+        taken = labels.join(near, F.col("node") == F.col("src"), "left").select("node", "label", F.least("label", F.coalesce("_near", "label")).alias("_next"))
+        jump = labels.select(F.col("node").alias("_next"), F.col("label").alias("_jump"))
+        moved = taken.join(jump, "_next", "left").select("node", "label", F.least("_next", F.coalesce("_jump", "_next")).alias("_next"))
+        moved = kept(moved.select("node", F.col("_next").alias("label"), (F.col("_next") != F.col("label")).alias("moved")), "labels")
+        labels = moved.select("node", "label")
+        if moved.where("moved").isEmpty():
+            return labels
 
 
 def merge_aliases(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

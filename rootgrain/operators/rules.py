@@ -114,8 +114,8 @@ def expression(text: str, columns: dict[str, Column]) -> Column:
 def _groups(pattern: str) -> tuple[str, dict[str, int]]:
     """The pattern without group names, and the number of each named group."""
     names, number = {}, 0
-    for m in re.finditer(r"\\.|\((?!\?)|\(\?<([A-Za-z_]\w*)>|\(\?P<([A-Za-z_]\w*)>", pattern):
-        if m[0][0] != "\\":
+    for m in re.finditer(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\((?!\?)|\(\?<([A-Za-z_]\w*)>|\(\?P<([A-Za-z_]\w*)>", pattern):
+        if m[0][0] == "(":
             number += 1
             if name := m[1] or m[2]:
                 names[name] = number
@@ -158,8 +158,9 @@ def _apply(rule: Rule, columns: dict[str, Column]) -> tuple[dict[str, Column], C
         pattern, names = _groups(rule.pattern)
         found = {n: F.regexp_extract(source, pattern, i) for n, i in names.items()}
         missed = ~source.rlike(pattern)
-        for value in found.values():
-            missed = missed | (value == "")
+        for name, i in names.items():
+            # an empty group may have taken part or not; only one that has can be referred to
+            missed = missed | ((found[name] == "") & ~source.rlike(f"(?:{pattern})\\{i}"))
         return found, missed, "PATTERN_MISMATCH"
     if rule.kind == "template":
         text = F.trim(F.regexp_replace(source, r"\s+", " "))

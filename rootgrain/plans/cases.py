@@ -1,23 +1,13 @@
-"""Registered queries of declared series, rankings and difficulty."""
+"""Registered queries of rankings and difficulty."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chains, generate
+from ..operators import chains
 from .queries import query
 from .views import table
 
 
-@query(f"""WITH d AS (SELECT p_partkey, p_size::DOUBLE AS b, p_retailprice AS p, p_partkey % 2 = 0 AS exact, p_partkey % 8 + 1 AS hold FROM part), o AS (SELECT *, unnest(generate_series(0, 15)) AS ord FROM d),
-l AS (SELECT *, ord % 8 AS i, CASE WHEN ord >= 8 AND ord % 8 < hold THEN p ELSE b END AS level FROM o)
-SELECT p_partkey, ord, CASE WHEN ord >= 8 THEN 8000 + (i + 1) * 2000 ELSE i * 1000 END AS ts_ms, round(greatest(CASE WHEN exact THEN level ELSE level * (1 + {list(generate.JITTER)}[i + 1] * {generate.NOISE}) END, 0), 4) AS value FROM l""")
-def series_generator(spark: SparkSession, d: str) -> DataFrame:
-    """A series for each part: its size before the onset, its price after it."""
-    k = F.col("p_partkey")
-    declared = table(spark, d, "part").select(k.cast("string").alias("case_id"), F.lit("s").alias("service"), F.lit("n").alias("name"), F.lit("ms").alias("unit"), F.col("p_size").cast("double").alias("baseline"), F.col("p_retailprice").alias("post"), F.lit(False).alias("counter"), (k % 2 == 0).alias("exact"), (k % 8 + 1).cast("int").alias("hold"), F.lit(0).cast("long").alias("start_ms"), F.lit(8000).cast("long").alias("onset_ms"), F.lit(24000).cast("long").alias("end_ms"))
-    return generate.expand_series(declared).select(F.col("case_id").cast("long").alias("p_partkey"), "ord", "ts_ms", F.round("value", 4).alias("value"))
-
-
 @query("""WITH t AS (SELECT l_orderkey, max(l_partkey) AS truth FROM lineitem GROUP BY ALL), l AS (SELECT DISTINCT l_orderkey, l_returnflag, l_partkey, max(l_quantity) OVER (PARTITION BY l_orderkey, l_returnflag, l_partkey) AS q FROM lineitem),
 r AS (SELECT l.*, truth, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY q DESC, CAST(l_partkey AS VARCHAR)) AS n FROM l JOIN t USING (l_orderkey))
 SELECT CAST(l_orderkey AS VARCHAR) AS case_id, l_returnflag AS method, min(CASE WHEN l_partkey = truth THEN n END) AS rank_of_truth, count(*) AS candidate_count FROM r GROUP BY ALL""")

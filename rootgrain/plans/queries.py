@@ -312,12 +312,14 @@ def metric_csv_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.csv_line(F.col("p_name"), quoted, F.col("p_size").cast("string")).alias("line"))
 
 
-@query("""WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS path, text AS content FROM documents WHERE doc_id % 5 <> 0), m AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 3 <> 0)
+@query("""WITH f AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'new/' ELSE '' END || doc_id AS path, text AS content FROM documents), m AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'old/' ELSE '' END || doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS h FROM documents)
 SELECT coalesce(m.path, f.path) AS path, CASE WHEN f.path IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'extra' WHEN h = sha256(content) THEN 'match' ELSE 'mismatch' END AS verdict FROM m FULL JOIN f USING (path)""")
 def checksum_diff(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    changed = docs.select("doc_id", "path", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("content"))
-    return compare.verify(compare.checksums(changed.where("doc_id % 3 != 0")), docs.where("doc_id % 5 != 0").select("path", "content"))
+    """All documents as files, against a manifest in which some have other names and some other contents."""
+    docs = table(spark, d, "documents")
+    path = lambda n, folder: F.concat(F.when(F.col("doc_id") % n == 0, folder).otherwise(""), F.col("doc_id").cast("string")).alias("path")
+    changed = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    return compare.verify(compare.checksums(docs.select(path(3, "old/"), changed.alias("content"))), docs.select(path(5, "new/"), F.col("text").alias("content")))
 
 
 @query("""WITH l AS (SELECT l_returnflag AS f, l_linestatus AS s, l_quantity AS q, count(*) AS n FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL), r AS (SELECT l_returnflag AS f, l_linestatus AS s, l_quantity AS q, count(*) AS n FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY ALL)

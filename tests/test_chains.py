@@ -1,6 +1,4 @@
-import pytest
-
-from rootgrain.operators import chains, generate
+from rootgrain.operators import chains
 
 
 def graph(spark):
@@ -51,10 +49,3 @@ def test_rankings(spark):
     assert {x.method: (x.before, x.after) for x in chains.pool_narrowing(c, r).collect()}["inner"] == (2, 1)
     told = {x.method: (x.rank_of_truth, x.candidate_count) for x in chains.outcomes(c, r).collect()}
     assert told["inner"] == (2, 2) and told["zero"] == (None, 2) and told["gone"] == (None, 1)
-
-
-@pytest.mark.parametrize(("unit", "counter", "exact", "hold", "want"), [("ms", False, True, 2, [10.0] * 8 + [50.0, 50.0] + [10.0] * 6), ("count", True, False, None, [10.0] * 8 + [15.0, 20.0, 25.0, 30.0, 35.0, 40.0, 45.0, 50.0]), ("ms", False, False, None, [10.0, 10.2, 9.8, 10.1, 9.9, 10.16, 9.84, 10.06, 50.0, 51.0, 49.0, 50.5, 49.5, 50.8, 49.2, 50.3])])
-def test_series(spark, unit, counter, exact, hold, want):
-    d = spark.createDataFrame([("c", "s", "n", unit, 10.0, 50.0, counter, exact, hold, 0, 800, 1600)], "case_id string, service string, name string, unit string, baseline double, post double, counter boolean, exact boolean, hold int, start_ms long, onset_ms long, end_ms long")
-    got = generate.expand_series(d).orderBy("ord").collect()
-    assert [r.value for r in got] == want and [r.ts_ms for r in got] == [*range(0, 800, 100), *range(900, 1700, 100)]

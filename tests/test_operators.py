@@ -1,4 +1,6 @@
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,10 +170,46 @@ def test_assigned_scores(spark):
     right = [("a", "x", "2024-01-01 00:00:30"), ("b", "y", "2024-01-01 01:00:00")]
     rows = [(right[::-1], right), (right[:1], right), (right, [("a", "x", None), ("b", None, None)]), ([], []), ([("a", "q", "2024-01-01T00:01:30")], [right[0]])]
     df = spark.createDataFrame(rows, f"p {root}, t {root}")
-    got = [r[0] for r in df.select(grading.assigned_score(F.col("p"), F.col("t"), scoring.time_matches)).collect()]
+    got = [r.score for r in grading.assigned_scores(df, "p", "t", scoring.time_matches).collect()]
     assert got == pytest.approx([1.0, 0.0, 2 / 3, 0.0, 2 / 3])
 
 
+def test_best_assignment_of_any_size(spark):
+    r = random.Random(3)
+    small = [[[float(r.randint(0, 3)) for _ in range(n)] for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 6)]
+    want = [max(sum(m[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(len(m)))) for m in small]
+    n = 40
+    large = [[5.0 if (7 * i + 3) % n == j else float((i * j) % 4) for j in range(n)] for i in range(n)]
+    df = spark.createDataFrame([(m,) for m in [*small, large]], "m array<array<double>>").coalesce(1)
+    assert [x[0] for x in df.select(grading.best_assignment(F.col("m"))).collect()] == [*want, 5.0 * n]
+
+
+def test_assigned_roots_of_whole_orders(spark):
+    from rootgrain.plans import documents
+
+    folder = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").collect()
+    sides = {}
+    for x in lines:
+        sides.setdefault(x.l_orderkey, ([], []))[1 - x.l_linenumber % 2].append((x.l_returnflag, x.l_linestatus))
+    want = {}
+    for k, (p, t) in sides.items():
+        even = len(p) == len(t) and t
+        want[k] = max(sum((a[0] == b[0]) + (a[1] == b[1]) for a, b in zip(q, t, strict=True)) for q in itertools.permutations(p)) / (2 * len(t)) if even else 0.0
+    assert {x.l_orderkey: x.score for x in documents.assigned_roots(spark, folder).collect()} == pytest.approx(want)
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    chain = [f"n{i}->n{i + 1}" for i in range(1000)]
+    rows = spark.createDataFrame([("a", chain, "n0", ["n1000"]), ("b", chain, "n1", ["n0"]), ("c", ["x->y", "y->x"], "x", ["x"]), ("d", [], "x", ["x"])], "c string, e array<string>, r string, t array<string>")
+    assert {x[0]: x[1] for x in rows.select("c", grading.reaches("e", "r", "t")).collect()} == {"a": True, "b": False, "c": True, "d": False}
+    order = list(range(1000))
+    random.Random(1).shuffle(order)
+    edges = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:], strict=False)] + [(2000, 2001), (2002, 2002)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in [*order, 2000, 2001, 2002, 2003]], "node long")
+    assert {x.node: x.label for x in graph.connected(edges, nodes).collect()} == dict.fromkeys(order, 0) | {2000: 2000, 2001: 2000, 2002: 2002, 2003: 2003}
+
+
 def test_chain_scores(spark):
     rows = [("1", "a", "f", ["a->b", "b->c"], "a", "f", ["a->b", "b->c"]), ("2", "a", "f", ["a->x", "x->c"], "a", "g", ["a->b", "b->c"]), ("3", "z", "f", ["a->b"], "a", "f", ["a->b"]), ("4", "a", None, [], "a", None, [])]
     got = {r.case_id: tuple(r)[1:] for r in grading.chain_scores(spark.createDataFrame(rows, "case_id string, component string, fault string, chain array<string>, true_component string, true_fault string, true_chain array<string>")).collect()}
