@@ -149,11 +149,14 @@ def oracle_sql() -> str:
         first.setdefault("".join(LETTER[i] for i in ids), licence)
     licence = "CASE m " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in first.items()) + " END"
     name = "CASE c " + " ".join(f"WHEN '{LETTER[n]}' THEN '{n}'" for n, _ in SENTENCES) + " END"
+    re = _sql_regex
     return f"""
-WITH cut AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)), lambda s: regexp_matches(s, {_sql_regex(SPEAKS)})) AS ss FROM documents),
-normal AS (SELECT doc_id, list_transform(ss, lambda s: trim(regexp_replace(s, '[ \\t\\r]+', ' ', 'g'))) AS ss FROM cut WHERE len(ss) > 0),
-seq AS (SELECT doc_id, array_to_string(list_transform(ss, lambda s: {letter}), '') AS q FROM normal)
+WITH lines AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), {re(MARKS)}, '', 'g') AS t, regexp_matches(lower(coalesce(text, '')), {re(SPEAKS_WRAPPED)}) AS speaks FROM documents),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, ':[ \\t\\r]+\\n', chr(10) || chr(10) || chr(10), 'g'), '([.!?])[ \\t\\r]+', '\\1' || chr(10) || chr(10), 'g'), '([.!?:])\\n', '\\1' || chr(10) || chr(10) || chr(10), 'g') AS t FROM lines WHERE speaks),
+b AS (SELECT doc_id, regexp_replace(t, '\\n([ \\t]*[-•][ \\t])', chr(10) || chr(10) || '\\1', 'g') AS t FROM a),
+normal AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\\n[ \\t\\r]*\\n'), lambda s: regexp_replace(regexp_replace(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), '[ \\t\\r]*\\n[ \\t\\r]*', chr(10), 'g'), '[ \\t\\r]+', ' ', 'g')), lambda s: regexp_matches(replace(s, chr(10), ' '), {re(SPEAKS)})) AS ss FROM b),
+seq AS (SELECT doc_id, array_to_string(list_transform(ss, lambda x: CASE WHEN contains(x, chr(10)) THEN coalesce(nullif(array_to_string(list_transform(regexp_extract_all(replace(x, chr(10), ' '), {re("(" + ANY_SENTENCE + ")")}, 0), lambda s: {letter}), ''), ''), '{UNKNOWN}')
+  ELSE {letter.replace("(s, ", "(x, ")} END), '') AS q FROM normal)
 SELECT doc_id,
   array_to_string(list_transform(regexp_extract_all(q, '({RULE_PATTERN})', 1), lambda m: {licence}), ',') AS licenses,
   array_to_string(list_transform(list_filter(string_split(q, ''), lambda c: c <> '{UNKNOWN}' AND c <> ''), lambda c: {name}), ',') AS licence_sentences,

@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are mapped to the letters of a small alphabet: insult, threat, target, negation, reported
-speech, other. Four transducers read those letters clause by clause: `negation` weakens insults and
-threats that stand shortly after a negation, `reported` weakens what follows a verb of saying,
-`target` strengthens insults near a person addressed, `threat` pays only for threats with a target.
+speech, other. Five transducers read those letters clause by clause: `insult` pays for insults, and
+more for those that follow one another, `threat` pays only for threats with a target, `target`
+strengthens insults near a person addressed, `negation` weakens insults and threats that stand
+shortly after a negation, `reported` weakens what follows a verb of saying.
 They are composed once into one deterministic table; the weight of a clause is what the composed
 machine pays for it. What insults there are and what they weigh is learned from labelled documents,
 and so is how the clause weights of a document make its score.
@@ -25,11 +26,12 @@ from .common import Memo, stored
 MAX_LABELLED = 20_000
 #: Insults that are learned, at most.
 MAX_TERMS = 200
-#: Toxic documents that a learned insult must newly explain, and the share of its documents that must be toxic.
+#: Toxic documents that a learned insult must newly explain, and the share of its documents that must be
+#: toxic: a weak sign is weighed as one, and a general word beginning beats words that copies have in common.
 MIN_SUPPORT = 5
-MIN_PRECISION = 0.95
+MIN_PRECISION = 0.5
 #: Lengths of the word beginnings that are tried beside whole words.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: From this score on a document counts as toxic.
 THRESHOLD = 0.7
 
@@ -99,7 +101,8 @@ def grammar() -> dict[int, dict[str, tuple[int, float]]]:
     reported = _within(REPORTED, INSULT + THREAT, 0.6, reach=12)
     target = _within(TARGET, INSULT, 1.3)
     threat = _within(TARGET, THREAT, 0.5, otherwise=0.0)
-    return (negation @ reported @ target @ threat).table()
+    insult = _within(INSULT, INSULT, 1.2)
+    return (negation @ reported @ target @ threat @ insult).table()
 
 
 class Lexicon(dict):
@@ -168,8 +171,7 @@ def _beginnings(words: Column, n: int) -> Column:
 
 
 def _learn_terms(sample: DataFrame) -> dict[str, float]:
-    """Words and word beginnings that occur in toxic documents and next to never in others, chosen
-    one after another, each time the one that explains most toxic documents not yet explained (of
+    """Words and word beginnings that occur in toxic documents more often than in others, chosen one after another, each time the one that explains most toxic documents not yet explained (of
     equals the longest). Copies of a document bring many terms but explain no more, so that few
     general ones are left. Insults known before that bear it out get their learned weight too."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
