@@ -8,7 +8,7 @@ is rejected. Rules on the single text come first.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, stored
+from .common import SPACES, fresh, scratch, stored
 
 #: Rules of the single text.
 MIN_WORDS = 50
@@ -72,11 +72,11 @@ def base(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", failed).drop(body, words)
 
 
-def line_rows(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
+def line_rows(docs: DataFrame, key: Column, text: str, host: str) -> DataFrame:
     """A row for each line with a word: (_host, _h1, _h2, _key, _n), _n its words. _h1 and _h2 are a
     128-bit hash of the normalised line: lower case, digit runs to 0, white space and ASCII
     punctuation to one space. A null host is a host of its own."""
-    split = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.explode(_lines(F.coalesce(F.col(text), F.lit("")))).alias("_line"))
+    split = docs.select(key.alias("_key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.explode(_lines(F.coalesce(F.col(text), F.lit("")))).alias("_line"))
     normal = F.trim(F.regexp_replace(F.regexp_replace(F.lower("_line"), "[0-9]+", "0"), r"[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", " "))
     hashed = split.select("_key", "_host", normal.alias("_normal"), F.size(_words(F.col("_line"))).alias("_n"))
     return hashed.where("_normal <> ''").select("_key", "_host", F.xxhash64("_normal").alias("_h1"), F.xxhash64(F.lit(7), "_normal").alias("_h2"), "_n")
@@ -87,24 +87,32 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
 
     n_removed_words counts the words of lines that more than max_documents distinct keys of the same
     host hold. kept is false where base_failed is true or less than MIN_KEPT_PERCENT of the words
-    is left. Rows with a null key take part in no line count and lose no line. Rows of one key are
-    one document and share its loss evenly. Columns of the names added are replaced.
+    is left. Rows with a null key take part in no line count and lose no line. Documents are told by
+    key, text and host: equal rows are one and get the same verdict, rows of one key and different
+    texts are documents of their own. Columns of
+    the names added are replaced, all others pass through; an empty table gives an empty one.
 
     All lines are counted, first as rows, which each task sums before the shuffle; only lines of
     more rows than the limit are joined back, and of those the distinct documents are counted.
     """
     line = ["_host", "_h1", "_h2"]
-    rows = stored(line_rows(docs.where(F.col(key).isNotNull()), key, text, host), "lines")
-    often = rows.groupBy(*line).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max_documents).drop("_rows")
-    held = stored(rows.join(often, line).groupBy(*line, "_key").agg(F.sum("_n").alias("_n")), "often")
-    frequent = held.groupBy(*line).agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_documents).drop("_docs")
-    lost = held.join(frequent, line).groupBy("_key").agg(F.sum("_n").alias("_lost"))
-    copies = docs.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_copies"))
-    lost = lost.join(copies, "_key").select("_key", F.floor(F.col("_lost") / F.col("_copies")).alias("_lost"))
-    out = base(docs, text).join(lost, F.col(key) == F.col("_key"), "left")
-    gone = F.coalesce("_lost", F.lit(0))
-    kept = ~F.col("base_failed") & (100 * (F.col("n_words") - gone) >= MIN_KEPT_PERCENT * F.col("n_words"))
-    return out.withColumns({"n_removed_words": gone.cast("long"), "kept": kept}).drop("_key", "_lost")
+    d, gone, own = fresh(docs, "_d", "_gone", "_own")
+    identity = F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(host).cast("string").alias("host"))
+    with scratch(docs.sparkSession):
+        rows = stored(line_rows(docs.where(F.col(key).isNotNull()), identity, text, host), "lines")
+        often = rows.groupBy(*line).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max_documents).drop("_rows")
+        held = stored(rows.join(often, line).groupBy(*line, "_key").agg(F.sum("_n").alias("_n")), "often")
+        frequent = held.groupBy(*line).agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_documents).drop("_docs")
+        lost = held.join(frequent, line).groupBy("_key").agg(F.sum("_n").alias("_lost"))
+        lost = stored(lost.select(F.col("_key").alias(d), F.col("_lost").alias(gone)), "lost", keep=True)
+    # equal rows bring each of their lines as often as they are
+    copies = docs.select(identity.alias("_key")).join(lost.select(F.col(d).alias("_key")), "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_copies"))
+    lost = lost.join(copies, F.col(d) == F.col("_key")).select(d, (F.col(gone) / F.col("_copies")).cast("long").alias(gone))
+    out = base(docs.withColumn(own, identity), text)
+    joined = out.join(lost, F.col(own) == F.col(d), "left")
+    removed = F.coalesce(gone, F.lit(0)).cast("long")
+    kept = ~F.col("base_failed") & (100 * (F.col("n_words") - removed) >= MIN_KEPT_PERCENT * F.col("n_words"))
+    return joined.withColumns({"n_removed_words": removed, "kept": kept}).drop(own, d, gone)
 
 
 def oracle_sql() -> str:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stored
 
 #: Payloads below this many bytes are always written in full.
 MIN_REVISIT = 1000
@@ -63,20 +63,21 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     rows = pages.select(key, F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "[\r\n\t ]", "").alias("_url"), body.alias("_body"), F.sha1(body.cast("binary")).alias("payload_digest"))
     how = how.select(F.col(key).alias("_key"), F.col("payload_digest").alias("_digest"), "payload_bytes", "refers_to")
     joined = rows.join(how, rows[key].eqNullSafe(how["_key"]) & (rows["payload_digest"] == how["_digest"])).drop("_key", "_digest")
-    who, digest = F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("payload_digest")
+    who, digest = F.coalesce(F.col(key).cast("string"), F.lit("\x00")), F.col("payload_digest")
+    named = F.coalesce(F.concat(F.lit("page-id: "), F.col(key).cast("string"), F.lit("\r\n")), F.lit("page-id-missing: 1\r\n"))
     response, again = _urn(F.lit("response"), who, digest), F.col("refers_to").isNotNull()
     concurrent = F.concat(F.lit("\r\nWARC-Concurrent-To: "), response)
     host = F.regexp_extract("_url", "^[a-z]+://([^/?#]*)", 1)
     target = F.regexp_extract("_url", "^[a-z]+://[^/?#]*([^#]*)", 1)
     request = F.concat(F.lit("GET "), F.when(target == "", "/").otherwise(target), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
-    refers = F.when(again, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _urn(F.lit("response"), F.col("refers_to").cast("string"), digest), F.lit("\r\nX-Refers-To-Page: "), F.col("refers_to").cast("string"))).otherwise("")
+    refers = F.when(again, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _urn(F.lit("response"), F.col("refers_to").cast("string"), digest))).otherwise("")
     records = F.concat(
         _record(F.lit("request"), _urn(F.lit("request"), who, digest), F.col("_url"), "application/http;msgtype=request", request, concurrent),
         F.lit("\n"),
         _record(F.when(again, "revisit").otherwise("response"), response, F.col("_url"), "application/http;msgtype=response", F.concat(http, F.when(again, "").otherwise(F.col("_body"))), F.lit("\r\nWARC-Payload-Digest: sha1:"), digest, refers),
         F.lit("\n"),
-        _record(F.lit("metadata"), _urn(F.lit("metadata"), who, digest), F.col("_url"), "application/warc-fields", F.concat(F.lit("page-id: "), who, F.lit("\r\n")), concurrent),
+        _record(F.lit("metadata"), _urn(F.lit("metadata"), who, digest), F.col("_url"), "application/warc-fields", named, concurrent),
     )
     unique = joined.select(records.alias("value"))
     unique.write.option("maxRecordsPerFile", per_file).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").text(path)
@@ -113,10 +114,10 @@ def _parsed(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """One row for each record of the archives under path: (record_id, record_type, concurrent_to,
-    target_uri, date, refers_to, refers_to_page, declared_digest, http_head, http_length, block_bytes,
+    target_uri, date, refers_to, declared_digest, http_head, http_length, block_bytes,
     payload_digest, payload). payload is what follows the head of an HTTP message, null where
     payload=False; payload_digest, its bare SHA-1, is computed from what was read."""
-    kind = "record_id string, record_type string, concurrent_to string, target_uri string, date string, refers_to string, refers_to_page string, declared_digest string, http_head string, http_length long, block_bytes long, payload_digest string, payload binary"
+    kind = "record_id string, record_type string, concurrent_to string, target_uri string, date string, refers_to string, declared_digest string, http_head string, http_length long, block_bytes long, payload_digest string, payload binary"
     schema = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in kind.split(", ")])
 
     def unpacked(data: bytes) -> Iterator[bytes]:
@@ -142,7 +143,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                     head, body = (block.partition(b"\r\n\r\n")[::2]) if h.get("content-type", "").startswith("application/http") else (b"", block)
                     lengths = [x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
                     rows.append((
-                        h.get("warc-record-id"), h.get("warc-type"), h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-refers-to"), h.get("x-refers-to-page"), h.get("warc-payload-digest"),
+                        h.get("warc-record-id"), h.get("warc-type"), h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-refers-to"), h.get("warc-payload-digest"),
                         head.decode("utf-8", "replace"), int(lengths[0]) if lengths else None, len(block), hashlib.sha1(body).hexdigest(), body if payload or h.get("warc-type") == "metadata" else None,
                     ))
                     size += len(block)
@@ -158,19 +159,29 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 def captures(records: DataFrame) -> DataFrame:
     """One nested row for each response or revisit: (record_id, target_uri, date, record_type, request,
     response, metadata). request is the request that names the record in concurrent_to, or null;
-    metadata an array of all metadata records that do, in order of their ids. Records of one id count once."""
-    main = records.where("record_type IN ('response', 'revisit')").dropDuplicates(["record_id"])
-    fields = ["record_id", "http_head", "block_bytes"]
-    requests = records.where("record_type = 'request'").groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(F.struct(*fields)).alias("request"))
-    notes = records.where("record_type = 'metadata'").groupBy(F.col("concurrent_to").alias("record_id")).agg(F.sort_array(F.collect_set(F.struct("record_id", F.col("payload").cast("string").alias("fields")))).alias("metadata"))
-    joined = main.join(requests, "record_id", "left").join(notes, "record_id", "left")
-    response = F.struct("http_head", "http_length", "payload_digest", "declared_digest", "refers_to", "refers_to_page", "payload")
-    return joined.select("record_id", "target_uri", "date", "record_type", "request", response.alias("response"), "metadata")
+    metadata an array of all metadata records that do, in order of their ids. Records of one id count
+    once; requests and metadata of no response go. All records of a transaction meet in one shuffle."""
+    of = F.when(F.col("record_type").isin("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to"))
+    main = F.col("record_type").isin("response", "revisit")
+    own = F.struct("target_uri", "date", "record_type", F.struct("http_head", "http_length", "payload_digest", "declared_digest", "refers_to", "payload").alias("response"))
+    request = F.struct("record_id", "http_head", "block_bytes")
+    note = F.struct("record_id", F.col("payload").cast("string").alias("fields"))
+    met = records.where(of.isNotNull()).groupBy(of.alias("record_id")).agg(
+        F.min(F.when(main, own)).alias("main"), F.min(F.when(F.col("record_type") == "request", request)).alias("request"),
+        F.sort_array(F.collect_set(F.when(F.col("record_type") == "metadata", note))).alias("metadata"),
+    )
+    return met.where("main IS NOT NULL").select("record_id", "main.target_uri", "main.date", "main.record_type", "request", "main.response", "metadata")
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", **how) -> DataFrame:
-    """Write pages to archives in the shared folder and give the captures that are read back,
-    with the page's key from the metadata record."""
+    """Write pages to archives in the shared folder and give the captures that are read back, with the
+    page's key from the metadata record and refers_to, the key of the page whose record a revisit names
+    (null for others). An empty table gives an empty one."""
     path = f"{shared_dir(pages.sparkSession)}/rootgrain/warc-{uuid.uuid4().hex}"
     write(pages, path, key, **how)
-    return captures(read(pages.sparkSession, path, payload=False)).withColumn(key, F.nullif(F.regexp_extract(F.col("metadata")[0]["fields"], "page-id: (.*?)\r\n", 1), F.lit("")).cast(pages.schema[key].dataType))
+    fields = F.get("metadata", F.lit(0))["fields"]
+    own = F.when(fields.startswith("page-id: "), F.regexp_extract(fields, "^page-id: (.*?)\r\n", 1)).cast(pages.schema[key].dataType)
+    told = stored(captures(read(pages.sparkSession, path, payload=False)).withColumn(key, own), "captures")
+    names = told.select(F.col("record_id").alias("_named"), F.col(key).alias("refers_to"))
+    again = told.where(F.col("response.refers_to").isNotNull()).join(names, F.col("response.refers_to") == F.col("_named"), "left").drop("_named")
+    return told.where(F.col("response.refers_to").isNull()).withColumn("refers_to", F.lit(None).cast(pages.schema[key].dataType)).unionByName(again)

@@ -99,10 +99,12 @@ def test_lines_of_many_documents_count_by_host(spark):
     body = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
     banner = "Accept all 3 cookies, please: " + "now " * 70
     rows = [(i, "h", banner + "\n" + body()) for i in range(4)] + [(10, "other", banner + "\n" + body()), (11, None, body()), (None, "h", banner), (12, "h", None)]
-    d = spark.createDataFrame([(*x, 5) for x in rows], "doc_id long, source string, text string, kept int")
+    d = spark.createDataFrame([(*x, 5, 1, 2) for x in rows], "doc_id long, source string, text string, kept int, _key int, _lost int")
     got = {x.doc_id: (x.n_removed_words, x.kept) for x in quality.quality(d, max_documents=3).collect()}
     assert got[0] == (75, False) and got[10] == (0, got[10][1]) and got[11] == (0, True) and got[None][0] == 0 and got[12] == (0, False)
     assert quality.quality(d.limit(0)).count() == 0
+    twice = spark.createDataFrame([*rows[:4], rows[0], (0, "h", "another text " * 30)], "doc_id long, source string, text string")
+    assert sorted((x.doc_id, x.n_removed_words) for x in quality.quality(twice, max_documents=3).collect()) == [(0, 0), (0, 75), (0, 75), (1, 75), (2, 75), (3, 75)]
 
 
 def test_licence_sentences_and_rules(spark):
