@@ -68,7 +68,7 @@ def suffix_levels(rows: DataFrame) -> list[DataFrame]:
     while not level.isEmpty():
         levels.append(level)
         ahead = Window.partitionBy("d").orderBy("i").rangeBetween(length, length)
-        paired = level.select("d", "i", F.col("rank").alias("before"), F.max("rank").over(ahead).alias("after")).where("after IS NOT NULL")
+        paired = stored(level.select("d", "i", F.col("rank").alias("before"), F.max("rank").over(ahead).alias("after")).where("after IS NOT NULL"), "pairs")
         classes = paired.groupBy("before", "after").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
         length *= 2
         level = stored(paired.join(_ranked(classes, "before", "after"), ["before", "after"]).select("d", "i", "rank", "n", "first"), "level")
@@ -86,17 +86,18 @@ def longest_earlier(levels: list[DataFrame]) -> DataFrame:
     a part that aren't its first go on with the longer run, the first goes with them as the place that
     they copy, and stays to be tried with fewer lines in the interval of all firsts.
     """
-    every = stored(reduce(DataFrame.unionByName, [level.select("d", "i", F.lit(a).alias("a"), "rank", "first") for a, level in enumerate(levels)]).repartition("d"), "intervals")
-    last = every.where(F.col("first") != _place()).groupBy("d", "i").agg(F.max("a").alias("last"))
-    state = every.join(last, ["d", "i"], "left").where(F.coalesce("last", F.lit(-1)) <= F.col("a"))
-    state = state.select("d", "i", "a", F.expr("shiftleft(1, a)").alias("l"), F.col("first").alias("origin"), F.coalesce(F.col("last") == F.col("a"), F.lit(False)).alias("asks"))
-    state = stored(state, "descent")
+    every = reduce(DataFrame.unionByName, [level.select("d", "i", F.lit(a).alias("a"), "rank", "first") for a, level in enumerate(levels)])
+    last = F.max(F.when(F.col("first") != _place(), F.col("a"))).over(Window.partitionBy("d", "i"))
+    every = stored(every.repartition("d").withColumn("last", F.coalesce(last, F.lit(-1))), "intervals")
+    # at level 0 nothing is left to be tried, so that no place is needed there for others
+    state = every.where("last = a OR (last < a AND a > 0)")
+    state = state.select("d", "i", "a", F.expr("shiftleft(1, a)").alias("l"), F.col("first").alias("origin"), (F.col("last") == F.col("a")).alias("asks"))
     ranks = every.select("d", F.col("i").alias("at"), F.expr("shiftleft(1, a)").alias("step"), F.col("rank").alias("next"))
     done = []
     for round_ in range(len(levels) - 1):
         done.append(state.where(F.col("a") <= round_))
         going = state.where(F.col("a") > round_).withColumns({"step": F.expr(f"shiftleft(1, a - 1 - {round_})"), "at": F.col("i") + F.col("l")})
-        joined = going.join(ranks, ["d", "at", "step"], "left")
+        joined = stored(going.join(ranks.where(F.col("step") <= 1 << (len(levels) - 2 - round_)), ["d", "at", "step"], "left"), "ahead")
         parts = joined.where("next IS NOT NULL").groupBy("origin", "l", "next").agg(F.count("*").alias("n"), F.min(_place()).alias("head")).where("n > 1").drop("n")
         split = joined.join(parts, ["origin", "l", "next"], "left")
         moved = split.where("head IS NOT NULL").select("d", "i", "a", (F.col("l") + F.col("step")).alias("l"), F.col("head").alias("origin"), (F.col("asks") & (_place() != F.col("head"))).alias("asks"))
