@@ -79,3 +79,8 @@ def period(ms: Column, minutes: int = 30, offset_minutes: int = 480) -> Column:
     start = bucket_ms(ms + offset_minutes * 60_000, minutes * 60)
     show = lambda c: F.regexp_replace(F.substring(iso_utc(c), 1, 19), "T", " ")
     return F.concat(show(start), F.lit(" to "), show(start + minutes * 60_000))
+
+
+def window_around(ms: Column, lead_ms: int = 600_000, lag_ms: int = 600_000) -> tuple[Column, Column]:
+    """Start and end, as ISO texts, of the time around an instant."""
+    return iso_utc(ms - lead_ms), iso_utc(ms + lag_ms)

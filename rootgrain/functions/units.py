@@ -47,3 +47,11 @@ def quantize(value: Column, unit: Column) -> Column:
 def resolution(unit: Column) -> Column:
     """The smallest step that a unit tells: 1 as a rule, 0.01 for a ratio, 1e-6 without a known unit."""
     return F.when(unit == "1", 0.01).when(unit.isin(*UNITS), 1.0).otherwise(1e-6)
+
+
+def holds(comparator: str, computed: Column, stated: Column, tolerance: float = 1e-9) -> Column:
+    """Whether a comparison holds. Within the tolerance, relative to the larger of both and 1, they are
+    equal: then ==, >= and <= hold and the strict ones and != do not."""
+    exact = {">": computed > stated, ">=": computed >= stated, "<": computed < stated, "<=": computed <= stated, "==": computed == stated, "!=": computed != stated}
+    equal = F.abs(computed - stated) <= tolerance * F.greatest(F.abs(computed), F.abs(stated), F.lit(1.0))
+    return F.when(equal, F.lit(comparator in ("==", ">=", "<="))).otherwise(exact[comparator])

@@ -110,3 +110,23 @@ def dangling_parents(spans: DataFrame) -> DataFrame:
     """Distinct (trace_id, parent) that no span of the trace has."""
     wanted = spans.where("parent IS NOT NULL").select("trace_id", F.col("parent").alias("span_id")).distinct()
     return wanted.join(spans.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_anti").select("trace_id", F.col("span_id").alias("parent"))
+
+
+def distinct_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst, relation) once each, without edges from an entity to itself, which assert nothing."""
+    return edges.where("src != dst").select("src", "dst", "relation").distinct()
+
+
+def foreign_logs(checkpoints: DataFrame, lines: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """checkpoints (case_id, checkpoint_id, entity_ref, signal_ref) of logs, lines (case_id, log_id, service)
+    -> (case_id, checkpoint_id, code): UNKNOWN_AUTHOR where the cited line's service names no single entity,
+    FOREIGN_AUTHOR where that entity is not the checkpoint's and neither lies within the other. Checkpoints
+    of unknown entities, or that cite no line of their case, tell nothing; of lines with one id the one with
+    the largest service counts."""
+    one = lines.where("log_id != ''").groupBy("case_id", F.col("log_id").alias("signal_ref")).agg(F.max("service").alias("service"))
+    known = resolve(checkpoints, entities, "entity_ref").where("entity_id IS NOT NULL").withColumnRenamed("entity_id", "_own")
+    cited = resolve(known.join(one, ["case_id", "signal_ref"]).withColumn("service", F.coalesce("service", F.lit(""))), entities, "service").withColumnRenamed("entity_id", "_author")
+    inside = closure(edges)
+    either = inside.union(inside.select("inner", "outer")).distinct().toDF("_own", "_author").withColumn("_near", F.lit(True))
+    told = cited.join(either, ["_own", "_author"], "left").where("_author IS NULL OR (_near IS NULL AND _own != _author)")
+    return told.select("case_id", "checkpoint_id", F.when(F.col("_author").isNull(), "UNKNOWN_AUTHOR").otherwise("FOREIGN_AUTHOR").alias("code"))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.vocab import CATEGORY_KEYWORDS
 from ..operators import grading, misses
 from ..operators.scoring import time_matches
 from ..sources import backends, delimited, otlp
@@ -182,7 +183,16 @@ def miss_adjudication(spark: SparkSession, d: str) -> DataFrame:
     return both.select("p_partkey", misses.adjudicate(F.col("p_type"), F.col("next"))["verdict"].alias("verdict"))
 
 
-@query(None)
+_DENIES = " OR ".join(f"contains(c, '{w}')" for w in misses.DENIALS)
+
+
+def _denial_sql(category: str) -> str:
+    has = lambda c: " OR ".join(f"contains({c}, '{w}')" for w in dict(CATEGORY_KEYWORDS)[category])
+    return f"""CASE WHEN blank THEN 'not-assessable' WHEN NOT ({has('low')}) THEN 'absent' WHEN len(list_filter(parts, lambda c: ({has('c')}) AND NOT ({_DENIES}))) > 0 THEN 'also-asserted' ELSE 'denied-only' END AS {category}"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, trim(coalesce(text, '')) = '' AS blank, lower(text) AS low FROM documents), p AS (SELECT *, string_split(regexp_replace(low, '([.!?;])\\s+|,\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM t)
+SELECT doc_id, {_denial_sql('network')}, {_denial_sql('resource')}, {_denial_sql('code')} FROM p""")
 def category_denial(spark: SparkSession, d: str) -> DataFrame:
     """Whether each document only denies, asserts or does not mention each category."""
     docs = table(spark, d, "documents")

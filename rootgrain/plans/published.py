@@ -3,12 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import published, samples, sli
+from ..functions import text, units
+from ..operators import graph, pools, published, samples, sli
 from ..operators.published import Planned
 from ..sources import answers
 from .queries import query
 from .views import INJECT_MS, SIGNALS, signals, table
+from .views import graph as graph_view
 
 _PLAN = [Planned("ts", "truncated", unit="ns"), Planned("level", "normalised", transform="upper-case"), Planned("status"), Planned("minute", "derived", source="ts"), Planned("note", "not-carried")]
 
@@ -126,3 +127,44 @@ def sli_columns(spark: SparkSession, d: str) -> DataFrame:
     cases = table(spark, d, "customer").select(F.concat(F.lit("case-"), k.cast("string")).alias("case_id"), service.alias("component"), told.alias("sli"))
     unit = F.when(F.col("name") == "view", "ms").when(F.col("name") == "click", "%")
     return sli.resolve(cases, signals(spark, d).withColumn("unit", unit))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT case_id, service, name FROM ({SIGNALS})), h AS (SELECT case_id, CASE WHEN name = 'view' THEN service || '-db' ELSE service END || '_' || name AS head FROM s),
+n AS (SELECT case_id, split_part(head, '_', 1) AS name FROM h), e AS (SELECT 'svc-' || n_nationkey AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'service' ELSE 'db' END AS kind FROM nation WHERE n_nationkey < 8)
+SELECT case_id, replace(n.name, '-db', '') AS candidate, kind, count(*) AS heads, bool_or(ends_with(n.name, '-db')) AS rewritten FROM n LEFT JOIN e ON e.name = replace(n.name, '-db', '') GROUP BY ALL""")
+def candidate_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of the events' cases, views being of databases, and nations as entities."""
+    head = F.concat_ws("_", F.when(F.col("name") == "view", F.concat("service", F.lit("-db"))).otherwise(F.col("service")), "name")
+    own = signals(spark, d).select("case_id", "service", "name").distinct().select("case_id", head.alias("head"))
+    times = spark.createDataFrame([("time",)], "head string").select(F.lit("case-0").alias("case_id"), "head")
+    n = F.col("n_nationkey")
+    entities = table(spark, d, "nation").where(n < 8).select(F.concat(F.lit("svc-"), n.cast("string")).alias("name"), F.when(n % 2 == 0, "service").otherwise("db").alias("kind"))
+    return pools.pool(own.unionByName(times), entities, "case_id")
+
+
+@query(f"""SELECT case_id, count(*) FILTER (ts_ms < {INJECT_MS}) AS rows, min(ts_ms)::DOUBLE AS earliest, max(ts_ms)::DOUBLE AS latest FROM ({SIGNALS}) GROUP BY ALL""")
+def baseline_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Instants before the injection in each case of the events."""
+    return pools.baseline_window(signals(spark, d), F.col("ts_ms").cast("double"), F.lit(float(INJECT_MS)), "case_id")
+
+
+@query("""SELECT 'case-' || o_orderkey AS case_id, 'cp' AS checkpoint_id, CASE WHEN o_orderkey % 5 = 0 THEN 'UNKNOWN_AUTHOR' ELSE 'FOREIGN_AUTHOR' END AS code FROM orders JOIN customer ON c_custkey = o_custkey
+WHERE o_orderkey % 5 = 0 OR (o_orderkey % 3 = 0 AND o_orderkey % 4 = 0)""")
+def foreign_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as cases whose checkpoint is their customer, and a log line of the customer, of its nation,
+    of a region, or of nobody."""
+    entities, edges = graph_view(spark, d)
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    case, own = F.concat(F.lit("case-"), k.cast("string")), F.concat(F.lit("external:/"), F.col("c_custkey").cast("string"))
+    author = F.when(k % 5 == 0, "nobody").when((k % 3 == 0) & (k % 4 == 0), F.lit("service:/0")).when(k % 3 == 0, F.concat(F.lit("node:/"), F.col("c_nationkey").cast("string"))).otherwise(own)
+    checkpoints = rows.select(case.alias("case_id"), F.lit("cp").alias("checkpoint_id"), own.alias("entity_ref"), F.lit("l").alias("signal_ref"))
+    lines = rows.select(case.alias("case_id"), F.lit("l").alias("log_id"), author.alias("service"))
+    return graph.foreign_logs(checkpoints, lines, entities, edges)
+
+
+@query("""SELECT l_orderkey, l_linenumber, abs(l_quantity / 3 * 3 - l_quantity) <= 1e-9 * greatest(abs(l_quantity), 1) AS eq, NOT abs(l_extendedprice * l_discount - 1000) <= 1e-9 * greatest(abs(l_extendedprice * l_discount), 1000) AND l_extendedprice * l_discount > 1000 AS gt FROM lineitem""")
+def tolerant_comparisons(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities that come back from a division, and discounts beyond a threshold."""
+    q = F.col("l_quantity").cast("double")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", units.holds("==", q / 3 * 3, q).alias("eq"), units.holds(">", F.col("l_extendedprice") * F.col("l_discount"), F.lit(1000.0)).alias("gt"))
