@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, times
+from ..sources import answers
 
 #: The columns of the contracts' tables.
 OPENRCA = {
@@ -19,6 +20,7 @@ OPENRCA = {
     "log": ("timestamp", "cmdb_id", "severity", "message"),
     "trace": ("timestamp", "trace_id", "span_id", "parent_span_id", "cmdb_id", "span_name", "duration_ms", "status"),
 }
+OPENRCA_TASKS = {"query": ("instruction_id", "query", "occurrence_window"), "record": ("instruction_id", "prediction"), "groundtruth": ("task_index", "instruction", "scoring_points")}
 TRACES = ("time", "traceID", "spanID", "serviceName", "methodName", "operationName", "startTimeMillis", "startTime", "duration", "statusCode", "parentSpanID")
 LOGS = {
     "RE2": ("time", "timestamp", "container_name", "message", "level", "req_path", "error", "cluster_id", "log_template"),
@@ -63,19 +65,18 @@ def openrca_telemetry(cases: DataFrame, signals: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def openrca_task(time: Column, component: Column, reason: Column) -> Column:
-    """task_1 to task_7 by which of the three a case asks for; null where it asks for none."""
-    t, c, r = (~F.coalesce(F.trim(x), F.lit("")).eqNullSafe("") for x in (time, component, reason))
-    return F.when(t & c & r, "task_7").when(c & r, "task_6").when(t & c, "task_5").when(t & r, "task_4").when(c, "task_3").when(r, "task_2").when(t, "task_1")
-
-
 def openrca_answers(cases: DataFrame, signals: DataFrame) -> DataFrame:
-    """record.csv of each system: the period that is asked about and the answer as JSON."""
+    """query.csv, record.csv and groundtruth.csv of each system, a row for each case with signals: what is
+    asked, about which half hour, the answer as JSON, and the criteria that the answer is scored by."""
     at = times.iso_ms(F.col("inject_time"))
+    when, component, reason = local_time(at), F.col("component"), F.col("reason")
+    asked = F.coalesce(F.col("query"), F.lit("")) if "query" in cases.columns else F.lit("")
     rows = cases.join(signals.select("case_id").distinct(), "case_id", "left_semi")
-    answer = F.to_json(F.struct(F.struct(local_time(at).alias("root cause occurrence datetime"), F.col("component").alias("root cause component"), F.col("reason").alias("root cause reason")).alias("1")))
-    path = F.concat(text.path_token(F.col("system")), F.lit("/record.csv"))
-    return _table(rows, path, [F.col("case_ord")], ("task_index", "time_period", "prediction"), [openrca_task(F.col("inject_time"), F.col("component"), F.col("reason")), times.period(at), answer])
+    prediction = F.to_json(F.struct(F.struct(when.alias(answers.ROOT_KEYS["time"]), component.alias(answers.ROOT_KEYS["component"]), reason.alias(answers.ROOT_KEYS["reason"])).alias("1")))
+    cells = {"query": [F.col("case_id"), asked, times.period(at)], "record": [F.col("case_id"), prediction], "groundtruth": [answers.task(when, component, reason), asked, answers.points_text(when, component, reason)]}
+    system = text.path_token(F.col("system"))
+    parts = [_table(rows, F.concat(system, F.lit(f"/{name}.csv")), [F.col("case_ord")], OPENRCA_TASKS[name], columns) for name, columns in cells.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def rcaeval_path(suite: str) -> Column:

@@ -7,6 +7,7 @@ from ..functions import text, units
 from ..operators import graph, pools, published, samples, sli
 from ..operators.published import Planned
 from ..sources import answers
+from . import documents, exports, structure
 from .queries import query
 from .views import INJECT_MS, SIGNALS, signals, table
 from .views import graph as graph_view
@@ -168,3 +169,13 @@ def tolerant_comparisons(spark: SparkSession, d: str) -> DataFrame:
     """Quantities that come back from a division, and discounts beyond a threshold."""
     q = F.col("l_quantity").cast("double")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", units.holds("==", q / 3 * 3, q).alias("eq"), units.holds(">", F.col("l_extendedprice") * F.col("l_discount"), F.lit(1000.0)).alias("gt"))
+
+
+@query(f"""WITH c AS (SELECT 'case-' || c_custkey AS case_id, c_custkey % 10 = 3 AS leaks FROM customer), k AS (SELECT DISTINCT case_id FROM ({SIGNALS})), n AS (SELECT count(*) AS n, count(*) FILTER (leaks) AS n_leaks FROM c JOIN k USING (case_id)),
+t AS (SELECT unnest(['query-csv', 'record-csv', 'query-header', 'record-header', 'answer-key-isolated', 'telemetry-present', 'metric-header', 'groundtruth-csv', 'groundtruth-header', 'scoring-points-present']) AS "check")
+SELECT "check", n > 0 AS passed FROM t, n UNION ALL SELECT 'log-header', true UNION ALL SELECT 'trace-header', true UNION ALL SELECT 'row-alignment', true UNION ALL SELECT 'task-carries-no-scored-value', n_leaks = 0 FROM n""")
+def exported_structure(spark: SparkSession, d: str) -> DataFrame:
+    """The exported files of the events' cases; every tenth task names the component that is its answer."""
+    cases, own = documents._bundle(spark, d)
+    asked = cases.withColumn("query", F.when(F.col("case_ord") % 10 == 3, F.col("component")).otherwise(F.col("query")))
+    return structure.openrca(exports.openrca_telemetry(asked, own).unionByName(exports.openrca_answers(asked, own)))

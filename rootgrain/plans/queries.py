@@ -265,7 +265,8 @@ def g5_contamination(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(public, "line", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
-@query(None)
+@query(f"""WITH k AS (SELECT case_id, concat_ws('|', system, fault_type, inject_time, root_entity_id, window_start, window_end) AS t FROM ({CASES}))
+SELECT case_id, printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(t, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)) AS fingerprint FROM k""")
 def case_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d).select("case_id", gates.fingerprint("system", "fault_type", "inject_time", "root_entity_id", "window_start", "window_end").alias("fingerprint"))
 

@@ -139,8 +139,11 @@ def test_exports(spark):
     log = out["shop/2024_01_01/telemetry/log/c1.csv"]
     assert log == 'timestamp,cmdb_id,severity,message\n2024-01-01 08:00:01,p,WARN,"said ""hi"", twice"\n'
     assert out["shop/2024_01_01/telemetry/trace/c1.csv"].split("\n")[1] == "2024-01-01 08:00:02,t,s,,n,op,4.33,OK"
-    record = {r.path: r.content for r in exports.openrca_answers(cases, signals).collect()}["shop/record.csv"]
-    assert record.startswith("task_index,time_period,prediction\ntask_7,2024-01-01 08:00:00 to 2024-01-01 08:30:00,") and record.count("\n") == 2
+    answers = {r.path: r.content for r in exports.openrca_answers(cases, signals).collect()}
+    assert set(answers) == {"shop/query.csv", "shop/record.csv", "shop/groundtruth.csv"}
+    assert answers["shop/record.csv"].startswith('instruction_id,prediction\nc1,"{""1"":{""root cause occurrence datetime"":""2024-01-01 08:10:00""') and answers["shop/record.csv"].count("\n") == 2
+    assert answers["shop/query.csv"].split("\n")[1].endswith(",2024-01-01 08:00:00 to 2024-01-01 08:30:00")
+    assert answers["shop/groundtruth.csv"].startswith('task_index,instruction,scoring_points\ntask_7,')
     re2 = {r.path: r.content for r in exports.rcaeval(cases, signals, "RE2").collect()}
     assert set(re2) == {f"RE2-shop/a_cpu-stress/1/{f}" for f in ("data.csv", "inject_time.txt", "logs.csv", "traces.csv")}
     assert re2["RE2-shop/a_cpu-stress/1/data.csv"].startswith("time,A_cpu\n1704067200,1\n") and re2["RE2-shop/a_cpu-stress/1/inject_time.txt"] == "1704067800\n"

@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
-from rootgrain.operators import published, samples, sli
+from rootgrain.functions import units
+from rootgrain.operators import graph, pools, published, samples, sli
 from rootgrain.operators.published import Planned
+from rootgrain.plans import structure
 from rootgrain.sources import answers
 
 
@@ -83,3 +85,32 @@ def test_latency_column_that_is_taken(spark):
     assert fault(("m", "ms"), ("latency", "ms")).fault == "collision"
     assert tuple(fault(("m", "ms"), ("m", "%")))[1:] == (None, "a_m", "a_latency")
     assert fault(("m", "%"), ("m", "ms")).fault == "notDuration"
+
+
+def test_structure_of_files(spark):
+    good = {
+        "s/query.csv": "instruction_id,query,occurrence_window\nc1,what?,w\nc2, a ,w\n", "s/record.csv": 'instruction_id,prediction\nc1,"{""root cause component"": ""a""}"\nc2,"{""1"": {""root cause component"": ""a""}}"\n',
+        "s/groundtruth.csv": 'task_index,instruction,scoring_points\ntask_3,x,"The only predicted root cause component is a"\ntask_3,x,none\n', "s/d/telemetry/log/c1.csv": "timestamp,cmdb_id\n",
+    }
+    told = {r.check: r.passed for r in structure.openrca(spark.createDataFrame(list(good.items()), "path string, content string")).collect()}
+    assert len(told) == 14
+    assert {c for c, passed in told.items() if not passed} == {"metric-header", "log-header", "scoring-points-present", "task-carries-no-scored-value"}
+    none = {r.check for r in structure.openrca(spark.createDataFrame([], "path string, content string")).where("passed").collect()}
+    assert none == {"answer-key-isolated", "task-carries-no-scored-value", "log-header", "trace-header", "row-alignment"}
+
+
+def test_authors_of_cited_lines(spark):
+    entities = spark.createDataFrame([("service:/a", "service", "a", None), ("pod:/p", "pod", "p", None), ("service:/b", "service", "b", None)], "entity_id string, kind string, name string, aliases array<string>")
+    edges = spark.createDataFrame([("service:/a", "pod:/p", "contains")], "src string, dst string, relation string")
+    points = spark.createDataFrame([("c", x, ref, x) for x, ref in (("1", "a"), ("2", "a"), ("3", "a"), ("4", "zz"), ("5", "a"))], "case_id string, checkpoint_id string, entity_ref string, signal_ref string")
+    lines = spark.createDataFrame([("c", "1", "P"), ("c", "2", "b"), ("c", "3", None), ("c", "4", "b")], "case_id string, log_id string, service string")
+    assert {(r.checkpoint_id, r.code) for r in graph.foreign_logs(points, lines, entities, edges).collect()} == {("2", "FOREIGN_AUTHOR"), ("3", "UNKNOWN_AUTHOR")}
+    twice = edges.union(edges).union(spark.createDataFrame([("x", "x", "calls")], edges.schema))
+    assert [tuple(r) for r in graph.distinct_edges(twice).collect()] == [("service:/a", "pod:/p", "contains")]
+
+
+def test_tolerance_and_baselines(spark):
+    one = spark.range(1).select(*[units.holds(c, F.lit(1.0 + 1e-12), F.lit(1.0)).alias(c) for c in (">", ">=", "==", "!=")]).first()
+    assert tuple(one) == (False, True, True, False)
+    at = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 5.0), ("b", None), ("b", float("inf"))], "k string, t double")
+    assert {tuple(r) for r in pools.baseline_window(at, F.col("t"), F.lit(3.0), "k").collect()} == {("a", 1, 1.0, 5.0), ("b", 0, 0.0, 0.0)}
