@@ -153,9 +153,10 @@ _FAR[0] = 1
 
 def byte_values(words: str) -> np.ndarray:
     """A 64-bit value for each byte of UTF-8: 0 where it parts words, and for A to Z that of a to z.
-    words: "spaced" for WORD, "letters" for runs of ASCII letters, digits, _ and other characters."""
+    words: "spaced" for WORD, "letters" for runs of ASCII letters, digits, _ and other characters,
+    "terms" for the same without _."""
     values = np.random.default_rng(11).integers(1, 2**64, 256, np.uint64)
-    parting = [32, *range(9, 14)] if words == "spaced" else [b for b in range(128) if not (chr(b).isalnum() or b == 95)]
+    parting = [32, *range(9, 14)] if words == "spaced" else [b for b in range(128) if not (chr(b).isalnum() or b == 95 and words == "letters")]
     values[parting] = 0
     values[65:91] = values[97:123]
     return values

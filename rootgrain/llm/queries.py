@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, linededup, ngramjoin, packing, quality, suffixdedup, tokencount, toxicity, warc
+from . import decontam, lexical, licenses, linededup, ngramjoin, packing, prefixtrie, quality, suffixdedup, tokencount, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Host, path and verdict of the rules of op11 (fixed values).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    c = F.col("c")
+    starts = conversations.select(F.col("conv_id").cast("long").alias("c")).where(c.isNotNull()).distinct()
+    return prefixtrie.prefix_trie(conversations, starts.select("c", (c - c % 20).alias("base"), (F.crc32(c.cast("string")) % 4).alias("h")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
@@ -74,6 +94,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_url_filters": op11_url_filters,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -81,4 +104,34 @@ ORACLE: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op4_quality_rules": quality.oracle_sql(),
     "op8_line_dedup": linededup.oracle_sql(),
+    "op11_url_filters": f"""
+        WITH rest AS (SELECT row_number() OVER () AS row, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        split AS (SELECT row, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+        rules(rule_host, rule_path, verdict) AS (VALUES {", ".join(map(str, URL_RULES))})
+        SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(verdict, 'allow') AS verdict
+        FROM split LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(rule_host || rule_path) DESC) = 1""",
+    "op12_prefix_trie": """
+        WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        starts AS (SELECT c, c - c % 20 AS base, count(*) AS size,
+                xor(list_reduce(list_transform(range(length(c::VARCHAR) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295::BIGINT ELSE ascii(substr(c::VARCHAR, i, 1))::BIGINT END),
+                    lambda crc, b: list_reduce(list_transform(range(9), lambda i: CASE WHEN i = 0 THEN xor(crc, b) ELSE 0 END), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h
+            FROM own GROUP BY c),
+        taken AS (SELECT s.c, s.base, s.h, least(s.h, coalesce(b.size, 0)) AS n FROM starts s LEFT JOIN starts b ON b.c = s.base),
+        turns AS (SELECT t.c, o.pos AS d, o.role, o.text FROM taken t JOIN own o ON o.c = t.base AND o.pos <= t.n
+            UNION ALL SELECT t.c, t.n + o.pos - t.h, o.role, o.text FROM taken t JOIN own o ON o.c = t.c AND o.pos > t.h),
+        named AS (SELECT c, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, string_agg(sha256(length(role) || ':' || role || text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d) AS node FROM turns
+            UNION ALL SELECT c, 0, 0, '' FROM starts),
+        lengths AS (SELECT c, max(d) AS size FROM named GROUP BY c),
+        nodes AS (SELECT node, any_value(d) AS d, min(c) AS m, count(*) AS n, any_value(words) AS words, count(*) FILTER (d = size) AS ends,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = size), '')) AS ends_sha256
+            FROM named JOIN lengths USING (c) GROUP BY node),
+        parents AS (SELECT x.node, p.node AS parent, q.m AS parent_m FROM nodes x JOIN named p ON p.c = x.m AND p.d = x.d - 1 JOIN nodes q ON q.node = p.node),
+        children AS (SELECT parent AS node, count(*) AS n_children FROM parents GROUP BY parent),
+        leaf AS (SELECT x.*, coalesce(n_children, 0) AS n_children FROM nodes x LEFT JOIN children USING (node)),
+        subtrees AS (SELECT a.node, sum((x.n_children = 0)::INT) AS n_leaves, sum((x.n - 1) * x.words) AS saved_tokens FROM leaf x JOIN named a ON a.c = x.m AND a.d <= x.d GROUP BY a.node)
+        SELECT m AS conv_id, d AS depth, parent_m AS parent_conv_id, n AS n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+        FROM leaf JOIN subtrees USING (node) LEFT JOIN parents USING (node)""",
+    "op13_lexical_search": lexical.oracle_sql(),
 }
