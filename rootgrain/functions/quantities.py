@@ -26,9 +26,9 @@ def no_unit() -> Column:
 
 def _merged(factors: Column) -> Column:
     """Factors of any order and number as a unit."""
-    symbols = F.array_sort(F.array_distinct(F.transform(factors, lambda f: f["s"])))
-    sums = F.transform(symbols, lambda s: F.struct(s.alias("s"), F.aggregate(F.filter(factors, lambda f: f["s"] == s), F.lit(0), lambda a, f: a + f["e"]).alias("e")))
-    return F.filter(sums, lambda f: f["e"] != 0)
+    symbols = lambda fs: F.array_sort(F.array_distinct(F.transform(fs, lambda f: f["s"])))
+    power = lambda fs, s: F.aggregate(F.filter(fs, lambda f: f["s"] == s), F.lit(0), lambda a, f: a + f["e"])
+    return let(factors, lambda fs: F.filter(F.transform(symbols(fs), lambda s: F.struct(s.alias("s"), power(fs, s).alias("e"))), lambda f: f["e"] != 0))
 
 
 def parse_unit(text: Column) -> Column:
@@ -36,7 +36,7 @@ def parse_unit(text: Column) -> Column:
     able = text.rlike(rf"^\s*{_FACTOR}(?:\s*[*·/]\s*{_FACTOR})*\s*$")
     told = F.regexp_extract_all(text, F.lit(rf"[*·/]?\s*{_FACTOR}"), F.lit(0))
     of = lambda f: F.regexp_extract(f, _SYMBOL, 0)
-    power = lambda f: F.coalesce(F.regexp_extract(f, r"\^([0-9]+)", 1).try_cast("int"), F.lit(1))
+    power = lambda f: F.when(f.contains("^"), F.regexp_extract(f, r"\^0*([0-9]{1,9})", 1).cast("int")).otherwise(1)
     factors = F.transform(told, lambda f: F.struct(of(f).alias("s"), F.when(f.startswith("/"), -power(f)).otherwise(power(f)).alias("e")))
     return F.when(able, _merged(F.filter(factors, lambda f: f["s"] != "")))
 
@@ -61,20 +61,20 @@ def render(unit: Column) -> Column:
     return F.concat(F.when(over == "", "1").otherwise(over), F.when(under == "", "").otherwise(F.concat(F.lit("/"), under)))
 
 
-def _of_symbol(symbol: Column, place: int) -> Column:
-    known = F.create_map(*[F.lit(x) for s, row in UNITS.items() for x in (s, row[place] if place == 0 else float(row[place]))])
-    return F.try_element_at(known, symbol)
+def let(value: Column, of) -> Column:
+    """of(value), with the value computed and written once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
-def dimension(symbol: Column) -> Column:
-    return _of_symbol(symbol, 0)
+def known(symbol: Column) -> Column:
+    """(dimension, n, d) of a symbol of the unit table: its factor is n / d. Null for others."""
+    rows = F.create_map(*[c for s, (d, n, m, _) in UNITS.items() for c in (F.lit(s), F.struct(F.lit(d).alias("dimension"), F.lit(float(n)).alias("n"), F.lit(float(m)).alias("d")))])
+    return F.try_element_at(rows, symbol)
 
 
 def factor_to(source: Column, target: Column) -> Column:
-    """What a number in one unit is multiplied with to be in another; null where they do not convert."""
-    n = lambda c: _of_symbol(c, 1)
-    d = lambda c: _of_symbol(c, 2)
-    return F.when(dimension(source) == dimension(target), n(source) * d(target) / (d(source) * n(target)))
+    """What a number in one known() unit is multiplied with to be in another; null where they do not convert."""
+    return F.when(source["dimension"] == target["dimension"], source["n"] * target["d"] / (source["d"] * target["n"]))
 
 
 #: An expression as steps for a stack: kind is number (value), reading (the place of it among readings),

@@ -20,45 +20,55 @@ PROBLEM = f"struct<kind:string,at:int,{','.join(f'{t}:string' for t in _TEXTS)},
 _CELL = f"struct<value:double,unit:{q.UNIT_TYPE},problem:{PROBLEM}>"
 
 
-def _problem(kind: str, at: Column | None = None, carriers: Column | None = None, **texts: Column) -> Column:
+def _problem(kind: Column | str, at: Column | None = None, carriers: Column | None = None, **texts: Column) -> Column:
     none = F.lit(None)
-    parts = [F.lit(kind), none if at is None else at, *[texts.get(t, none) for t in _TEXTS], none if carriers is None else carriers]
-    return F.struct(*parts).cast(PROBLEM)
+    told = {t: texts.get(t, none.cast("string")) for t in _TEXTS}
+    parts = {"kind": kind if isinstance(kind, Column) else F.lit(kind), "at": none.cast("int") if at is None else at, **told, "carriers": none.cast("array<string>") if carriers is None else carriers}
+    return F.struct(*[c.alias(n) for n, c in parts.items()])
 
 
 def _cell(value: Column, unit: Column, problem: Column) -> Column:
-    return F.struct(value, unit, problem).cast(_CELL)
+    return F.struct(value.alias("value"), unit.alias("unit"), problem.alias("problem"))
 
 
 def _read(held: Column, asked: Column) -> Column:
     """(cell, entity) of one reading among the carriers of a case's metrics."""
-    of = F.try_element_at(held, asked["metric"])
-    able = F.filter(of, lambda c: asked["entity"].isNull() | (c["entity"] == asked["entity"]))
-    names = F.flatten(F.transform(of, lambda c: F.array_repeat(c["entity"], F.least(c["n"], F.lit(2)).cast("int"))))
-    one = F.get(able, F.lit(0))
-    unit, value = q.parse_unit(one["unit"]), F.when(asked["point"] == "post", one["post"]).otherwise(one["baseline"])
-    n = F.aggregate(able, F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    problem = (
-        F.when(of.isNull(), _problem("unknownSeries", metric=asked["metric"]))
-        .when(n == 0, _problem("unknownEntity", metric=asked["metric"], entity=asked["entity"], carriers=names))
-        .when(n > 1, _problem("ambiguousSeries", metric=asked["metric"], carriers=names))
-        .when(unit.isNull(), _problem("unsupportedUnit", unit=one["unit"]))
-        .when(value.isNull(), _problem("missingPoint", metric=asked["metric"], point=asked["point"]))
-    )
-    return F.struct(_cell(value, unit, problem).alias("cell"), F.struct(one["entity"].alias("entity"), asked["metric"].alias("metric"), asked["point"].alias("point")).alias("told"))
+    fits = lambda c: asked["entity"].isNull() | (c["entity"] == asked["entity"])
+    total = lambda cs: F.aggregate(cs, F.lit(0).cast("long"), lambda a, c: a + c["n"])
+
+    def found(x: Column) -> Column:
+        names = F.flatten(F.transform(x["of"], lambda c: F.array_repeat(c["entity"], F.least(c["n"], F.lit(2)).cast("int"))))
+        value = F.when(asked["point"] == "post", x["one"]["post"]).otherwise(x["one"]["baseline"])
+        problem = (
+            F.when(x["of"].isNull(), _problem("unknownSeries", metric=asked["metric"]))
+            .when(x["n"] == 0, _problem("unknownEntity", metric=asked["metric"], entity=asked["entity"], carriers=names))
+            .when(x["n"] > 1, _problem("ambiguousSeries", metric=asked["metric"], carriers=names))
+            .when(x["unit"].isNull(), _problem("unsupportedUnit", unit=x["one"]["unit"]))
+            .when(value.isNull(), _problem("missingPoint", metric=asked["metric"], point=asked["point"]))
+        )
+        return F.struct(_cell(value, x["unit"], problem).alias("cell"), F.struct(x["one"]["entity"].alias("entity"), asked["metric"].alias("metric"), asked["point"].alias("point")).alias("told"))
+
+    of = F.struct(F.try_element_at(held, asked["metric"]).alias("of"))
+    able = lambda x: F.struct(x["of"].alias("of"), F.filter(x["of"], fits).alias("able"))
+    one = lambda x: F.struct(x["of"].alias("of"), total(x["able"]).alias("n"), F.get(x["able"], F.lit(0)).alias("one"), q.parse_unit(F.get(x["able"], F.lit(0))["unit"]).alias("unit"))
+    return q.let(q.let(q.let(of, able), one), found)
 
 
 def _joined(step: Column, a: Column, b: Column) -> Column:
     """The cell of an operator between two cells."""
-    kind, left, right = step["kind"], q.atom(a["unit"]), q.atom(b["unit"])
-    scale = F.when(a["unit"] == b["unit"], F.lit(1.0)).otherwise(q.factor_to(right, left))
-    both = q.dimension(left).isNotNull() & q.dimension(right).isNotNull()
-    mismatch = _problem("unitMismatch", operator=kind, left=q.render(a["unit"]), right=q.render(b["unit"]), left_dimension=F.when(both, q.dimension(left)), right_dimension=F.when(both, q.dimension(right)))
-    sums = kind.isin("+", "-")
-    own = F.when(sums & scale.isNull(), mismatch).when((kind == "/") & (b["value"] == 0), _problem("divisionByZero", step["at"]))
-    value = F.when(kind == "*", a["value"] * b["value"]).when(kind == "/", F.try_divide(a["value"], b["value"])).otherwise(a["value"] + F.when(kind == "-", -b["value"]).otherwise(b["value"]) * scale)
-    unit = F.when(sums, a["unit"]).when(kind == "*", q.product(a["unit"], b["unit"])).otherwise(q.quotient(a["unit"], b["unit"]))
-    return _cell(value, unit, F.coalesce(a["problem"], b["problem"], own))
+    kind, sums = step["kind"], step["kind"].isin("+", "-")
+
+    def of(x: Column) -> Column:
+        both = x["left"].isNotNull() & x["right"].isNotNull()
+        mismatch = _problem("unitMismatch", operator=kind, left=q.render(a["unit"]), right=q.render(b["unit"]), left_dimension=F.when(both, x["left"]["dimension"]), right_dimension=F.when(both, x["right"]["dimension"]))
+        own = F.when(sums & x["scale"].isNull(), mismatch).when((kind == "/") & (b["value"] == 0), _problem("divisionByZero", step["at"]))
+        value = F.when(kind == "*", a["value"] * b["value"]).when(kind == "/", F.try_divide(a["value"], b["value"])).otherwise(a["value"] + F.when(kind == "-", -b["value"]).otherwise(b["value"]) * x["scale"])
+        unit = F.when(sums, a["unit"]).when(kind == "*", q.product(a["unit"], b["unit"])).otherwise(q.quotient(a["unit"], b["unit"]))
+        return _cell(value, unit, F.coalesce(a["problem"], b["problem"], own))
+
+    sides = F.struct(F.when(sums, q.known(q.atom(a["unit"]))).alias("left"), F.when(sums, q.known(q.atom(b["unit"]))).alias("right"))
+    scale = lambda x: F.when(a["unit"] == b["unit"], F.lit(1.0)).otherwise(q.factor_to(x["right"], x["left"]))
+    return q.let(q.let(sides, lambda x: F.struct(x["left"].alias("left"), x["right"].alias("right"), scale(x).alias("scale"))), of)
 
 
 def _run(program: Column, read: Column) -> Column:
@@ -68,10 +78,10 @@ def _run(program: Column, read: Column) -> Column:
         top = F.try_element_at(stack, F.lit(-1))
         less = lambda n: F.slice(stack, F.lit(1), F.greatest(F.size(stack) - n, F.lit(0)))
         return (
-            F.when(s["kind"] == "number", F.array_append(stack, _cell(s["value"], q.no_unit(), F.lit(None))))
+            F.when(s["kind"] == "number", F.array_append(stack, _cell(s["value"], q.no_unit(), F.lit(None).cast(PROBLEM))))
             .when(s["kind"] == "reading", F.array_append(stack, F.get(read, s["reading"])["cell"]))
             .when(s["kind"] == "~", F.array_append(less(1), _cell(-top["value"], top["unit"], top["problem"])))
-            .otherwise(F.array_append(less(2), _joined(s, F.try_element_at(stack, F.lit(-2)), top)))
+            .otherwise(F.array_append(less(2), q.let(F.struct(F.try_element_at(stack, F.lit(-2)).alias("a"), top.alias("b")), lambda x: _joined(s, x["a"], x["b"]))))
         )
 
     return F.aggregate(program["steps"], F.array().cast(f"array<{_CELL}>"), step, lambda stack: F.get(stack, F.lit(0)))
@@ -133,7 +143,7 @@ def evaluate(series: DataFrame, expressions: dict[str, str] | DataFrame, cases:
     refused = F.col("program.problem")
     value = F.col("cell.value")
     failed = F.coalesce(
-        F.when(refused.isNotNull(), F.struct(refused["kind"], refused["at"], F.lit(None), F.lit(None), F.when(refused["kind"] == "unknownPoint", refused["told"]), *[F.lit(None)] * 7).cast(PROBLEM)),
+        F.when(refused.isNotNull(), _problem(refused["kind"], refused["at"], point=F.when(refused["kind"] == "unknownPoint", refused["told"]))),
         F.col("cell.problem"), F.when(F.isnan(value) | (F.abs(value) == float("inf")), _problem("notFinite")),
     )
     well = F.col("problem").isNull()
