@@ -21,8 +21,6 @@ from .common import scratch, stored
 CHUNK = 32
 #: Bytes of conversation ids that are hashed as one piece.
 PIECE = 1 << 20
-#: The name of the class of all conversations.
-_ROOT = F.lit(b"")
 
 
 def turn_digest(role: Column, text: Column) -> Column:
@@ -179,7 +177,7 @@ def _nodes(turns: DataFrame, sizes: DataFrame) -> DataFrame:
     if not total["n"]:
         return spark.createDataFrame([], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string")
     level = spark.createDataFrame([(b"", None, total["c"], total["n"], 0)], "class binary, parent binary, c long, n long, words long")
-    active, depth = sizes.select("c", _ROOT.alias("class"), "size"), 0
+    active, depth = sizes.select("c", F.lit(b"").alias("class"), "size"), 0
     levels, ends = [level], []
     while True:
         if depth % CHUNK == 0:

@@ -39,8 +39,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(table(spark, sf_dir, "pages"))
     response = F.col("response")
-    digest = F.when(F.col("record_type") == "revisit", F.substring_index(response["declared_digest"], ":", -1)).otherwise(response["payload_digest"])
-    return read.select("page_id", response["http_length"].alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to", "target_uri", F.col("request")["record_id"].alias("request_id"), F.size("metadata").alias("n_metadata"))
+    again = F.col("record_type") == "revisit"  # holds no payload: its record tells length and digest
+    digest = F.when(again, F.substring_index(response["declared_digest"], ":", -1)).otherwise(response["payload_digest"])
+    return read.select("page_id", F.when(again, response["http_length"]).otherwise(response["payload_bytes"]).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to", "target_uri", F.col("request")["record_id"].alias("request_id"), F.size("metadata").alias("n_metadata"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

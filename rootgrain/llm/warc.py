@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import removed, shared_dir, stored
 
 #: Payloads below this many bytes are always written in full.
 MIN_REVISIT = 1000
@@ -115,9 +115,10 @@ def _parsed(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """One row for each record of the archives under path: (record_id, record_type, concurrent_to,
     target_uri, date, refers_to, declared_digest, http_head, http_length, block_bytes,
-    payload_digest, payload). payload is what follows the head of an HTTP message, null where
-    payload=False; payload_digest, its bare SHA-1, is computed from what was read."""
-    kind = "record_id string, record_type string, concurrent_to string, target_uri string, date string, refers_to string, declared_digest string, http_head string, http_length long, block_bytes long, payload_digest string, payload binary"
+    payload_bytes, payload_digest, payload). payload is what follows the head of an HTTP message, null where
+    payload=False; payload_bytes and payload_digest, its bare SHA-1, are measured on what was read,
+    http_length is what the head declares."""
+    kind = "record_id string, record_type string, concurrent_to string, target_uri string, date string, refers_to string, declared_digest string, http_head string, http_length long, block_bytes long, payload_bytes long, payload_digest string, payload binary"
     schema = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in kind.split(", ")])
 
     def unpacked(data: bytes) -> Iterator[bytes]:
@@ -144,7 +145,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                     lengths = [x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
                     rows.append((
                         h.get("warc-record-id"), h.get("warc-type"), h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-refers-to"), h.get("warc-payload-digest"),
-                        head.decode("utf-8", "replace"), int(lengths[0]) if lengths else None, len(block), hashlib.sha1(body).hexdigest(), body if payload or h.get("warc-type") == "metadata" else None,
+                        head.decode("utf-8", "replace"), int(lengths[0]) if lengths else None, len(block), len(body), hashlib.sha1(body).hexdigest(), body if payload or h.get("warc-type") == "metadata" else None,
                     ))
                     size += len(block)
                     if len(rows) >= 5000 or size > 16 << 20:
@@ -163,7 +164,7 @@ def captures(records: DataFrame) -> DataFrame:
     once; requests and metadata of no response go. All records of a transaction meet in one shuffle."""
     of = F.when(F.col("record_type").isin("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to"))
     main = F.col("record_type").isin("response", "revisit")
-    own = F.struct("target_uri", "date", "record_type", F.struct("http_head", "http_length", "payload_digest", "declared_digest", "refers_to", "payload").alias("response"))
+    own = F.struct("target_uri", "date", "record_type", F.struct("http_head", "http_length", "payload_bytes", "payload_digest", "declared_digest", "refers_to", "payload").alias("response"))
     request = F.struct("record_id", "http_head", "block_bytes")
     note = F.struct("record_id", F.col("payload").cast("string").alias("fields"))
     met = records.where(of.isNotNull()).groupBy(of.alias("record_id")).agg(
@@ -173,15 +174,19 @@ def captures(records: DataFrame) -> DataFrame:
     return met.where("main IS NOT NULL").select("record_id", "main.target_uri", "main.date", "main.record_type", "request", "main.response", "metadata")
 
 
-def round_trip(pages: DataFrame, key: str = "page_id", **how) -> DataFrame:
-    """Write pages to archives in the shared folder and give the captures that are read back, with the
+def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", **how) -> DataFrame:
+    """Write pages to archives in the shared folder, delete them once they are read, and give the captures that are read back, with the
     page's key from the metadata record and refers_to, the key of the page whose record a revisit names
-    (null for others). An empty table gives an empty one."""
+    (null for others). A capture's column that is called like the key gets warc_ before its name. An
+    empty table gives an empty one."""
     path = f"{shared_dir(pages.sparkSession)}/rootgrain/warc-{uuid.uuid4().hex}"
-    write(pages, path, key, **how)
+    kind = pages.schema[key].dataType
+    write(pages.select(F.col(key).alias("_page"), F.col(url).alias("_page_url"), F.col(payload).alias("_page_body")), path, "_page", "_page_url", "_page_body", **how)
     fields = F.get("metadata", F.lit(0))["fields"]
-    own = F.when(fields.startswith("page-id: "), F.regexp_extract(fields, "^page-id: (.*?)\r\n", 1)).cast(pages.schema[key].dataType)
-    told = stored(captures(read(pages.sparkSession, path, payload=False)).withColumn(key, own), "captures")
-    names = told.select(F.col("record_id").alias("_named"), F.col(key).alias("refers_to"))
+    own = F.when(fields.startswith("page-id: "), F.regexp_extract(fields, "^page-id: (.*?)\r\n", 1)).cast(kind)
+    told = stored(captures(read(pages.sparkSession, path, payload=False)).withColumn("_page", own), "captures")
+    removed(pages.sparkSession, path)
+    names = told.select(F.col("record_id").alias("_named"), F.col("_page").alias("refers_to"))
     again = told.where(F.col("response.refers_to").isNotNull()).join(names, F.col("response.refers_to") == F.col("_named"), "left").drop("_named")
-    return told.where(F.col("response.refers_to").isNull()).withColumn("refers_to", F.lit(None).cast(pages.schema[key].dataType)).unionByName(again)
+    both = told.where(F.col("response.refers_to").isNull()).withColumn("refers_to", F.lit(None).cast(kind)).unionByName(again)
+    return both.withColumnsRenamed({c: f"warc_{c}" for c in both.columns if c.lower() == key.lower()}).withColumnRenamed("_page", key)

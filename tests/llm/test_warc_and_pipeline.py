@@ -26,6 +26,19 @@ def test_round_trip(spark):
         assert r.request.http_head.startswith("GET ") and len(r.metadata) == 1
 
 
+def test_key_with_a_name_of_a_capture(spark):
+    page = "<p>" + "x" * 2000
+    rows = spark.createDataFrame([(1, page, "u"), (2, page, "u"), (3, None, None)], "record_id long, html string, url string")
+    got = {r.record_id: (r.record_type, r.refers_to, r.response.payload_bytes) for r in warc.round_trip(rows, key="record_id").collect()}
+    assert got == {1: ("revisit", 2, 0), 2: ("response", None, 2003), 3: ("response", None, 0)}
+    assert warc.round_trip(rows.limit(0), key="record_id").count() == 0
+
+
+def test_a_very_long_page(spark):
+    rows = spark.createDataFrame([(1, "é" * 3_000_000, "u")], "page_id long, html string, url string")
+    assert [(r.page_id, r.response.payload_bytes) for r in warc.round_trip(rows).collect()] == [(1, 6_000_000)]
+
+
 def test_captures_without_request_or_metadata(spark):
     folder = warc.shared_dir(spark) + "/test-warc-lone"
     record = lambda kind, name, more="": f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\n{more}Content-Length: 2\r\n\r\nhi\r\n\r\n"
@@ -67,8 +80,9 @@ def test_queries_equal_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    path = f"{folder}/documents.parquet"
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path if os.path.isfile(path) else path + '/*.parquet'}')")
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        path = f"{folder}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path if os.path.isfile(path) else path + '/*.parquet'}')")
     df = queries.QUERIES[name](spark, folder)
     result = con.execute(queries.ORACLE[name])
     columns = [c[0] for c in result.description]
