@@ -1,9 +1,10 @@
 """Registered queries of readings: derived arithmetic, dataset descriptors, published grids and modalities."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import derived
+from ..functions import times
+from ..operators import derived, loggrid
 from .queries import query
 from .views import table
 
@@ -34,3 +35,69 @@ def derived_readings(spark: SparkSession, d: str) -> DataFrame:
     series = lines.groupBy("case_id", "entity", "metric", "unit").agg(F.sum(F.when(~F.col("odd"), F.col("l_quantity"))).alias("baseline"), F.sum(F.when(F.col("odd"), F.col("l_quantity"))).alias("post"))
     told = derived.hold(derived.evaluate(series, _EXPRESSIONS), {"ratio": (">=", 1, "1")})
     return told.select("case_id", "name", "value", "unit", F.col("problem.kind").alias("problem"), "holds")
+
+
+_KEYS = {"error": "1", "signup": "2", "view": "7", "purchase": "10", "click": "30"}
+#: Events as log rows of 25 cases: a third of the templates is shared or masked, every fourth row names no cluster.
+_LOGS = f"""l AS (SELECT user_id % 25 AS c, 'svc-' || (user_id % 10) AS container, (epoch_us(ts) // 240000000) AS at, (epoch_us(ts) // 240000000) // 15 * 15 AS bucket, event_id AS e,
+ CASE event_type {" ".join(f"WHEN '{t}' THEN '{k}'" for t, k in _KEYS.items())} END AS key, CASE WHEN event_id % 5 = 0 THEN '<*>' WHEN event_id % 97 = 0 AND user_id % 25 % 2 = 0 THEN 'T error' WHEN event_type IN ('view', 'click') THEN 'T look' ELSE 'T ' || event_type END AS template FROM events)"""
+
+
+def _grid_logs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    case, container, at = F.col("user_id") % 25, F.concat(F.lit("svc-"), (F.col("user_id") % 10).cast("string")), F.floor(times.epoch_ms(F.col("ts")) / 240_000)
+    key = F.create_map(*[F.lit(x) for p in _KEYS.items() for x in p])[F.col("event_type")]
+    text = F.when(F.col("event_id") % 5 == 0, "<*>").when((F.col("event_id") % 97 == 0) & (case % 2 == 0), "T error").when(F.col("event_type").isin("view", "click"), "T look").otherwise(F.concat(F.lit("T "), "event_type"))
+    logs = table(spark, d, "events").select(F.concat(F.lit("case-"), case.cast("string")).alias("case_id"), case.alias("c"), container.alias("container"), F.when(F.col("event_id") % 4 != 0, key).alias("cluster_id"), text.alias("template"), at.alias("at_seconds"))
+    template = F.when(F.col("k.type").isin("view", "click"), "T look").otherwise(F.concat(F.lit("T "), "k.type"))
+    known = logs.select("case_id", "container").distinct().select("case_id", "container", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(k).alias("key")) for t, k in _KEYS.items()])).alias("k"))
+    return logs, known.select("case_id", F.col("k.key").alias("key"), "container", template.alias("template"))
+
+
+def _texts(*columns) -> Column:
+    return F.array(*[c.cast("string") for c in columns])
+
+
+@query(f"""WITH {_LOGS}, p AS (SELECT *, e % 4 <> 0 AS named, template <> '<*>' AS told FROM l),
+t AS (SELECT c, count(*) AS seen, count(*) FILTER (named) AS by_id, count(*) FILTER (NOT named AND told) AS by_template, count(*) FILTER (NOT named AND NOT told) AS dropped, count(*) FILTER (named AND NOT told) AS masked,
+ count(*) FILTER (named AND template = 'T error' AND key <> '1') AS contradicted, min(bucket) AS lo, max(bucket) AS hi, (max(bucket) - min(bucket)) // 15 + 1 AS expected, count(DISTINCT container) * 5 AS columns FROM p GROUP BY c),
+w AS (SELECT *, CASE WHEN c % 5 = 3 THEN columns * len(list_filter(range(lo, hi + 1, 15), lambda b: b % 600 = 0)) ELSE 0 END AS bad, CASE WHEN c % 5 = 2 THEN expected - 1 ELSE expected END AS held FROM t)
+SELECT 'case-' || c AS case_id, CASE WHEN c % 5 IN (2, 4) OR bad > 0 OR contradicted > 0 THEN 'disagreed' ELSE 'reproduced' END AS outcome, CASE WHEN c % 5 = 4 THEN 0 ELSE held END AS rows, expected AS expected_rows,
+ CASE WHEN c % 5 = 4 THEN 0 ELSE columns END AS columns, CASE WHEN c % 5 = 4 THEN 0 ELSE held * columns END AS cells, bad AS wrong, seen, by_id, by_template, dropped, masked, contradicted FROM w""")
+def published_grids(spark: SparkSession, d: str) -> DataFrame:
+    """Grids of the events' cases: some as the logs make them, some with other cells, names or ends."""
+    logs, clusters = _grid_logs(spark, d)
+    c, names = F.col("c"), lambda *keys: F.array(*[F.concat_ws("_", "container", F.lit(k)) for k in keys])
+    of_text = F.when(F.col("template") == "T look", names("7", "30")).when(F.col("template") != "<*>", F.array(F.concat_ws("_", "container", F.create_map(*[F.lit(x) for t, k in _KEYS.items() for x in (f"T {t}", k)])[F.col("template")])))
+    into = F.when(F.col("cluster_id").isNotNull(), F.array(F.concat_ws("_", "container", "cluster_id"))).otherwise(of_text)
+    counted = logs.select("case_id", "c", (F.floor(F.col("at_seconds") / 15) * 15).alias("bucket"), F.explode(F.coalesce(into, F.array(F.lit("none")))).alias("name")).groupBy("case_id", "c", "bucket", "name").count()
+    held = counted.groupBy("case_id", "bucket").agg(F.map_from_entries(F.collect_list(F.struct("name", "count"))).alias("counts"))
+    spans = counted.groupBy("case_id", "c").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
+    ordered = clusters.select("case_id", F.struct(F.col("key").cast("int").alias("k"), "container", F.concat_ws("_", "container", "key").alias("name")).alias("x")).groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("names"))
+    table_ = spans.join(ordered, "case_id")
+    end = F.col("hi") - F.when(c % 5 == 2, 15).otherwise(0)
+    rows = table_.select("case_id", "c", "names", F.explode(F.sequence("lo", end, F.lit(15).cast("long"))).alias("bucket")).join(held, ["case_id", "bucket"], "left")
+    extra = F.when((c % 5 == 3) & (F.col("bucket") % 600 == 0), 1).otherwise(0)
+    cells = F.concat(_texts(F.col("bucket")), F.transform("names", lambda n: (F.coalesce(F.try_element_at("counts", n), F.lit(0)) + extra).cast("string")))
+    heads = table_.select("case_id", F.lit(-1).cast("long").alias("line"), F.concat(F.array(F.lit("time")), F.when(c % 5 == 4, F.transform("names", lambda n, i: F.when(i == 0, "x_1").otherwise(n))).otherwise(F.col("names"))).alias("cells"))
+    published = heads.unionByName(rows.select("case_id", F.col("bucket").alias("line"), cells.alias("cells")))
+    return loggrid.compare(published, logs, clusters).select("case_id", "outcome", "rows", "expected_rows", "columns", "cells", "wrong", "seen", "by_id", "by_template", "dropped", "masked", "contradicted")
+
+
+@query(f"""WITH {_LOGS}, n AS (SELECT c, container, bucket, count(*) AS n FROM l GROUP BY ALL), f AS (SELECT *, greatest(n - 1, 1) + CASE WHEN c % 5 = 3 AND bucket % 600 = 0 THEN n ELSE 0 END AS told FROM n),
+a AS (SELECT c, count(*) AS pairs, count(*) FILTER (told > n) AS over, min(n - told) AS tightest, sum(told)::BIGINT AS published_total, count(DISTINCT bucket) AS published_rows, sum(n)::BIGINT AS log_rows FROM f GROUP BY c)
+SELECT 'case-' || c AS case_id, CASE WHEN c % 5 IN (1, 2, 4) THEN 'refused' WHEN over > 0 THEN 'disagreed' ELSE 'bounded' END AS outcome, CASE c % 5 WHEN 1 THEN 'unreadable-header' WHEN 2 THEN 'unreadable-column' WHEN 4 THEN 'off-grid-table' END AS reason,
+ CASE WHEN c % 5 IN (0, 3) THEN pairs END AS pairs, CASE WHEN c % 5 IN (0, 3) THEN over END AS over, CASE WHEN c % 5 IN (0, 3) THEN tightest END AS tightest, CASE WHEN c % 5 IN (0, 3) THEN published_total END AS published_total,
+ CASE WHEN c % 5 IN (0, 3) THEN published_rows END AS published_rows, CASE WHEN c % 5 IN (0, 3) THEN log_rows END AS log_rows FROM a""")
+def bounded_grids(spark: SparkSession, d: str) -> DataFrame:
+    """Grids by container of the events' cases, whose log rows name no cluster: one row less than there
+    are, and in some cases twice as many, other headers, columns or times."""
+    logs, _ = _grid_logs(spark, d)
+    c = F.col("c")
+    n = logs.withColumn("bucket", F.floor(F.col("at_seconds") / 15) * 15).groupBy("case_id", "c", "container", "bucket").count()
+    told = F.greatest(F.col("count") - 1, F.lit(1)) + F.when((c % 5 == 3) & (F.col("bucket") % 600 == 0), F.col("count")).otherwise(0)
+    held = n.groupBy("case_id", "c", "bucket").agg(F.map_from_entries(F.collect_list(F.struct("container", told))).alias("m"))
+    names = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("svc-"), i.cast("string")))
+    rows = held.select("case_id", F.col("bucket").alias("line"), F.concat(_texts(F.col("bucket") + F.when(c % 5 == 4, 1).otherwise(0)), F.transform(names, lambda s: F.coalesce(F.try_element_at("m", s).cast("string"), F.lit("")))).alias("cells"))
+    head = F.concat(F.array(F.when(c % 5 == 1, "t").otherwise("time")), F.transform(names, lambda s: F.concat(s, F.when(c % 5 == 2, "").otherwise("_1"))))
+    published = n.select("case_id", "c").distinct().select("case_id", F.lit(-1).cast("long").alias("line"), head.alias("cells")).unionByName(rows)
+    return loggrid.bound(published, logs).select("case_id", "outcome", "reason", "pairs", "over", "tightest", "published_total", "published_rows", "log_rows")
