@@ -4,6 +4,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LAYOUTS = ("iso8601", "rfc3339", "unix_s", "unix_ms", "unix_us", "unix_ns", "java_log")
+#: White space around values: the ASCII kinds, the no-break space and the byte order mark.
+BLANKS = " \t\n\x0b\f\r\u00a0\ufeff"
 ISO_UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$"
 _ISO = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?\s*(Z|[+-]\d{2}:?\d{2})?$"
 _JAVA = r"^(\d{4})-(\d{2})-(\d{2})[ T](\d{2}):(\d{2}):(\d{2})[,.](\d{1,3})$"
@@ -46,7 +48,7 @@ def parse(text: Column, layout: str, assume_offset_minutes: int | None = None) -
     carries no offset and none is assumed. Fractions are cut to milliseconds, epochs towards zero."""
     if layout not in LAYOUTS:
         raise ValueError(f"unknown time layout {layout!r}; one of {', '.join(LAYOUTS)}")
-    text = F.regexp_replace(text, r"^[\s ﻿]+|[\s ﻿]+$", "")
+    text = F.btrim(text, F.lit(BLANKS))
     assumed = F.lit(assume_offset_minutes).cast("int")
     if layout.startswith("unix_"):
         number = F.when(text.rlike(r"^[+-]?\d{1,19}$"), text.try_cast("decimal(38,0)"))

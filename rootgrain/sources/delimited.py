@@ -48,20 +48,21 @@ def _rows(text: str, pattern: re.Pattern) -> list[tuple[int, list[str] | None, s
     return out
 
 
-def rows(files: DataFrame, delimiter: str = ",") -> DataFrame:
+def rows(files: DataFrame, delimiter: str | Column = ",") -> DataFrame:
     """(path, line, cells, error): the rows of each file with the line on which they start.
 
     A quote may open anywhere in a cell; two of them within quotes are one; a line end within quotes
     is a line feed. Blank rows are left out. Text after an unclosed quote is lost and told as one error.
-    Null contents have no rows.
+    Null contents have no rows. The delimiter may be a column: each file's own.
     """
 
     @F.pandas_udf(ROW)
-    def parse(texts: pd.Series) -> pd.Series:
-        pattern = _pieces(delimiter)
-        return pd.Series([[{"line": n, "cells": c, "error": e} for n, c, e in _rows(t or "", pattern)] for t in texts])
+    def parse(texts: pd.Series, delimiters: pd.Series) -> pd.Series:
+        patterns = {d: _pieces(d) for d in delimiters.unique()}
+        return pd.Series([[{"line": n, "cells": c, "error": e} for n, c, e in _rows(t or "", patterns[d])] for t, d in zip(texts, delimiters, strict=True)])
 
-    return files.select("path", F.explode(parse("content")).alias("r")).select("path", "r.line", "r.cells", "r.error")
+    own = F.lit(delimiter) if isinstance(delimiter, str) else delimiter
+    return files.select("path", F.explode(parse("content", own)).alias("r")).select("path", "r.line", "r.cells", "r.error")
 
 
 def records(rows: DataFrame) -> DataFrame:

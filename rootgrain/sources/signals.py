@@ -8,7 +8,6 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text, times
 from ..functions.vocab import COLUMN_ALIASES, SPAN_STATUSES
@@ -42,20 +41,33 @@ def detect_layout(headers: list[str], kind: str) -> dict[str, str]:
 
 
 def _cell(column: Column) -> Column:
-    trimmed = F.regexp_replace(column, r"^[\s ﻿]+|[\s ﻿]+$", "")
+    trimmed = F.btrim(column, F.lit(times.BLANKS))
     return F.when(trimmed != "", trimmed)
 
 
-def classify(records: DataFrame, kind: str, layout: dict[str, str], time_layout: str = "iso8601", assume_offset_minutes: int | None = None, service: str | None = None, aliases: dict[str, str] | None = None, duration_unit: str = "ms") -> DataFrame:
+def _by_file(layout: Column, offset: Column, readings: list[tuple[str, int | None]], text: Column) -> Column:
+    """The time of a text as its own file's layout and offset have it; both are columns."""
+    out = F.when(F.lit(False), times.parse(text, "iso8601"))
+    for name, minutes in readings:
+        out = out.when((layout == name) & offset.eqNullSafe(F.lit(minutes).cast("int")), times.parse(text, name, minutes))
+    return out
+
+
+def classify(records: DataFrame, kind: str, layout: dict[str, str] | Column, time_layout: str | Column = "iso8601", assume_offset_minutes: int | Column | None = None, service: str | Column | None = None, aliases: dict[str, str] | Column | None = None, duration_unit: str = "ms", readings: list[tuple[str, int | None]] = ()) -> DataFrame:
     """records (path, line, record, error) with `outcome` (signal, missing or quarantine), `reason` and
     `signal`, a struct of all fields of the kind. The reason is the first in the order: unreadable
-    record, timestamp, service, then the kind's own fields."""
-    raw = lambda f: F.col("record")[layout[f]] if f in layout else F.lit(None).cast("string")
+    record, timestamp, service, then the kind's own fields. layout, time layout, offset, service and
+    aliases may be columns, where files differ: then readings lists the pairs of layout and offset."""
+    each = isinstance(layout, Column)
+    header = (lambda f: F.coalesce(F.try_element_at(layout, F.lit(f)), F.lit("(none)"))) if each else (lambda f: F.lit(layout.get(f, "(none)")))
+    raw = (lambda f: F.try_element_at("record", header(f))) if each else (lambda f: F.col("record")[layout[f]] if f in layout else F.lit(None).cast("string"))
     cell = lambda f: _cell(raw(f))
-    absent = lambda f, what: F.when(cell(f).isNull(), f"missing required column '{layout.get(f, '(none)')}' ({what})")
-    at = times.parse(cell("timestamp"), time_layout, assume_offset_minutes)
-    declared = F.coalesce(cell("service"), F.lit(service))
-    name = F.coalesce(F.create_map(*[F.lit(x) for p in aliases.items() for x in p])[declared], declared) if aliases else declared
+    required = lambda f, what: F.concat(F.lit("missing required column '"), header(f), F.lit(f"' ({what})"))
+    absent = lambda f, what: F.when(cell(f).isNull(), required(f, what))
+    at = _by_file(time_layout, assume_offset_minutes, readings, cell("timestamp")) if isinstance(time_layout, Column) else times.parse(cell("timestamp"), time_layout, assume_offset_minutes)
+    declared = F.coalesce(cell("service"), service if isinstance(service, Column) else F.lit(service))
+    known = aliases if isinstance(aliases, Column) or not aliases else F.create_map(*[F.lit(x) for p in aliases.items() for x in p])
+    name = F.coalesce(F.try_element_at(known, declared), declared) if known is not None and not isinstance(known, dict) else declared
     checks = [F.col("error"), absent("timestamp", "timestamp"), F.when(at["ms"].isNull(), "timestamp cannot be read"), F.when(F.coalesce(declared, F.lit("")) == "", "missing service name")]
     fields = {"ts_ms": at["ms"], "offset_minutes": at["offset_minutes"], "service": name, "pod": cell("pod_name"), "node": cell("node_name")}
     missing = F.lit(False)
@@ -68,7 +80,7 @@ def classify(records: DataFrame, kind: str, layout: dict[str, str], time_layout:
         fields |= {"name": cell("metric_name"), "value": number}
     elif kind == "log":
         level = text.severity(cell("severity"))
-        checks += [F.when(raw("log_body").isNull(), f"missing required column '{layout.get('log_body', '(none)')}' (log body)"), F.when(cell("severity").isNotNull() & level.isNull(), F.concat(F.lit("invalid severity '"), cell("severity"), F.lit("'")))]
+        checks += [F.when(raw("log_body").isNull(), required("log_body", "log body")), F.when(cell("severity").isNotNull() & level.isNull(), F.concat(F.lit("invalid severity '"), cell("severity"), F.lit("'")))]
         fields |= {"body": F.coalesce(cell("log_body"), F.lit("")), "severity": level}
     else:
         duration = F.when(cell("duration_ms").rlike(NUMERIC), cell("duration_ms").try_cast("double"))
@@ -105,8 +117,9 @@ def kind_of_path(path: Column) -> Column:
 def route(paths: DataFrame, cases: DataFrame) -> DataFrame:
     """(path, case_id) for paths (path) and cases (case_ord, case_id, prefix): the first case, in their
     order, whose prefix the path begins with. A null prefix takes what no other case does; paths that
-    nobody claims have a null case. The cases are few and broadcast."""
-    claimed = paths.join(F.broadcast(cases.where("prefix IS NOT NULL")), F.expr("startswith(path, prefix)"))
-    first = claimed.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("case_ord"))).where("_n = 1").select("path", "case_id")
-    rest = cases.where("prefix IS NULL").agg(F.min_by("case_id", "case_ord").alias("_rest"))
+    nobody claims have a null case. A path is joined on its own beginnings, so that the number of cases
+    does not matter."""
+    starts = paths.select("path", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("_n")).select("path", F.expr("substring(path, 1, _n)").alias("prefix"))
+    first = starts.join(cases.where("prefix IS NOT NULL").groupBy("prefix").agg(F.min(F.struct("case_ord", "case_id")).alias("_c")), "prefix").groupBy("path").agg(F.min("_c")["case_id"].alias("case_id"))
+    rest = cases.where("prefix IS NULL").agg(F.min_by("case_id", "case_ord").alias("_rest"))  # one row
     return paths.join(first, "path", "left").crossJoin(F.broadcast(rest)).select("path", F.coalesce("case_id", "_rest").alias("case_id"))
