@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..operators import derived, loggrid
+from ..sources import descriptor
 from .queries import query
 from .views import table
 
@@ -101,3 +102,35 @@ def bounded_grids(spark: SparkSession, d: str) -> DataFrame:
     head = F.concat(F.array(F.when(c % 5 == 1, "t").otherwise("time")), F.transform(names, lambda s: F.concat(s, F.when(c % 5 == 2, "").otherwise("_1"))))
     published = n.select("case_id", "c").distinct().select("case_id", F.lit(-1).cast("long").alias("line"), head.alias("cells")).unionByName(rows)
     return loggrid.bound(published, logs).select("case_id", "outcome", "reason", "pairs", "over", "tightest", "published_total", "published_rows", "log_rows")
+
+
+@query("""WITH e AS (SELECT user_id % 25 AS n, event_id // 5000 AS part, event_type, CASE WHEN event_type = 'click' THEN 'logs' WHEN event_type = 'purchase' THEN 'traces' ELSE 'metrics' END AS folder FROM events),
+c AS (SELECT CASE WHEN n < 20 THEN 'case-' || n ELSE 'rest' END AS case_id, min(CASE WHEN n < 20 THEN n % 10 ELSE 0 END) AS s, count(*) FILTER (n < 24 AND event_type IN ('view', 'click', 'purchase')) AS signals,
+ count(*) FILTER (n < 24 AND event_type = 'signup') + count(DISTINCT (n, part, folder)) FILTER (n = 24) AS quarantined, count(*) FILTER (n < 24 AND event_type = 'error') AS missing, count(DISTINCT (n, part, folder)) AS files FROM e GROUP BY 1)
+SELECT case_id, signals, quarantined, missing, files, 'service:shop/svc-' || s AS root_entity_id, '2024-01-15T23:50:00.000Z' AS window_start, 'resource' AS category FROM c""")
+def ingested_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Events as the files of 25 folders: views, errors and signups as CSV (a number, a missing one, none), clicks
+    as JSON lines, purchases as TSV; the files of one folder have an ending that says nothing."""
+    n, kind = F.col("user_id") % 25, F.col("event_type")
+    at, service = times.iso_utc(times.epoch_ms(F.col("ts"))), F.concat(F.lit("svc-"), (F.col("user_id") % 10).cast("string"))
+    folder = F.when(kind == "click", "logs").when(kind == "purchase", "traces").otherwise("metrics")
+    value = F.when(kind == "error", "NaN").when(kind == "signup", "x").otherwise(F.col("value").cast("string"))
+    text = F.col("event_id").cast("string")
+    line = F.when(kind == "click", F.to_json(F.struct(at.alias("ts"), service.alias("svc"), F.col("props").alias("msg")))).when(kind == "purchase", F.concat_ws("\t", at, service, text, text, kind, value)).otherwise(F.concat_ws(",", at, service, kind, value))
+    rows = table(spark, d, "events").select(n.alias("n"), F.floor(F.col("event_id") / 5000).alias("part"), folder.alias("folder"), "event_id", line.alias("line"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n")
+    head = F.when(F.col("folder") == "metrics", "time,service,metric,value\n").when(F.col("folder") == "traces", "time\tservice\ttrace_id\tspan_id\toperation\tduration\n").otherwise("")
+    end = F.when(F.col("n") == 24, "bin").when(F.col("folder") == "metrics", "csv").when(F.col("folder") == "traces", "tsv").otherwise("jsonl")
+    files = rows.groupBy("n", "part", "folder").agg(lines.alias("lines")).select(F.format_string("case-%d/%s/p%d.%s", "n", "folder", "part", end).alias("path"), F.concat(head, "lines").alias("content"))
+    listed = rows.select("n").distinct().select(F.least("n", F.lit(20)).alias("n")).distinct()
+    c, rest = F.col("n"), F.col("n") == 20
+    name = F.when(rest, "rest").otherwise(F.concat(F.lit("case-"), c.cast("string")))
+    none = F.lit(None).cast("string")
+    cases = listed.select(
+        c.cast("int").alias("case_ord"), name.alias("case_id"), F.concat(F.lit("svc-"), F.when(rest, 0).otherwise(c % 10).cast("string")).alias("component"), F.lit("CPU stress").alias("fault_type"), none.alias("fault_category"), F.lit("2024-01-16T00:00:00Z").alias("inject_time"),
+        none.alias("window_start"), none.alias("window_end"), F.when(~rest, F.array(F.concat(name, F.lit("/")))).alias("prefixes"),
+    )
+    empty = lambda kind: spark.createDataFrame([], kind)
+    specs = empty("case_id string, path string, " + ", ".join(f"{k} {t}" for k, t in descriptor.OPTIONS.items()))
+    told = descriptor.ingest(files, cases, specs, "rcaeval", "shop", empty("entity_id string, kind string, name string, aliases array<string>"), empty("src string, dst string, relation string"))
+    return told.report.join(told.cases.select("case_id", "root_entity_id", "window_start", "category"), "case_id")

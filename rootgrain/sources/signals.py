@@ -58,10 +58,17 @@ def classify(records: DataFrame, kind: str, layout: dict[str, str] | Column, tim
     `signal`, a struct of all fields of the kind. The reason is the first in the order: unreadable
     record, timestamp, service, then the kind's own fields. layout, time layout, offset, service and
     aliases may be columns, where files differ: then readings lists the pairs of layout and offset."""
-    each = isinstance(layout, Column)
-    header = (lambda f: F.coalesce(F.try_element_at(layout, F.lit(f)), F.lit("(none)"))) if each else (lambda f: F.lit(layout.get(f, "(none)")))
-    raw = (lambda f: F.try_element_at("record", header(f))) if each else (lambda f: F.col("record")[layout[f]] if f in layout else F.lit(None).cast("string"))
-    cell = lambda f: _cell(raw(f))
+    each, fields = isinstance(layout, Column), (*COMMON, *FIELDS[kind])
+    if each:  # what a file's layout leads to is found once for each record
+        held = records.withColumn("_head", F.struct(*[F.coalesce(F.try_element_at(layout, F.lit(f)), F.lit("(none)")).alias(f) for f in fields]))
+        held = held.withColumn("_raw", F.struct(*[F.try_element_at("record", F.col("_head")[f]).alias(f) for f in fields]))
+        held = held.withColumn("_cell", F.struct(*[_cell(F.col("_raw")[f]).alias(f) for f in fields]))
+        header, raw, cell = (lambda f: F.col("_head")[f]), (lambda f: F.col("_raw")[f]), (lambda f: F.col("_cell")[f])
+    else:
+        held = records
+        header = lambda f: F.lit(layout.get(f, "(none)"))
+        raw = lambda f: F.col("record")[layout[f]] if f in layout else F.lit(None).cast("string")
+        cell = lambda f: _cell(raw(f))
     required = lambda f, what: F.concat(F.lit("missing required column '"), header(f), F.lit(f"' ({what})"))
     absent = lambda f, what: F.when(cell(f).isNull(), required(f, what))
     at = _by_file(time_layout, assume_offset_minutes, readings, cell("timestamp")) if isinstance(time_layout, Column) else times.parse(cell("timestamp"), time_layout, assume_offset_minutes)
@@ -91,7 +98,7 @@ def classify(records: DataFrame, kind: str, layout: dict[str, str] | Column, tim
     reason = F.coalesce(*checks)
     outcome = F.when(reason.isNotNull(), "quarantine").when(missing, "missing").otherwise("signal")
     signal = F.when(outcome == "signal", F.struct(*[c.alias(k) for k, c in fields.items()]))
-    return records.select("*", outcome.alias("outcome"), reason.alias("reason"), signal.alias("signal"))
+    return held.select(*records.columns, outcome.alias("outcome"), reason.alias("reason"), signal.alias("signal"))
 
 
 def ingest(records: DataFrame, kind: str, layout: dict[str, str], **how) -> tuple[DataFrame, DataFrame, DataFrame]:
