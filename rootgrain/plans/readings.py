@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..operators import derived, loggrid
-from ..sources import descriptor
+from ..sources import descriptor, shared
+from ..streaming import telemetry
 from .queries import query
 from .views import table
 
@@ -134,3 +135,22 @@ def ingested_dataset(spark: SparkSession, d: str) -> DataFrame:
     specs = empty("case_id string, path string, " + ", ".join(f"{k} {t}" for k, t in descriptor.OPTIONS.items()))
     told = descriptor.ingest(files, cases, specs, "rcaeval", "shop", empty("entity_id string, kind string, name string, aliases array<string>"), empty("src string, dst string, relation string"))
     return told.report.join(told.cases.select("case_id", "root_entity_id", "window_start", "category"), "case_id")
+
+
+@query("""WITH e AS (SELECT user_id % 25 AS c, event_id % 3 AS b, epoch_us(ts) AS us, epoch_us(ts) - epoch_us(ts) % 3600000000 AS start FROM events), h AS (SELECT c, b, max(us) AS top FROM e GROUP BY ALL),
+p AS (SELECT e.*, coalesce(start + 3600000000 <= (SELECT max(top) FROM h WHERE h.c = e.c AND h.b < e.b) - 86400000000, false) AS late FROM e)
+SELECT 'case-' || c AS case_id, make_timestamp(start) AS period_start, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS n_late FROM p GROUP BY ALL""")
+def late_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events that come to a stream in three parts, each over all their time: hours by case, and what came
+    more than a day too late for them."""
+    path = shared.fresh_path(spark, "late")
+    rows = table(spark, d, "events").select(F.concat(F.lit("case-"), (F.col("user_id") % 25).cast("string")).alias("case_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3).alias("part"))
+    for part in range(3):
+        rows.where(F.col("part") == part).select("case_id", "ts").write.parquet(f"{path}/in/{part}")
+        stream = spark.readStream.schema("case_id string, ts timestamp").parquet(f"{path}/in/*")
+        with telemetry.lasting_state(spark):
+            told = telemetry.windows_or_late(stream, "case_id", seconds=3600, lateness="1 day")
+            told.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(told.schema).parquet(f"{path}/out")
+    n = lambda kind, of: F.coalesce(of(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).cast("long")
+    return out.groupBy("case_id", F.col("start").cast("timestamp_ntz").alias("period_start")).agg(n("window", F.max).alias("n"), n("late", F.sum).alias("n_late"))
