@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..operators import derived, loggrid
+from ..operators import derived, loggrid, thresholds
 from ..sources import descriptor, shared
 from ..streaming import telemetry
 from .queries import query
@@ -154,3 +154,14 @@ def late_events(spark: SparkSession, d: str) -> DataFrame:
     out = spark.read.schema(told.schema).parquet(f"{path}/out")
     n = lambda kind, of: F.coalesce(of(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).cast("long")
     return out.groupBy("case_id", F.col("start").cast("timestamp_ntz").alias("period_start")).agg(n("window", F.max).alias("n"), n("late", F.sum).alias("n_late"))
+
+
+@query("""WITH s AS (SELECT event_type AS model, event_id % 3 = 0 AS positive, value + CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 1000 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 50 ELSE 0 END AS value FROM events),
+v AS (SELECT model, value, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS q FROM s GROUP BY ALL), c AS (SELECT model, value, coalesce(sum(p) OVER (PARTITION BY model ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS refused, sum(q) OVER (PARTITION BY model ORDER BY value ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS credited FROM v),
+b AS (SELECT model, value, refused, credited FROM c QUALIFY row_number() OVER (PARTITION BY model ORDER BY refused + credited, value) = 1), g AS (SELECT model, round(min(value) FILTER (positive), 3) AS low, round(max(value) FILTER (NOT positive), 3) AS high FROM s GROUP BY model)
+SELECT model, round(low - high, 3) AS gap, round(low - high, 3) >= 0.05 AS separates, CASE WHEN round(low - high, 3) >= 0.05 THEN round((low + high) / 2, 3) END AS threshold, round(value, 3) AS fitted_threshold, (refused + credited)::BIGINT AS errors, refused::BIGINT AS false_refusals, credited::BIGINT AS false_credits FROM b JOIN g USING (model)""")
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Values of the events of each type as scores: every third event is positive and 50 higher, signups by 1000 more."""
+    positive = F.col("event_id") % 3 == 0
+    value = F.col("value") + F.when((F.col("event_type") == "signup") & positive, 1000).otherwise(0) + F.when(positive, 50).otherwise(0)
+    return thresholds.measure(table(spark, d, "events").select(F.col("event_type").alias("model"), positive.alias("positive"), value.alias("value")))
