@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from rootgrain.plans import cases, checks, documents, published, readings, references  # noqa: F401
+from rootgrain.plans import cases, checks, derivations, documents, published, readings, references  # noqa: F401
 from rootgrain.plans import queries as engine
 
 FOLDER = "/root/testdata/sf0.001"
