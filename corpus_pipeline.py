@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootgrain.llm import decontam, linededup, ngramjoin, packing, toxicity
-from rootgrain.llm.common import fresh, removed, scratch, shared_dir
+from rootgrain.llm.common import fresh, removed, scratch, shared_dir, small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/rootgrain/stage-{name}-{uuid.uuid4().hex}"
-        with scratch(spark):
+        # Python workers outlive their stage: what large batches leave in them would be added to the next stage's memory
+        with scratch(spark), small_batches(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
