@@ -3,8 +3,8 @@
 checkpoints: case_id, checkpoint_id, entity_ref and, where they are asked for, metric, signal_ref,
 signal_kind. steps: case_id, step, from_entity, to_entity, evidence_refs. Entities and edges as in graph.
 
-A reference is met tier by tier. Each tier is a join on equal keys, the second over the entity's
-relatives in the closure of containment, so that no two lists of a case are crossed.
+A reference is met tier by tier. Each tier is a join on equal keys, the second over what holds an entity
+in the closure of containment, so that neither two lists of a case nor all that one entity holds are crossed.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,12 @@ def _resolved(refs: DataFrame, entities: DataFrame, ref: str) -> DataFrame:
     return graph.resolve(refs, entities, ref).withColumn("entity_id", F.when(F.col(ref) != "", F.col("entity_id")))
 
 
+def holders(edges: DataFrame) -> DataFrame:
+    """(entity_id, near): every entity with those that it lies within. They are few; what lies within one is not,
+    so that both ways between two entities go from the inner one outwards."""
+    return graph.closure(edges).select(F.col("inner").alias("entity_id"), F.col("outer").alias("near")).where("entity_id != near").distinct()
+
+
 def relatives(edges: DataFrame) -> DataFrame:
     """(entity_id, near): every entity that lies within another or holds it, both ways."""
     inside = graph.closure(edges)
@@ -82,8 +88,11 @@ def join_published(checkpoints: DataFrame, metrics: DataFrame, logs: DataFrame,
     by_key, by_entity = ["case_id", "carrier", "key"], ["case_id", "carrier", "key", "entity_id"]
     there = asked.join(rows.select(*by_key).distinct(), by_key).select("row", F.lit(True).alias("there"))
     exact = asked.join(rows, by_entity).select("row", F.lit(True).alias("exact"))
-    rest = asked.where("carrier != 'parameters'").join(exact, "row", "left_anti").join(relatives(edges), "entity_id").select("row", *by_key, F.col("near").alias("entity_id"))
-    near = rest.join(rows, by_entity).select("row", F.lit(True).alias("near")).distinct()
+    rest = asked.where("carrier != 'parameters'").join(exact, "row", "left_anti").select("row", *by_entity)
+    around = holders(edges)
+    of_holder = rest.join(around, "entity_id").select("row", *by_key, F.col("near").alias("entity_id")).join(rows, by_entity)
+    of_part = rest.join(rows.join(around, "entity_id").select(*by_key, F.col("near").alias("entity_id")).distinct(), by_entity)
+    near = of_holder.select("row").union(of_part.select("row")).distinct().withColumn("near", F.lit(True))
     out = asked.join(there, "row", "left").join(exact, "row", "left").join(near, "row", "left")
     by_name = F.col("carrier") == "parameters"
     match = F.when(by_name & F.col("there"), "key").when(F.col("exact"), "entity").when(F.col("near"), "container")
