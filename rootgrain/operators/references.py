@@ -28,12 +28,6 @@ def holders(edges: DataFrame) -> DataFrame:
     return graph.closure(edges).select(F.col("inner").alias("entity_id"), F.col("outer").alias("near")).where("entity_id != near").distinct()
 
 
-def relatives(edges: DataFrame) -> DataFrame:
-    """(entity_id, near): every entity that lies within another or holds it, both ways."""
-    inside = graph.closure(edges)
-    return inside.select(F.col("inner").alias("entity_id"), F.col("outer").alias("near")).unionByName(inside.select(F.col("outer").alias("entity_id"), F.col("inner").alias("near"))).where("entity_id != near").distinct()
-
-
 def resolve_readings(checkpoints: DataFrame, series: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(case_id, checkpoint_id, kind, via, service, carriers, declares): the series that each metric means.
 
@@ -55,8 +49,13 @@ def resolve_readings(checkpoints: DataFrame, series: DataFrame, entities: DataFr
 
     asked = kept(_resolved(checkpoints.select("case_id", "checkpoint_id", text("entity_ref"), text("metric")), entities, "entity_ref").withColumn("row", F.monotonically_increasing_id()), "asked")
     exact = asked.join(on_entity, ["case_id", "metric", "entity_id"]).select("row", F.col("n").alias("n1"), F.col("who").alias("who1"))
-    rest = asked.join(exact.select("row"), "row", "left_anti").join(relatives(edges), "entity_id").select("row", "case_id", "metric", F.col("near").alias("entity_id"))
-    near = rest.join(on_entity, ["case_id", "metric", "entity_id"]).groupBy("row").agg(F.sum("n").alias("n2"), F.flatten(F.collect_list("who")).alias("who2"))
+    by = ["case_id", "metric", "entity_id"]
+    rest = asked.where("entity_id IS NOT NULL").join(exact.select("row"), "row", "left_anti").select("row", *by)
+    around, told = holders(edges), ["row", F.col("entity_id").alias("carried_on"), "n", "who"]
+    of_holder = rest.join(around, "entity_id").select("row", "case_id", "metric", F.col("near").alias("entity_id")).join(on_entity, by).select(*told)
+    of_part = on_entity.join(around, "entity_id").select("case_id", "metric", F.col("near").alias("holder"), F.col("entity_id").alias("part"), "n", "who").join(rest.withColumnRenamed("entity_id", "holder"), ["case_id", "metric", "holder"])
+    met = of_holder.union(of_part.select("row", "part", "n", "who")).dropDuplicates(["row", "carried_on"])  # on a cycle both ways lead there
+    near = met.groupBy("row").agg(F.sum("n").alias("n2"), F.flatten(F.collect_list("who")).alias("who2"))
     out = asked.join(exact, "row", "left").join(near, "row", "left").join(of_metric, ["case_id", "metric"], "left").join(of_case, "case_id", "left")
 
     unknown, lost = F.col("all").isNull(), F.col("entity_id").isNull()

@@ -42,3 +42,20 @@ def test_published_rows_within_an_entity_that_holds_many(spark, crowd):
     rows, most = most_rows(references.join_published(cps, metrics, nothing, nothing.selectExpr("case_id", "id AS key"), edges))
     assert sorted((r.kind, r.match, r.reason) for r in rows) == [("dangling", None, "otherEntity")] * (N // 2) + [("joined", "container", None)] * (N // 2)
     assert most < 10 * N
+
+
+def test_readings_within_an_entity_that_holds_many(spark, crowd):
+    services, edges = crowd
+    entities = services.selectExpr("entity_id", "CAST(NULL AS STRING) AS name", "array() AS aliases").union(spark.sql("SELECT 'node:/n', 'n', array()"))
+    cps = services.selectExpr("case_id", "'k' AS checkpoint_id", "'node:/n' AS entity_ref", "'m' AS metric")
+    series = services.selectExpr("case_id", "if(id % 4 = 0, 'service:/1', entity_id) AS service", "'m' AS metric")
+    rows, most = most_rows(references.resolve_readings(cps, series, entities, edges))
+    assert {(r.case_id, r.kind, r.via, r.service) for r in rows} == {(f"c{i}", "resolved", "component", f"service:/{i if i % 4 else 1}") for i in range(N)}
+    assert most < 10 * N
+
+
+def test_readings_on_a_cycle_are_told_once(spark):
+    edges = spark.createDataFrame([("a", "b", "contains"), ("b", "a", "contains")], "src string, dst string, relation string")
+    entities = spark.createDataFrame([("a", "A", []), ("b", "B", [])], "entity_id string, name string, aliases array<string>")
+    told = references.resolve_readings(spark.createDataFrame([("c", "k", "a", "m")], "case_id string, checkpoint_id string, entity_ref string, metric string"), spark.createDataFrame([("c", "b", "m")], "case_id string, service string, metric string"), entities, edges)
+    assert [(r.kind, r.via, r.service) for r in told.collect()] == [("resolved", "component", "b")]
