@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import graph
+from . import graph, lookup
 
 
 def resolved(steps: DataFrame, entities: DataFrame) -> DataFrame:
@@ -49,7 +49,8 @@ def difficulty_floor(cases: DataFrame, steps: DataFrame, entities: DataFrame) ->
     """(case_id, depth, breadth, floor): L4 from three steps on, L3 from two, L2 where root and chain are
     of two kinds of entity or more, L1 else."""
     refs = cases.select("case_id", F.col("root_entity_id").alias("entity_id")).unionByName(steps.select("case_id", F.explode(F.array("from_entity", "to_entity")).alias("entity_id")))
-    kinds = refs.join(entities.select("entity_id", "kind"), "entity_id").groupBy("case_id").agg(F.countDistinct("kind").alias("breadth"))
+    known = entities.select(F.col("entity_id").alias("_key"), "kind")
+    kinds = lookup.looked_up(refs, "entity_id", lambda keys: keys.join(known, "_key", "left")).groupBy("case_id").agg(F.countDistinct("kind").alias("breadth"))
     depth = steps.groupBy("case_id").agg(F.count("*").alias("depth"))
     out = cases.select("case_id").join(depth, "case_id", "left").join(kinds, "case_id", "left").select("case_id", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("breadth", F.lit(0)).alias("breadth"))
     return out.withColumn("floor", F.when(F.col("depth") >= 3, "L4").when(F.col("depth") >= 2, "L3").when(F.col("breadth") >= 2, "L2").otherwise("L1"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from rootgrain.operators import references
+from rootgrain.operators import chains, lookup, references
 
 
 def most_rows(df):
@@ -59,3 +59,31 @@ def test_readings_on_a_cycle_are_told_once(spark):
     entities = spark.createDataFrame([("a", "A", []), ("b", "B", [])], "entity_id string, name string, aliases array<string>")
     told = references.resolve_readings(spark.createDataFrame([("c", "k", "a", "m")], "case_id string, checkpoint_id string, entity_ref string, metric string"), spark.createDataFrame([("c", "b", "m")], "case_id string, service string, metric string"), entities, edges)
     assert [(r.kind, r.via, r.service) for r in told.collect()] == [("resolved", "component", "b")]
+
+
+def largest_share(df):
+    """The largest partition of df, as a share of its rows."""
+    sizes = [n for n in df.rdd.glom().map(len).collect() if n]
+    return max(sizes) / sum(sizes)
+
+
+def test_frequent_keys_stay_where_they_are(spark):
+    rows = spark.range(4000, numPartitions=4).selectExpr("id", "CASE WHEN id % 10 = 0 THEN NULL WHEN id % 10 = 1 THEN CAST(id AS STRING) ELSE 'hot' END AS k")
+    known = spark.createDataFrame([("hot", 1), ("hot", 2), ("1", 3), (None, 4)], "_key string, v int")
+    told = lookup.looked_up(rows, "k", lambda keys: keys.join(known, "_key", "left"))
+    assert told.where("k = 'hot'").groupBy("v").count().orderBy("v").collect() == [(1, 3200), (2, 3200)]
+    assert {tuple(r) for r in told.where("k IS NULL").groupBy("v").count().collect()} == {(None, 400)}
+    assert {tuple(r) for r in told.where("k IS NOT NULL AND k != 'hot'").groupBy("v").count().collect()} == {(3, 1), (None, 399)}
+    assert largest_share(told) < 0.3
+
+
+def test_floors_of_chains_through_one_entity(spark, monkeypatch):
+    """No step of the plan deals out steps by their entity."""
+    seen, entities = [], spark.createDataFrame([("a", "service"), ("b", "node")], "entity_id string, kind string")
+    held = lookup.looked_up
+    monkeypatch.setattr(lookup, "looked_up", lambda *a: seen.append(held(*a)) or seen[-1])
+    cases = spark.range(2000, numPartitions=4).selectExpr("CAST(id AS STRING) AS case_id", "'a' AS root_entity_id")
+    steps = cases.selectExpr("case_id", "1 AS step", "'a' AS from_entity", "if(case_id % 2 = 0, 'b', 'nobody') AS to_entity")
+    told = chains.difficulty_floor(cases, steps, entities).groupBy("depth", "breadth", "floor").count().collect()
+    assert sorted(tuple(r) for r in told) == [(1, 1, "L1", 1000), (1, 2, "L2", 1000)]
+    assert largest_share(seen[0]) < 0.3
