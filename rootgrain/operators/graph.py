@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocab import EDGE_RELATIONS, RELATION_SIDES
 from ..sources.shared import kept
+from . import lookup
 
 
 def entity_id(kind: Column, namespace: Column, name: Column) -> Column:
@@ -26,9 +27,13 @@ def resolve(refs: DataFrame, entities: DataFrame, ref: str = "ref") -> DataFrame
     nothing or more than one entity answers to it."""
     keys = reference_keys(entities)
     ids = keys.where("exact").select(F.col("ref").alias("_id"), F.col("entity_id").alias("_by_id"))
-    names = keys.where("NOT exact").groupBy("ref").agg(F.min("entity_id").alias("_by_name"), F.countDistinct("entity_id").alias("_n")).where("_n = 1").select(F.col("ref").alias("_name"), "_by_name")
-    out = refs.join(ids, F.col(ref) == F.col("_id"), "left").join(names, F.lower(ref) == F.col("_name"), "left")
-    return out.withColumn("entity_id", F.coalesce("_by_id", "_by_name")).drop("_id", "_by_id", "_name", "_by_name")
+    names = keys.where("NOT exact").groupBy("ref").agg(F.min("entity_id").alias("_by_name"), F.countDistinct("entity_id").alias("_owners")).where("_owners = 1").select(F.col("ref").alias("_name"), "_by_name")
+
+    def answer(words: DataFrame) -> DataFrame:
+        met = words.join(ids, F.col("_key") == F.col("_id"), "left").join(names, F.lower("_key") == F.col("_name"), "left")
+        return met.select("_key", "_n", F.coalesce("_by_id", "_by_name").alias("entity_id"))
+
+    return lookup.looked_up(refs, ref, answer)
 
 
 def ambiguous_aliases(entities: DataFrame) -> DataFrame:

@@ -41,8 +41,7 @@ def resolve_readings(checkpoints: DataFrame, series: DataFrame, entities: DataFr
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     declared = series.select("case_id", text("service"), text("metric"))
     counted = declared.groupBy("case_id", "metric", "service").agg(F.count(F.lit(1)).alias("n"))
-    named = _resolved(counted.select("service").distinct(), entities, "service")
-    carried = kept(counted.join(named, "service"), "carried")
+    carried = kept(_resolved(counted, entities, "service"), "carried")
     on_entity = carried.where("entity_id IS NOT NULL").groupBy("case_id", "metric", "entity_id").agg(F.sum("n").alias("n"), F.collect_list(F.struct("service", "n")).alias("who"))
     of_metric = carried.groupBy("case_id", "metric").agg(F.collect_list(F.struct("service", "n")).alias("all"))
     of_case = counted.where("metric <> ''").groupBy("case_id").agg(F.array_sort(F.collect_set("metric")).alias("declares"))

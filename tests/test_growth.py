@@ -2,7 +2,7 @@
 
 import pytest
 
-from rootgrain.operators import chains, lookup, references
+from rootgrain.operators import chains, graph, lookup, references
 
 
 def most_rows(df):
@@ -87,3 +87,11 @@ def test_floors_of_chains_through_one_entity(spark, monkeypatch):
     told = chains.difficulty_floor(cases, steps, entities).groupBy("depth", "breadth", "floor").count().collect()
     assert sorted(tuple(r) for r in told) == [(1, 1, "L1", 1000), (1, 2, "L2", 1000)]
     assert largest_share(seen[0]) < 0.3
+
+
+def test_references_to_one_entity_stay_where_they_are(spark):
+    entities = spark.createDataFrame([("a:/1", "One", ["uno"]), ("a:/2", "two", [])], "entity_id string, name string, aliases array<string>")
+    refs = spark.range(4000, numPartitions=4).selectExpr("id", "CASE WHEN id < 3000 THEN if(id % 2 = 0, 'a:/1', 'UNO') WHEN id < 3990 THEN 'nobody' WHEN id < 3995 THEN NULL ELSE 'a:/2' END AS ref")
+    told = graph.resolve(refs, entities)
+    assert {tuple(r) for r in told.groupBy("entity_id").count().collect()} == {("a:/1", 3000), ("a:/2", 5), (None, 995)}
+    assert largest_share(told) < 0.3
