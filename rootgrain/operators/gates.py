@@ -118,15 +118,19 @@ def overlapping_windows(cases: DataFrame, limit: float, system: str = "system",
     """(a, b, iou), a < b: pairs of one system whose windows overlap by that share of their union.
 
     A window is listed in each stretch of time that it touches, stretches being as long as the longest
-    window of the system, so that only windows that can meet are joined.
+    window of the system, so that only windows that can meet are joined. Two windows are compared in the
+    stretch where the later one begins, so that no pair is found twice. Equal rows count once.
     """
-    w = cases.select(F.col(system).alias("s"), F.col(case).alias("c"), times.iso_ms(F.col("window_start")).alias("lo"), times.iso_ms(F.col("window_end")).alias("hi")).where("lo < hi")
+    w = cases.select(F.col(system).alias("s"), F.col(case).alias("c"), times.iso_ms(F.col("window_start")).alias("lo"), times.iso_ms(F.col("window_end")).alias("hi")).where("lo < hi").distinct()
     longest = w.groupBy("s").agg(F.max(F.col("hi") - F.col("lo")).alias("len"))
-    cut = w.join(longest, "s").select("s", "c", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / F.col("len")), F.floor(F.col("hi") / F.col("len")))).alias("g"))
-    other = cut.select("s", "g", *[F.col(x).alias(x + "2") for x in ("c", "lo", "hi")])
+    first = F.floor(F.col("lo") / F.col("len"))
+    cut = w.join(longest, "s").select("s", "c", "lo", "hi", first.alias("first"), F.explode(F.sequence(first, F.floor(F.col("hi") / F.col("len")))).alias("g"))
+    other = cut.select("s", "g", *[F.col(x).alias(x + "2") for x in ("c", "lo", "hi", "first")])
     both = F.least("hi", "hi2") - F.greatest("lo", "lo2")
-    pairs = cut.join(other, ["s", "g"]).where("c < c2").where(both > 0).select("c", "c2", (both / (F.greatest("hi", "hi2") - F.least("lo", "lo2"))).alias("iou")).distinct()
-    return pairs.where(F.col("iou") >= limit).select(F.col("c").alias("a"), F.col("c2").alias("b"), "iou")
+    iou = both / (F.greatest("hi", "hi2") - F.least("lo", "lo2"))
+    # numbers before texts: most pairs end at the first conditions
+    pairs = cut.join(other, ["s", "g"]).where((F.greatest("first", "first2") == F.col("g")) & (both > 0) & (iou >= limit) & (F.col("c") < F.col("c2")))
+    return pairs.select(F.col("c").alias("a"), F.col("c2").alias("b"), iou.alias("iou"))
 
 
 def fingerprint(*columns: str) -> Column:

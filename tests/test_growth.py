@@ -2,7 +2,7 @@
 
 import pytest
 
-from rootgrain.operators import chains, graph, lookup, references
+from rootgrain.operators import chains, gates, graph, lookup, references
 
 
 def most_rows(df):
@@ -95,3 +95,18 @@ def test_references_to_one_entity_stay_where_they_are(spark):
     told = graph.resolve(refs, entities)
     assert {tuple(r) for r in told.groupBy("entity_id").count().collect()} == {("a:/1", 3000), ("a:/2", 5), (None, 995)}
     assert largest_share(told) < 0.3
+
+
+def test_overlapping_windows_meet_once(spark):
+    """Pairs are found once, not by stretch and then made distinct: nothing is dealt out after the join."""
+    at = "date_format(timestamp_seconds(1700000000 + {}), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
+    lo, hi = "id % 7 * 500", "id % 7 * 500 + 1000 + id % 5 * 900"
+    rows = spark.range(60).selectExpr("'s' || id % 2 AS system", "id AS case_id", f"{at.format(lo)} AS window_start", f"{at.format(hi)} AS window_end", f"{lo} AS lo", f"{hi} AS hi")
+    w = [(r.system, r.case_id, r.lo, r.hi) for r in rows.collect()]
+    want = {(c, c2): (min(b, b2) - max(a, a2)) / (max(b, b2) - min(a, a2)) for s, c, a, b in w for s2, c2, a2, b2 in w if s == s2 and c < c2 and min(b, b2) > max(a, a2)}
+    told = gates.overlapping_windows(rows.union(rows.where("case_id = 3")), 0.4)
+    got = told.collect()
+    assert {(r.a, r.b): round(r.iou, 9) for r in got} == {k: round(v, 9) for k, v in want.items() if v >= 0.4}
+    assert len(got) == sum(v >= 0.4 for v in want.values())
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
