@@ -1,7 +1,11 @@
-"""Text functions as columns."""
+"""Text functions as columns, and what needs more than one row."""
 
-from pyspark.sql import Column
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .vocab import CATEGORY_KEYWORDS, LOG_SEVERITIES, SENSITIVE, STOP_WORDS
 
@@ -71,6 +75,34 @@ def grams(text: Column, n: int) -> Column:
     return F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
 
 
+def gram_cosines(rows: DataFrame, keys: list[str], a: str, b: str, n: int, name: str) -> DataFrame:
+    """(keys, name): the cosine of the n-gram counts of two texts, without case, rounded to 6 places.
+
+    Rows of one key count as one, nulls being equal; keys without any n-gram have no row, those without one on one
+    side have 0. A key of one row is counted where the row is, so that n-grams are rows of a plan only for the others.
+    """
+
+    @F.pandas_udf("struct<xx:long,yy:long,xy:long>")
+    def products(lefts: pd.Series, rights: pd.Series) -> pd.DataFrame:
+        cut = lambda t: Counter(t[i : i + n] for i in range(len(t or "") - n + 1))
+        both = ((cut(x), cut(y)) for x, y in zip(lefts, rights, strict=True))
+        squares = lambda c: sum(k * k for k in c.values())
+        return pd.DataFrame([(squares(x), squares(y), sum(k * y[g] for g, k in x.items() if g in y)) for x, y in both], columns=["xx", "yy", "xy"], dtype="int64")
+
+    # rows of one key stand together, where the order within the first key is by all of them
+    by = Window.partitionBy(keys[0]).orderBy(*keys)
+    same = lambda of: F.coalesce(of(F.struct(*keys)).over(by) == F.struct(*keys), F.lit(False))
+    told = rows.select(*keys, F.lower(a).alias("_a"), F.lower(b).alias("_b"))
+    told = told.withColumn("_several", same(F.lag) | same(F.lead))
+    single = told.where("NOT _several").withColumn("p", products("_a", "_b")).select(*keys, "p.*")
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("x"), F.lit(0).alias("y"), F.col("_a").alias("s")), F.struct(F.lit(0).alias("x"), F.lit(1).alias("y"), F.col("_b").alias("s")))).alias("side")
+    cut = told.where("_several").select(*keys, sides).select(*keys, "side.x", "side.y", F.explode(grams(F.col("side.s"), n)).alias("g"))
+    counts = cut.groupBy(*keys, "g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    several = counts.groupBy(*keys).agg(*[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in (("x", "x"), ("y", "y"), ("x", "y"))])
+    cosine = F.when((F.col("xx") == 0) | (F.col("yy") == 0), 0.0).otherwise(F.round(F.col("xy") / (F.sqrt("xx") * F.sqrt("yy")), 6))
+    return single.where("xx + yy > 0").unionByName(several).select(*keys, cosine.alias(name))
+
+
 def sensitive(text: Column) -> Column:
     """Whether a pattern of personal data or secrets occurs."""
     out = F.lit(False)

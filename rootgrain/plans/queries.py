@@ -406,11 +406,7 @@ def token_dice(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT conv_id, turn, g, count(*) FILTER (s = 'a') AS x, count(*) FILTER (s = 'b') AS y FROM g GROUP BY ALL)
 SELECT conv_id, turn, CASE WHEN sum(x * x) = 0 OR sum(y * y) = 0 THEN 0.0 ELSE round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) END AS cosine FROM c GROUP BY ALL""")
 def ngram_cosine(spark: SparkSession, d: str) -> DataFrame:
-    sides = F.explode(F.array(F.struct(F.lit(1).alias("a"), F.lower("text").alias("s")), F.struct(F.lit(0).alias("a"), F.lower("answer").alias("s")))).alias("side")
-    cut = _turns(spark, d).select("conv_id", "turn", sides).select("conv_id", "turn", F.col("side.a").alias("a"), F.explode(text.grams(F.col("side.s"), 3)).alias("g"))
-    c = cut.groupBy("conv_id", "turn", "g").agg(F.sum("a").alias("x"), F.sum(1 - F.col("a")).alias("y"))
-    xx, yy, xy = (F.sum(F.col(p) * F.col(q)) for p, q in (("x", "x"), ("y", "y"), ("x", "y")))
-    return c.groupBy("conv_id", "turn").agg(F.when((xx == 0) | (yy == 0), 0.0).otherwise(F.round(xy / (F.sqrt(xx) * F.sqrt(yy)), 6)).alias("cosine"))
+    return text.gram_cosines(_turns(spark, d), ["conv_id", "turn"], "text", "answer", 3, "cosine")
 
 
 def _category_sql() -> str:

@@ -1,7 +1,11 @@
 """Work that must not grow faster than the input: rows that the steps of a plan make."""
 
+import math
+from collections import Counter
+
 import pytest
 
+from rootgrain.functions import text
 from rootgrain.operators import chains, gates, graph, lookup, references
 
 
@@ -110,3 +114,25 @@ def test_overlapping_windows_meet_once(spark):
     assert len(got) == sum(v >= 0.4 for v in want.values())
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]
+
+
+def test_grams_of_a_text_are_no_rows(spark):
+    """N-grams of keys of one row are counted within the row; rows of one key, null included, still count as one."""
+    body = "concat('Abcde', repeat(concat(id % 7, 'xY\U0001d53b'), 200))"
+    rows = spark.range(50).selectExpr("id AS conv_id", "1 AS turn", f"{body} AS text", f"substr({body}, 1, CASE WHEN id % 2 = 0 THEN 400 ELSE 2 END) AS answer")
+    several = spark.createDataFrame([(None, None, "aaab", "zz"), (None, None, "baaa", "AAAB"), (7, 1, "abcd", "abce"), (60, None, "a", "b"), (61, 1, "abc", None)], "conv_id long, turn int, text string, answer string")
+
+    def cosine(pairs):
+        x, y = (Counter(t[i : i + 3] for p in pairs for t in [(p[k] or "").lower()] for i in range(len(t) - 2)) for k in (0, 1))
+        size = math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values()))
+        return round(sum(v * y[g] for g, v in x.items()) / size, 6) if size else 0.0
+
+    every = rows.union(several)
+    groups = {}
+    for r in every.collect():
+        groups.setdefault((r.conv_id, r.turn), []).append((r.text, r.answer))
+    del groups[60, None]  # no 3-gram at all
+    told, most = most_rows(text.gram_cosines(every, ["conv_id", "turn"], "text", "answer", 3, "cosine"))
+    assert {(r.conv_id, r.turn): r.cosine for r in told} == {k: cosine(v) for k, v in groups.items()}
+    assert len(told) == len(groups)
+    assert most < 4000  # the texts have 40,000
