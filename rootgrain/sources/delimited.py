@@ -6,12 +6,17 @@ quotes that open within a cell, carriage returns as line ends, and errors by lin
 """
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-ROW = "array<struct<line:int,cells:array<string>,error:string>>"
+ROW = [T.StructField("line", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())]
+#: Rows, and about how many characters of them, that a Python worker hands on together.
+ROWS, CHARACTERS = 10_000, 2_000_000
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -24,28 +29,42 @@ def _pieces(delimiter: str) -> re.Pattern:
     return re.compile(rf'"(?P<quoted>(?:[^"]|"")*)(?P<closed>"?)|(?P<next>{d})|(?P<end>\r\n|\r|\n)|(?P<plain>[^"\r\n{d}]+)')
 
 
-def _rows(text: str, pattern: re.Pattern) -> list[tuple[int, list[str] | None, str | None]]:
-    out, cells, cell, line, start = [], [], "", 1, 1
-
-    def close() -> None:
-        if any(c.strip() for c in (*cells, cell)):
-            out.append((start, [*cells, cell], None))
-
+def _rows(text: str, pattern: re.Pattern) -> Iterator[tuple[int, list[str] | None, str | None]]:
+    cells, cell, line, start = [], "", 1, 1
+    blank = lambda: not any(c.strip() for c in (*cells, cell))
     for piece in pattern.finditer(text):
         kind = piece.lastgroup
-        if kind in ("plain", "next"):
-            cell, cells = ("", [*cells, cell]) if kind == "next" else (cell + piece[0], cells)
+        if kind == "plain":
+            cell += piece[0]
+        elif kind == "next":
+            cells.append(cell)
+            cell = ""
         elif kind == "end":
-            close()
+            if not blank():
+                yield start, [*cells, cell], None
             line += 1
             cells, cell, start = [], "", line
         elif piece["closed"]:
             breaks = re.sub("[\r\n]", "\n", piece["quoted"].replace('""', '"'))
             cell, line = cell + breaks, line + breaks.count("\n")
         else:
-            return [*out, (start, None, "unterminated quoted field")]
-    close()
-    return out
+            yield start, None, "unterminated quoted field"
+            return
+    if not blank():
+        yield start, [*cells, cell], None
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """rows (path, line, cells, error) in lists of at most ROWS, and of CHARACTERS or little more."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(map(len, row[2] or ())) + len(str(row[0]))
+        if len(held) >= ROWS or size >= CHARACTERS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def rows(files: DataFrame, delimiter: str | Column = ",") -> DataFrame:
@@ -53,16 +72,30 @@ def rows(files: DataFrame, delimiter: str | Column = ",") -> DataFrame:
 
     A quote may open anywhere in a cell; two of them within quotes are one; a line end within quotes
     is a line feed. Blank rows are left out. Text after an unclosed quote is lost and told as one error.
-    Null contents have no rows. The delimiter may be a column: each file's own.
+    Null contents have no rows. The delimiter may be a column: each file's own. Rows go on while a file is
+    read, so that a worker holds one file's text and a few rows, never the rows of many files.
     """
+    kind = T.StructType([files.schema["path"], *ROW])
+    types = [to_arrow_type(files.schema["path"].dataType), pa.int32(), pa.list_(pa.string()), pa.string()]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns: dict[str, re.Pattern] = {}
+
+        def read() -> Iterator[tuple]:
+            for batch in batches:
+                for path, text, d in zip(*batch.columns, strict=True):
+                    own = d.as_py()
+                    if own not in patterns:
+                        patterns[own] = _pieces(own)
+                    name = path.as_py()
+                    for row in _rows(text.as_py() or "", patterns[own]):
+                        yield name, *row
 
-    @F.pandas_udf(ROW)
-    def parse(texts: pd.Series, delimiters: pd.Series) -> pd.Series:
-        patterns = {d: _pieces(d) for d in delimiters.unique()}
-        return pd.Series([[{"line": n, "cells": c, "error": e} for n, c, e in _rows(t or "", patterns[d])] for t, d in zip(texts, delimiters, strict=True)])
+        for held in _batches(read()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=kind.names)
 
     own = F.lit(delimiter) if isinstance(delimiter, str) else delimiter
-    return files.select("path", F.explode(parse("content", own)).alias("r")).select("path", "r.line", "r.cells", "r.error")
+    return files.select("path", "content", own.alias("delimiter")).mapInArrow(parse, kind)
 
 
 def records(rows: DataFrame) -> DataFrame:

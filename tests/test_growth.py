@@ -7,6 +7,7 @@ import pytest
 
 from rootgrain.functions import text
 from rootgrain.operators import chains, gates, graph, lookup, references
+from rootgrain.sources import delimited, shared
 
 
 def most_rows(df):
@@ -136,3 +137,20 @@ def test_grams_of_a_text_are_no_rows(spark):
     assert {(r.conv_id, r.turn): r.cosine for r in told} == {k: cosine(v) for k, v in groups.items()}
     assert len(told) == len(groups)
     assert most < 4000  # the texts have 40,000
+
+
+def test_rows_go_on_while_a_file_is_read(spark):
+    """Neither the rows of a file nor those of many files are held together, and batches of kept tables are small."""
+    told = delimited._rows("a,b\n" * 5 + '"', delimited._pieces(","))
+    assert next(told) == (1, ["a", "b"], None)
+    assert [r[0] for r in told] == [2, 3, 4, 5, 6]
+    rows = (("p", i, ["x" * (1000 if i < 5000 else 1)], None) for i in range(40_000))
+    sizes = [(len(b), sum(len(r[2][0]) + 1 for r in b)) for b in delimited._batches(rows)]
+    assert sum(n for n, _ in sizes) == 40_000
+    assert max(n for n, _ in sizes) == delimited.ROWS
+    assert max(c for _, c in sizes) < delimited.CHARACTERS + 1002
+    files = spark.createDataFrame([("p", "k,v\n1,2\n\n3,\"4\n5\"\n"), ("q", None), (None, "z")], "path string, content string")
+    got = shared.kept(delimited.rows(files), "cells").collect()
+    assert sorted(((r.path or "", r.line, r.cells, r.error) for r in got), key=lambda r: r[:2]) == [("", 1, ["z"], None), ("p", 1, ["k", "v"], None), ("p", 2, ["1", "2"], None), ("p", 4, ["3", "4\n5"], None)]
+    with shared.small_batches(spark):
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
