@@ -84,9 +84,8 @@ def otlp_traces(spark: SparkSession, d: str) -> DataFrame:
     span = F.struct(t.cast("string").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent").alias("parentSpanId"), F.lit("line").alias("name"), start.cast("string").alias("startTimeUnixNano"), end.cast("string").alias("endTimeUnixNano"), F.struct(F.when(t % 7 == 0, "9").otherwise("STATUS_CODE_OK").alias("code")).alias("status"))
     scope = F.struct(F.array(F.struct(F.collect_list(span).alias("spans"))).alias("scopeSpans"))
     documents = spans(spark, d).groupBy((t % 1000).cast("string").alias("path")).agg(F.to_json(F.struct(F.array(scope).alias("resourceSpans"))).alias("content"))
-    good, bad = otlp.traces(documents, service="shop")
-    rows = good.select(F.lit("ok").alias("outcome"), F.col("duration_ms").alias("ms")).unionByName(bad.select(F.col("reason").alias("outcome"), F.lit(0).cast("long").alias("ms")))
-    return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("ms").alias("ms"))
+    told = otlp.judged_traces(documents, service="shop")
+    return told.groupBy(F.coalesce("reason", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"), F.sum(F.coalesce("signal.duration_ms", F.lit(0))).alias("ms"))
 
 
 @query("SELECT 'svc-' || (user_id % 10) AS service, event_type AS name, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE event_id % 8 <> 0 GROUP BY ALL")

@@ -57,6 +57,12 @@ def _split(rows: DataFrame, reason: Column, fields: dict[str, Column]) -> tuple[
     return told.where("_reason IS NULL").select("path", "service", *[c.alias(k) for k, c in fields.items()]), told.where("_reason IS NOT NULL").select("path", F.col("_reason").alias("reason"), F.to_json("x").alias("record"))
 
 
+def _told(rows: DataFrame, reason: Column, fields: dict[str, Column]) -> DataFrame:
+    well = F.col("_reason").isNull()
+    signal = F.struct("service", *[c.alias(k) for k, c in fields.items()])
+    return rows.withColumn("_reason", reason).select("path", F.col("_reason").alias("reason"), F.when(well, signal).alias("signal"), F.when(~well, F.to_json("x")).alias("record"))
+
+
 NO_SERVICE = "missing service name"
 
 
@@ -86,8 +92,9 @@ def logs(documents: DataFrame, service: str | None = None) -> tuple[DataFrame, D
     return _split(rows, bad, {"ts_ms": _ms(at), "severity": level, "body": F.coalesce(value_text(F.col("x.body")), F.lit("")), "attributes": attributes(F.col("x.attributes"))})
 
 
-def traces(documents: DataFrame, service: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(signals, quarantine): spans. The duration is the difference of both ends in whole milliseconds;
+def judged_traces(documents: DataFrame, service: str | None = None) -> DataFrame:
+    """(path, reason, signal, record): all spans in one reading of the documents, either with a signal or, where
+    reason is not null, with the span as it was. The duration is the difference of both ends in whole milliseconds;
     an end before the start is quarantined even by a nanosecond."""
     rows = _items(documents, TRACES, "resourceSpans", "scopeSpans", "spans", service)
     start, end, code = _nanos(F.col("x.startTimeUnixNano")), _nanos(F.col("x.endTimeUnixNano")), F.col("x.status.code")
@@ -99,4 +106,10 @@ def traces(documents: DataFrame, service: str | None = None) -> tuple[DataFrame,
         .when(code.isNotNull() & status.isNull(), F.concat(F.lit("invalid span status code '"), code, F.lit("'")))
     )
     fields = {"trace_id": F.col("x.traceId"), "span_id": F.col("x.spanId"), "parent": F.when(~empty("parentSpanId"), F.col("x.parentSpanId")), "name": F.col("x.name"), "ts_ms": _ms(start), "duration_ms": _ms(end) - _ms(start), "status": status}
-    return _split(rows, bad, fields)
+    return _told(rows, bad, fields)
+
+
+def traces(documents: DataFrame, service: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(signals, quarantine) of judged_traces(); who needs both reads the documents once there, twice here."""
+    told = judged_traces(documents, service)
+    return told.where("reason IS NULL").select("path", "signal.*"), told.where("reason IS NOT NULL").select("path", "reason", "record")

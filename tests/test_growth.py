@@ -1,5 +1,6 @@
 """Work that must not grow faster than the input: rows that the steps of a plan make."""
 
+import json
 import math
 from collections import Counter
 
@@ -7,7 +8,7 @@ import pytest
 
 from rootgrain.functions import text
 from rootgrain.operators import chains, gates, graph, lookup, references
-from rootgrain.sources import delimited, shared
+from rootgrain.sources import delimited, otlp, shared
 
 
 def most_rows(df):
@@ -154,3 +155,13 @@ def test_rows_go_on_while_a_file_is_read(spark):
     assert sorted(((r.path or "", r.line, r.cells, r.error) for r in got), key=lambda r: r[:2]) == [("", 1, ["z"], None), ("p", 1, ["k", "v"], None), ("p", 2, ["1", "2"], None), ("p", 4, ["3", "4\n5"], None)]
     with shared.small_batches(spark):
         assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+
+
+def test_spans_are_judged_in_one_reading(spark):
+    """Good and refused spans come from one parse of their document."""
+    span = lambda i, end: {"traceId": "t", "spanId": str(i), "name": "n", "startTimeUnixNano": "2000000", "endTimeUnixNano": end}
+    text = json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [span(1, "5999999"), span(2, "1"), span(3, "x")]}]}]})
+    told = otlp.judged_traces(spark.createDataFrame([("p", text)], "path string, content string"), service="s")
+    rows = {json.loads(r.record)["spanId"] if r.record else r.signal.span_id: (r.reason, r.signal and (r.signal.service, r.signal.ts_ms, r.signal.duration_ms)) for r in told.collect()}
+    assert rows == {"1": (None, ("s", 2, 3)), "2": ("span has a negative duration", None), "3": ("span has an invalid start/end timestamp", None)}
+    assert told.groupBy("reason").count()._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
