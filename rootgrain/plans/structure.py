@@ -36,15 +36,17 @@ def openrca(files: DataFrame) -> DataFrame:
     """files (path, content) -> (check, passed), fourteen of them. Of several files of a kind the first
     path's header is checked. Files and their rows are counted in one aggregate; cells of tasks meet values of
     answers by case and text."""
-    known = files.withColumn("kind", _kind(F.col("path"))).where("kind IS NOT NULL")
+    # read three times below, put together once; of telemetry only the header is looked at
+    kind = _kind(F.col("path"))
+    content = F.when(kind.isin(*OPENRCA_TASKS), F.col("content"))
+    known = kept(files.select("path", kind.alias("kind"), F.substring_index("content", "\n", 1).alias("head"), content.alias("content")).where("kind IS NOT NULL"), "exported")
     tables = known.where(F.col("kind").isin(*OPENRCA_TASKS))
     kinds = tables.select("path", "kind")
     # read three times below, parsed once
     records = kept(delimited.records(delimited.rows(tables)).where("error IS NULL").join(kinds, "path").select("path", "line", "kind", "record"), "structure")
     points = answers.scoring_points(F.col("record")["scoring_points"])
     empty = (F.col("kind") == "groundtruth") & (F.size(points["components"]) + F.size(points["reasons"]) + F.size(points["times"]) == 0)
-    head = F.substring_index("content", "\n", 1)
-    facts = known.select("kind", "path", head.alias("head"), F.lit(0).alias("n_rows"), F.lit(0).alias("n_empty"), ((F.col("kind") == "query") & F.col("content").rlike(ANSWER)).alias("told"))
+    facts = known.select("kind", "path", "head", F.lit(0).alias("n_rows"), F.lit(0).alias("n_empty"), ((F.col("kind") == "query") & F.col("content").rlike(ANSWER)).alias("told"))
     facts = facts.unionByName(records.select("kind", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("head"), F.lit(1).alias("n_rows"), empty.cast("int").alias("n_empty"), F.lit(False).alias("told")))
 
     of = lambda kind, column: F.when(F.col("kind") == kind, F.col(column))

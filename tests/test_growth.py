@@ -8,6 +8,7 @@ import pytest
 
 from rootgrain.functions import text
 from rootgrain.operators import chains, gates, graph, lookup, references
+from rootgrain.plans import structure
 from rootgrain.sources import delimited, otlp, shared
 
 
@@ -165,3 +166,20 @@ def test_spans_are_judged_in_one_reading(spark):
     rows = {json.loads(r.record)["spanId"] if r.record else r.signal.span_id: (r.reason, r.signal and (r.signal.service, r.signal.ts_ms, r.signal.duration_ms)) for r in told.collect()}
     assert rows == {"1": (None, ("s", 2, 3)), "2": ("span has a negative duration", None), "3": ("span has an invalid start/end timestamp", None)}
     assert told.groupBy("reason").count()._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_exported_files_are_put_together_once(spark):
+    """However often they are looked at; of telemetry only the header goes on."""
+    made = spark.sparkContext.accumulator(0)
+
+    def build(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    head = "timestamp,cmdb_id,kpi_name,value"
+    texts = [("s/query.csv", "instruction_id,query,occurrence_window\nc,q,w\n"), ("s/record.csv", "instruction_id,prediction\nc,{}\n"), ("s/d/telemetry/metric/c.csv", head + "\nroot cause reason\n"), ("s/else.txt", "x")]
+    files = spark.createDataFrame(texts, "path string, content string").mapInArrow(build, "path string, content string")
+    told = dict(structure.openrca(files).collect())
+    assert {k for k, v in told.items() if not v} == {"groundtruth-csv", "groundtruth-header", "scoring-points-present", "row-alignment"}
+    assert made.value == len(texts)
