@@ -33,8 +33,9 @@ UNION ALL SELECT 'case-' || k, 'broken', NULL, NULL, 'syntax', NULL FROM c""")
 def derived_readings(spark: SparkSession, d: str) -> DataFrame:
     """Orders as cases: quantities by return flag on three nodes, odd lines after a fault and even ones before."""
     flag, odd = F.lower("l_returnflag"), F.col("l_linenumber") % 2 == 1
-    lines = table(spark, d, "lineitem").select(F.concat(F.lit("case-"), F.col("l_orderkey").cast("string")).alias("case_id"), F.concat(F.lit("node-"), (F.col("l_suppkey") % 3).cast("string")).alias("entity"), F.concat(F.lit("qty_"), flag).alias("metric"), F.when(flag == "a", "ms").when(flag == "n", "s").otherwise("count").alias("unit"), odd.alias("odd"), "l_quantity")
-    series = lines.groupBy("case_id", "entity", "metric", "unit").agg(F.sum(F.when(~F.col("odd"), F.col("l_quantity"))).alias("baseline"), F.sum(F.when(F.col("odd"), F.col("l_quantity"))).alias("post"))
+    dealt = table(spark, d, "lineitem").select(F.concat(F.lit("case-"), F.col("l_orderkey").cast("string")).alias("case_id"), (F.col("l_suppkey") % 3).alias("node"), flag.alias("flag"), odd.alias("odd"), "l_quantity").repartition("case_id")
+    sums = dealt.groupBy("case_id", "node", "flag").agg(F.sum(F.when(~F.col("odd"), F.col("l_quantity"))).alias("baseline"), F.sum(F.when(F.col("odd"), F.col("l_quantity"))).alias("post"))
+    series = sums.select("case_id", F.concat(F.lit("node-"), F.col("node").cast("string")).alias("entity"), F.concat(F.lit("qty_"), F.col("flag")).alias("metric"), F.when(F.col("flag") == "a", "ms").when(F.col("flag") == "n", "s").otherwise("count").alias("unit"), "baseline", "post")
     told = derived.hold(derived.evaluate(series, _EXPRESSIONS), {"ratio": (">=", 1, "1")})
     return told.select("case_id", "name", "value", "unit", F.col("problem.kind").alias("problem"), "holds")
 

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from rootgrain.functions import text
-from rootgrain.operators import chains, gates, graph, lookup, references
+from rootgrain.operators import chains, derived, gates, graph, lookup, references
 from rootgrain.plans import structure
 from rootgrain.sources import delimited, otlp, shared
 
@@ -183,3 +183,14 @@ def test_exported_files_are_put_together_once(spark):
     told = dict(structure.openrca(files).collect())
     assert {k for k, v in told.items() if not v} == {"groundtruth-csv", "groundtruth-header", "scoring-points-present", "row-alignment"}
     assert made.value == len(texts)
+
+
+def test_derived_readings_are_dealt_out_once_and_not_interpreted(spark):
+    """Series that are dealt out by case stay there, and no expression is a tree of higher-order functions."""
+    series = spark.range(150).selectExpr("'c' || id % 50 AS case_id", "'e' || id % 3 AS entity", "'m' || id % 2 AS metric", "if(id % 2 = 0, 's', 'ms') AS unit", "1.0D AS baseline", "CAST(id % 50 AS DOUBLE) AS post")
+    told = derived.evaluate(series.repartition("case_id"), {"sum": "m0@e0.post + 2 * m0@e0.post", "other": "m1@e1.post / m1@e1.baseline"})
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "lambda" not in plan
+    rows = {(r.case_id, r.name): (r.value, r.unit, r.problem and r.problem.kind) for r in told.collect()}
+    assert len(rows) == 100 and rows["c3", "other"] == (3.0, "1", None) and rows["c3", "sum"] == (None, None, "unknownSeries")
+    assert rows["c4", "other"][2] == "unknownSeries" and rows["c4", "sum"] == (12.0, "s", None)
