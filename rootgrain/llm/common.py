@@ -1,5 +1,6 @@
 """Helpers that the operators share: shared-folder tables, word splitting, word hashes."""
 
+import gc
 import re
 import tempfile
 import uuid
@@ -76,6 +77,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         for path in _OPEN.pop():
             removed(spark, path)
+        gc.collect()  # plans that only cycles of Python objects hold
         spark._jvm.System.gc()
 
 

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,10 @@ HOT_BITS = 24
 COUNTED = int(0.4 * 2**32)
 #: Bytes of counted shingles, and of prefix entries, for each group of a shuffle.
 GROUP_BYTES = 8_000_000
+#: Prefix entries that a task packs together.
+ENTRIES = 300_000
+#: Bits of a set's hash in the lists.
+NAME_BITS = 40
 #: Rows whose shingles a task holds at once.
 ROWS = 1000
 #: Pairs of list entries that a task looks at together.
@@ -159,6 +163,40 @@ def _hot(sets: DataFrame, total: int) -> np.ndarray:
     return np.packbits(hot.ravel())
 
 
+def _planes(*columns: np.ndarray) -> bytes:
+    """Columns of numbers by byte, all first ones, then all second ones, compressed: high bytes are mostly alike."""
+    return pa.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), "zstd", asbytes=True)
+
+
+def _unplaned(blob: bytes, n: int, kinds: list[tuple[str, int]]) -> list[np.ndarray]:
+    """The n numbers of each column, whose (type, bytes) are given."""
+    flat, out, at = np.frombuffer(pa.decompress(blob, n * sum(k for _, k in kinds), "zstd", asbytes=True), np.uint8), [], 0
+    for kind, k in kinds:
+        wide = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+        wide[:, :k] = flat[at : at + n * k].reshape(k, n).T
+        out.append(wide.view(kind).ravel())
+        at += n * k
+    return out
+
+
+def _packed_entries(tokens: np.ndarray, names: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Entries of a group in order of their shingles, these as differences: about 10 bytes an entry, over
+    however many groups a set's entries are dealt."""
+    name = np.ascontiguousarray(names.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : NAME_BITS // 8]
+    return _planes(np.diff(tokens, prepend=np.uint32(0)).astype("<u4"), name, place.astype("<u2"), sizes.astype("<u4"))
+
+
+def _entries(blob: bytes, n: int) -> list[np.ndarray]:
+    """(tokens, names, place, sizes) of _packed_entries()."""
+    steps, names, place, sizes = _unplaned(blob, n, [("<u4", 4), ("<i8", NAME_BITS // 8), ("<u2", 2), ("<u4", 4)])
+    return [np.cumsum(steps, dtype=np.uint32), names, place, sizes]
+
+
+def _name() -> Column:
+    """What a set is called in the lists."""
+    return F.xxhash64("set").bitwiseAND(F.lit((1 << NAME_BITS) - 1))
+
+
 def _possible(i: np.ndarray, j: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (i, j) of entries of one list that sizes and places do not rule out."""
     most = np.minimum(size[i] - place[i], size[j] - place[j])
@@ -201,15 +239,29 @@ def _block_pairs(at: np.ndarray, token: np.ndarray, size: np.ndarray, place: np.
 
 def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFrame:
     """Candidates from the shingles' lists: (kind 0, a, b) are pairs of sets to compare, (kind 1, a, b)
-    says that set b stands in a long list whose pivot is set a. Sets are given by a 64-bit hash of
+    says that set b stands in a long list whose pivot is set a. Sets are given by a 40-bit hash of
     their name; where two have one hash, both are compared."""
     groups = max(1, math.ceil(total * (100 - percent) / 100 * 18 / GROUP_BYTES))
     sent = sets.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.unpackbits(sent.value).view(bool)
+        names, sizes, tokens, place = [], [], [], []
+
+        def packed() -> pa.RecordBatch:
+            many = [len(x) for x in tokens]
+            own, at, name, size = np.concatenate(tokens), np.concatenate(place), np.repeat(np.array(names, np.int64), many), np.repeat(np.array(sizes, np.uint32), many)
+            group = (own * np.uint32(0x9E3779B1) >> np.uint32(8)) % groups
+            order = np.lexsort((own, group))
+            cut = np.searchsorted(group[order], np.arange(groups + 1))
+            held = np.flatnonzero(np.diff(cut))
+            parts = [order[cut[g] : cut[g + 1]] for g in held]
+            for x in (names, sizes, tokens, place):
+                x.clear()
+            return pa.RecordBatch.from_pydict({"group": pa.array(held, pa.int32()), "n": pa.array([len(x) for x in parts], pa.int32()), "entries": pa.array([_packed_entries(own[x], name[x], at[x], size[x]) for x in parts], pa.binary())})
+
+        waiting = 0
         for batch in batches:
-            names, sizes, tokens, who, place = [], [], [], [], []
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 high = _high(blob)
                 n = len(high)
@@ -217,25 +269,19 @@ def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFr
                 end = late[high >> (32 - HOT_BITS)] & (high < COUNTED)
                 own = np.concatenate([high[~end], high[end]])[:first] if end.any() else high[:first]
                 tokens.append(own)
-                who.append(np.full(len(own), len(names), np.uint32))
                 place.append(np.minimum(np.arange(len(own)), FAR).astype(np.uint16))
                 names.append(name)
                 sizes.append(n)
-            if not names:
-                continue
-            tokens, who, place, sizes, names = np.concatenate(tokens), np.concatenate(who), np.concatenate(place), np.array(sizes, np.uint32), np.array(names, np.int64)
-            group = (tokens * np.uint32(0x9E3779B1) >> np.uint32(8)) % groups
-            order = np.argsort(group, kind="stable")
-            cut = np.searchsorted(group[order], np.arange(groups + 1))
-            rows = {k: [] for k in ("group", "tokens", "names", "place", "sizes")}
-            for g in np.flatnonzero(np.diff(cut)):
-                at = order[cut[g] : cut[g + 1]]
-                for k, v in (("group", int(g)), ("tokens", tokens[at].tobytes()), ("names", names[who[at]].tobytes()), ("place", place[at].tobytes()), ("sizes", sizes[who[at]].tobytes())):
-                    rows[k].append(v)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "group" else pa.binary()) for k, v in rows.items()})
+                waiting += len(own)
+                if waiting >= ENTRIES:
+                    waiting = 0
+                    yield packed()
+        if names:
+            yield packed()
 
     def pairs(table: pa.Table) -> pa.Table:
-        token, name, place, size = (np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in (("tokens", np.uint32), ("names", np.int64), ("place", np.uint16), ("sizes", np.uint32)))
+        parts = [_entries(b, n) for b, n in zip(table.column("entries").to_pylist(), table.column("n").to_pylist(), strict=True)]
+        token, name, place, size = (np.concatenate(c) for c in zip(*parts, strict=True))
         place = np.where(place == FAR, 0, place)
         names, who = np.unique(name, return_inverse=True)
         order = np.lexsort((who, place, size, token))
@@ -265,7 +311,7 @@ def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFr
         both = np.concatenate(out)
         return pa.table({"kind": pa.array(kinds), "a": pa.array(names[both[:, 0]]), "b": pa.array(names[both[:, 1]])})
 
-    dealt = sets.select(F.xxhash64("set"), "tokens").mapInArrow(deal, "group int, tokens binary, names binary, place binary, sizes binary")
+    dealt = sets.select(_name(), "tokens").mapInArrow(deal, "group int, n int, entries binary")
     return dealt.groupBy("group").applyInArrow(pairs, "kind int, a long, b long")
 
 
@@ -277,7 +323,8 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         # a link's sets differ in at most (1 - t) / (1 + t) of their sizes' sum
         return pd.Series([_difference(x, y) * (100 + percent) <= (100 - percent) * (p + q) for x, y, p, q in zip(a, b, m, n, strict=True)], dtype=bool)
 
-    own = sets.select(F.xxhash64("set"), "set", "n", "bitmap")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("s"))
+    own = sets.where(maybe_in(sets, _name(), involved, F.col("s"))).select(_name(), "set", "n", "bitmap")
     joined = pairs.join(own.toDF("a", "sa", "na", "ba"), "a").join(own.toDF("b", "sb", "nb", "bb"), "b")
     return joined.where(possible("ba", "bb", "na", "nb")).select(F.col("sa").alias("a"), F.col("sb").alias("b"))
 
@@ -371,7 +418,7 @@ def _components(rows: DataFrame, percent: int) -> DataFrame:
     families = found.where("kind = 1").select("a", "b").distinct()
     if families.isEmpty():
         return labels
-    families = stored(families.join(sets.select(F.xxhash64("set").alias("b"), "set"), "b").select("a", F.col("set").alias("b")), "families")
+    families = stored(families.join(sets.select(_name().alias("b"), "set"), "b").select("a", F.col("set").alias("b")), "families")
     done = stored(spark.createDataFrame([], "a binary, b binary"), "done")
     for one_block, most in ROUNDS:
         with scratch(spark):

@@ -198,3 +198,18 @@ def test_block_pairs_are_the_possible_pairs_of_each_list():
     i, j = np.triu_indices(n, 1)
     want = ngramjoin._possible(*(x[token[i] == token[j]] for x in (i, j)), size, place, 75)
     assert sorted(got) == sorted(zip(*(x.tolist() for x in want), strict=True)) and len(got) > 100
+
+
+def test_list_entries_cost_the_same_over_few_and_many_groups():
+    """Each set with one entry in a group, as where there are many groups, costs no more than with many."""
+    rng = np.random.default_rng(4)
+    size = {}
+    for sets, each in ((60, 100), (6000, 1)):
+        names, sizes = (np.repeat(x, each) for x in (rng.integers(0, 2**40, sets), rng.integers(300, 900, sets).astype(np.uint32)))
+        tokens, place = np.sort(rng.integers(0, 2**30, 6000).astype(np.uint32)), rng.integers(0, 200, 6000).astype(np.uint16)
+        order = rng.permutation(6000)
+        given = tokens, names[order], place, sizes[order]
+        blob = ngramjoin._packed_entries(*given)
+        assert all((a == b).all() for a, b in zip(given, ngramjoin._entries(blob, 6000), strict=True))
+        size[sets] = len(blob) / 6000
+    assert size[6000] < 11 and size[6000] < 1.5 * size[60]
