@@ -36,14 +36,23 @@ def _place() -> Column:
     return F.struct("d", "i")
 
 
-def line_sequence(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _trimmed(s: Column) -> Column:
+    """s without white space at its ends. Few lines have any: btrim, which goes through a line's characters
+    one by one, is only for those."""
+    some = reduce(Column.__or__, [f(F.lit(c)) for c in ENDS for f in (s.startswith, s.endswith)])
+    return F.when(some, F.btrim(s, F.lit(ENDS))).otherwise(s)
+
+
+def line_sequence(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, i, line, h1, h2, w): the i-th line with a word of document d (key and text hash), its number
-    among all lines, the two halves of its 128-bit identifier and its number of words. White space at
-    its ends doesn't count."""
-    numbered = F.transform(F.split(text, "\n"), lambda s, n: F.struct(n.alias("line"), F.btrim(s, F.lit(ENDS)).alias("s")))
-    rows = docs.where(F.col(text).isNotNull()).select(_identity(F.col(key), F.col(text)).alias("d"), F.posexplode(F.filter(numbered, lambda x: x["s"] != "")).alias("i", "x"))
-    rows = rows.select("d", "i", "x.line", "x.s")
-    return rows.select("d", "i", "line", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), F.size(F.split("s", SPACES)).alias("w"))
+    among all lines, the two halves of its 128-bit identifier and its number of words, which is counted
+    up to min_words: whether lines have that many together does not depend on more. White space at its
+    ends doesn't count."""
+    named = docs.where(F.col(text).isNotNull()).select(_identity(F.col(key), F.col(text)).alias("d"), F.col(text).alias("text"))
+    numbered = F.transform(F.split("text", "\n"), lambda s, n: F.struct(n.alias("line"), _trimmed(s).alias("s")))
+    # beside the generator d would be computed for each line anew
+    rows = named.select("d", F.posexplode(F.filter(numbered, lambda x: x["s"] != "")).alias("i", "x")).select("d", "i", "x.line", "x.s")
+    return rows.select("d", "i", "line", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), F.size(F.split("s", SPACES, max(1, min_words))).alias("w"))
 
 
 def _ranked(classes: DataFrame, *order: str) -> DataFrame:
@@ -88,21 +97,26 @@ def longest_earlier(levels: list[DataFrame]) -> DataFrame:
     """
     every = reduce(DataFrame.unionByName, [level.select("d", "i", F.lit(a).alias("a"), "rank", "first") for a, level in enumerate(levels)])
     last = F.max(F.when(F.col("first") != _place(), F.col("a"))).over(Window.partitionBy("d", "i"))
-    every = stored(every.repartition("d").withColumn("last", F.coalesce(last, F.lit(-1))), "intervals")
+    top = F.max("a").over(Window.partitionBy("d"))
+    every = stored(every.repartition("d").withColumns({"last": F.coalesce(last, F.lit(-1)), "top": top}), "intervals")
     # at level 0 nothing is left to be tried, so that no place is needed there for others
     state = every.where("last = a OR (last < a AND a > 0)")
     state = state.select("d", "i", "a", F.expr("shiftleft(1, a)").alias("l"), F.col("first").alias("origin"), (F.col("last") == F.col("a")).alias("asks"))
-    ranks = every.select("d", F.col("i").alias("at"), F.expr("shiftleft(1, a)").alias("step"), F.col("rank").alias("next"))
+    ranks = every.select("d", F.col("i").alias("at"), F.expr("shiftleft(1, a)").alias("step"), F.col("rank").alias("next"), "a", "top")
     done = []
     for round_ in range(len(levels) - 1):
         done.append(state.where(F.col("a") <= round_))
         going = state.where(F.col("a") > round_).withColumns({"step": F.expr(f"shiftleft(1, a - 1 - {round_})"), "at": F.col("i") + F.col("l")})
-        joined = stored(going.join(ranks.where(F.col("step") <= 1 << (len(levels) - 2 - round_)), ["d", "at", "step"], "left"), "ahead")
-        parts = joined.where("next IS NOT NULL").groupBy("origin", "l", "next").agg(F.count("*").alias("n"), F.min(_place()).alias("head")).where("n > 1").drop("n")
-        split = joined.join(parts, ["origin", "l", "next"], "left")
-        moved = split.where("head IS NOT NULL").select("d", "i", "a", (F.col("l") + F.col("step")).alias("l"), F.col("head").alias("origin"), (F.col("asks") & (_place() != F.col("head"))).alias("asks"))
-        stay = split.where(F.col("head").isNull() | (_place() == F.col("head"))).select("d", "i", "a", "l", "origin", "asks")
-        state = stored(moved.unionByName(stay), "descent")
+        # asked for are only ranks that many levels below the document's highest
+        asked = ranks.where(F.col("a") + round_ < F.col("top")).drop("a", "top")
+        joined = stored(going.join(asked, ["d", "at", "step"], "left"), "ahead")
+        found = joined.where("next IS NOT NULL")
+        parts = found.groupBy("origin", "l", "next").agg(F.count("*").alias("n"), F.min(_place()).alias("head")).where("n > 1").drop("n")
+        moved = F.struct((F.col("l") + F.col("step")).alias("l"), F.col("head").alias("origin"), (F.col("asks") & (_place() != F.col("head"))).alias("asks"))
+        stay = F.struct("l", "origin", "asks")
+        on = F.when(F.col("head").isNull(), F.array(stay)).when(_place() == F.col("head"), F.array(moved, stay)).otherwise(F.array(moved))
+        split = found.join(parts, ["origin", "l", "next"], "left").select("d", "i", "a", F.explode(on).alias("x")).select("d", "i", "a", "x.*")
+        state = stored(split.unionByName(joined.where("next IS NULL").select("d", "i", "a", "l", "origin", "asks")), "descent")
     return reduce(DataFrame.unionByName, [*done, state]).where("asks").select("d", "i", "l", "origin")
 
 
@@ -111,7 +125,7 @@ def later_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     later copy of a run of min_words words or more; l and origin are the length, in lines, and the
     first place of the longest such run that begins there (null: none), maximal that no run which
     begins before reaches as far."""
-    rows = recurring(line_sequence(docs, key, text))
+    rows = recurring(line_sequence(docs, key, text, min_words))
     levels = suffix_levels(rows)
     sums = rows.select("d", "i", "line", "w", F.sum("w").over(Window.partitionBy("d").orderBy("i")).alias("c"))
     if not levels:
@@ -147,10 +161,10 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     starts = gone.withColumn("starts", (before.isNull() | (before != F.col("i") - 1)).cast("long"))
     split, d, lines, runs, longest = fresh(docs, "_split", "_d", "_lines", "_runs", "_longest")
     per = starts.groupBy(F.col("d").alias(d)).agg(F.collect_list("line").alias(lines), F.sum("starts").alias(runs), F.max("l").alias(longest))
-    joined = docs.withColumn(split, F.split(text, "\n")).join(per, _identity(F.col(key), F.col(text)) == F.col(d), "left")
+    joined = docs.join(per, _identity(F.col(key), F.col(text)) == F.col(d), "left").withColumn(split, F.split(text, "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lines))
     whole = F.array_join(F.transform(kept, lambda j: F.col(split)[j]), "\n")
-    n_lines = F.size(F.filter(split, lambda s: F.btrim(s, F.lit(ENDS)) != ""))
+    n_lines = F.size(F.filter(split, lambda s: F.ltrim(s, F.lit(ENDS)) != ""))
     added = {
         text: F.when(F.col(lines).isNull(), F.col(text)).otherwise(whole),
         "n_lines": F.when(F.col(split).isNull(), 0).otherwise(n_lines).cast("long"),

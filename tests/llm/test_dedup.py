@@ -173,6 +173,35 @@ def test_suffix_levels_and_the_longest_run(spark):
     assert [(r.d.k, r.i, r.l, r.origin.i) for r in runs] == [(2, 0, 9, 1)]
 
 
+def test_line_dedup_deals_out_texts_once_and_counts_words_as_far_as_needed(spark):
+    docs = spark.createDataFrame([(1, "\t" + "word " * 5000), (2, "a b\n\nc d e "), (3, None)], "doc_id long, text string")
+    lines = linededup.line_sequence(docs, "doc_id", "text")
+    assert sorted((r.d.k, r.line, r.w) for r in lines.collect()) == [(1, 0, linededup.MIN_WORDS), (2, 0, 2), (2, 2, 3)]
+    assert sorted((r.d.k, r.line, r.w) for r in linededup.line_sequence(docs, "doc_id", "text", 1).collect()) == [(1, 0, 1), (2, 0, 1), (2, 2, 1)]
+    kept = linededup.line_dedup(docs)
+    todo, dealt = [kept._jdf.queryExecution().sparkPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName().endswith("JoinExec"):
+            dealt += [node.children().apply(i).schema().simpleString() for i in range(2)]
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert dealt and not any("array<string>" in x for x in dealt)
+
+
+def test_ranks_of_documents_with_short_runs_are_not_asked_for(spark, monkeypatch):
+    run = [f"line number {i}" for i in range(16)]
+    rows = [(1, "\n".join(run)), (2, "\n".join(run))] + [(i, f"once {i}\nthe same line") for i in range(10, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    levels = linededup.suffix_levels(linededup.recurring(linededup.line_sequence(docs, "doc_id", "text")))
+    tables, stored = [], linededup.stored
+    monkeypatch.setattr(linededup, "stored", lambda df, name, keep=False: tables.append((name, df)) or stored(df, name, keep))
+    got = {(r.d.k, r.i): (r.l, r.origin.d.k, r.origin.i) for r in linededup.longest_earlier(levels).collect()}
+    assert got == {(2, i): (16 - i, 1, i) for i in range(16)} | {(i, 1): (1, 10, 1) for i in range(11, 90)}
+    ahead = [df for name, df in tables if name == "ahead"]
+    asked = [df._jdf.queryExecution().optimizedPlan().toString() for df in ahead]
+    assert len(ahead) == len(levels) - 1 and all("top" in x for x in asked)
+
+
 def test_a_run_of_short_lines_counts_by_its_words(spark):
     short = ["one two", "three", "four five", "six seven eight", "nine", "ten"]
     docs = spark.createDataFrame([(1, "\n".join(short)), (2, "\n".join(short[:4])), (3, "p\n" + "\n".join(short) + "\nq")], "doc_id long, text string")
