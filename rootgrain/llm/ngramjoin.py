@@ -380,8 +380,9 @@ def _across(families: DataFrame, labels: DataFrame, sets: DataFrame, done: DataF
     known = families.join(labels.toDF("b", "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     known = stored(known.select("a", "b", "label"), "family")
     main = known.groupBy("a", "label").agg(F.count("*").alias("m")).groupBy("a").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("all")).where("parts > 1").drop("parts")
-    split = known.join(main, "a").join(sets.select(F.col("set").alias("b"), "n", "bitmap"), "b")
-    held = stored(split.withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("all") / BLOCK))), "split")
+    split = stored(known.join(main, "a"), "split")
+    own = sets.where(maybe_in(sets, F.col("set"), split, F.col("b"))).select(F.col("set").alias("b"), "n", "bitmap")
+    held = stored(split.join(own, "b").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("all") / BLOCK))), "held")
     row = F.struct("b", "n", "bitmap", "label")
     blocks = held.groupBy("a", "block").agg(F.collect_list(row).alias("members"))
     odd = held.where("label != main").groupBy("a", "block").agg(F.collect_list(row).alias("odd")).select("a", "odd")

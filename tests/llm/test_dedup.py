@@ -49,6 +49,39 @@ def test_near_duplicates_of_nothing(spark):
     assert [tuple(r) for r in ngramjoin.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 1)]
 
 
+def test_only_sets_of_families_that_are_split_are_dealt_out(spark, monkeypatch):
+    name = lambda i: b"%016d" % i
+    bitmap = bytes(8)
+    sets = spark.createDataFrame([(name(i), 10, bitmap) for i in range(600)], "set binary, n long, bitmap binary")
+    families = spark.createDataFrame([(1, name(i)) for i in range(12)] + [(2, name(i)) for i in range(20, 40)], "a long, b binary")
+    labels = spark.createDataFrame([(name(i), name(0 if i < 10 else 10)) for i in range(12)] + [(name(i), name(20)) for i in range(20, 40)], "node binary, label binary")
+    tables, stored = {}, ngramjoin.stored
+    monkeypatch.setattr(ngramjoin, "stored", lambda df, name, keep=False: tables.setdefault(name, df) and stored(df, name, keep))
+    broadcasts = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = spark.createDataFrame([], "a binary, b binary")
+        pairs = {(r.a, r.b) for r in ngramjoin._across(families, labels, sets, done, 75, False, None).collect()}
+        held = tables.get("held", tables["split"])
+        assert held.count() == len(held.collect()) == 12
+        todo, dealt = [held._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "AdaptiveSparkPlanExec":
+                todo.append(node.executedPlan())
+            elif kind.endswith("QueryStageExec"):
+                todo.append(node.plan())
+            else:
+                todo += [node.children().apply(i) for i in range(node.children().size())]
+            if kind == "ShuffleExchangeExec":
+                dealt.append(node.metrics().apply("shuffleRecordsWritten").value())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
+    assert pairs == {(name(i), name(j)) for i in range(10) for j in (10, 11)}
+    assert dealt and max(dealt) <= 40
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in components.components(links).collect()}
