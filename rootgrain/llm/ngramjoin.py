@@ -1,9 +1,10 @@
 """Exact self-join of documents by the Jaccard similarity of their word shingles, down to components.
 
 Sets are joined through prefixes: under any order of all shingles, two sets that are similar enough
-share one of the first few shingles of each. The order is by hash, with the shingles that many
-documents hold at its end, so that common passages hardly ever get into a prefix. Set relations
-save the rest of the work:
+share one of the first few shingles of each. The order is by the power of four of the number of
+documents that hold a shingle, then by hash: what only a group of copies shares comes before what
+many documents share, so that common passages hardly ever get into a prefix, however large the
+table is. Set relations save the rest of the work:
 
 * index level: the sets in a shingle's list are ordered by size and by the shingle's position in
   them. Sets of one size are a block; whole blocks, and the rest of a block from a position on, are
@@ -31,19 +32,18 @@ from pyspark.sql import types as T
 from .common import byte_values, hashed_words, maybe_in, scratch, slices, stored, windows, without
 from .components import components, merged
 
-#: A shingle in this many documents goes to the end of the order.
-HOT = 4
 #: A list of more sets than this is compared with its pivot first.
 LONG = 8
-#: Hot shingles are told by the first 24 bits of their hash; only hashes in the lowest fifths matter for prefixes.
+#: How common a shingle is is told by the first 24 bits of its hash.
 HOT_BITS = 24
-COUNTED = int(0.4 * 2**32)
 #: Bytes of counted shingles, and of prefix entries, for each group of a shuffle.
 GROUP_BYTES = 8_000_000
+#: Shingles that a task packs together to have them counted.
+COUNTED = 2_000_000
 #: Prefix entries that a task packs together.
 ENTRIES = 300_000
-#: Bits of a set's hash in the lists.
-NAME_BITS = 40
+#: Bits of a set's hash, and of a shingle's, in the lists.
+NAME_BITS = TOKEN_BITS = 40
 #: Rows whose shingles a task holds at once.
 ROWS = 1000
 #: Pairs of list entries that a task looks at together.
@@ -134,35 +134,6 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, kind)
 
 
-def _hot(sets: DataFrame, total: int) -> np.ndarray:
-    """Which hashes, by their first bits, may belong to shingles of HOT documents or more: counted
-    over all sets, in ranges of the hash; a bitmap of fixed size comes back."""
-    ranges = 1 << min(HOT_BITS, max(3, math.ceil(math.log2(max(1, total * 3.2 / GROUP_BYTES)))))
-    shift = 32 - ranges.bit_length() + 1
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [h[: np.searchsorted(h, COUNTED)] for h in (_high(b) for b in batch.column(0).to_pylist())]
-            own = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint32)
-            at = np.flatnonzero(np.diff(own >> shift, prepend=-1)) if len(own) else np.empty(0, int)
-            yield pa.RecordBatch.from_pydict({"range": pa.array((own[at] >> shift).astype(np.int32)), "part": pa.array([x.tobytes() for x in np.split(own, at[1:])] if len(at) else [], pa.binary())})
-
-    def count(table: pa.Table) -> pa.Table:
-        own = np.sort(np.concatenate([np.frombuffer(b, "<u4") for b in table.column("part").to_pylist()]))
-        starts = np.flatnonzero(np.diff(own.astype(np.int64), prepend=-1))
-        many = np.diff(np.append(starts, len(own))) >= HOT
-        number = table.column("range")[0].as_py()
-        bits = np.zeros(1 << (HOT_BITS - ranges.bit_length() + 1), bool)
-        bits[(own[starts[many]] >> (32 - HOT_BITS)) & (len(bits) - 1)] = True
-        return pa.table({"range": pa.array([number], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    rows = sets.select("tokens").mapInArrow(deal, "range int, part binary").groupBy("range").applyInArrow(count, "range int, bits binary").collect()
-    hot = np.zeros((ranges, (1 << HOT_BITS) // ranges), bool)
-    for r in rows:
-        hot[r.range] = np.unpackbits(np.frombuffer(r.bits, np.uint8))[: hot.shape[1]]
-    return np.packbits(hot.ravel())
-
-
 def _planes(*columns: np.ndarray) -> bytes:
     """Columns of numbers by byte, all first ones, then all second ones, compressed: high bytes are mostly alike."""
     return pa.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), "zstd", asbytes=True)
@@ -179,17 +150,62 @@ def _unplaned(blob: bytes, n: int, kinds: list[tuple[str, int]]) -> list[np.ndar
     return out
 
 
+def _levels(sets: DataFrame, total: int) -> bytes:
+    """The power of four of the number of sets that hold a shingle, by the first bits of its hash (the
+    most common shingle there decides), counted over all sets in ranges of the hash; a byte for each
+    of 2 ** HOT_BITS beginnings comes back, compressed."""
+    ranges = 1 << min(HOT_BITS, max(3, math.ceil(math.log2(max(1, total * 8 / GROUP_BYTES)))))
+    shift = 32 - ranges.bit_length() + 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+
+        def packed() -> pa.RecordBatch:
+            own = np.sort(np.concatenate(parts))
+            parts.clear()
+            at = np.flatnonzero(np.diff(own >> shift, prepend=-1))
+            held = np.split(own, at[1:])
+            return pa.RecordBatch.from_pydict({"range": pa.array((own[at] >> shift).astype(np.int32)), "n": pa.array([len(x) for x in held], pa.int32()), "part": pa.array([_planes(np.diff(x, prepend=np.uint32(0))) for x in held], pa.binary())})
+
+        waiting = 0
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                parts.append(_high(blob))
+                waiting += len(parts[-1])
+                if waiting >= COUNTED:
+                    waiting = 0
+                    yield packed()
+        if waiting:
+            yield packed()
+
+    def count(table: pa.Table) -> pa.Table:
+        own = np.sort(np.concatenate([np.cumsum(_unplaned(b, n, [("<u4", 4)])[0], dtype=np.uint32) for b, n in zip(table.column("part").to_pylist(), table.column("n").to_pylist(), strict=True)]))
+        starts = np.flatnonzero(np.diff(own.astype(np.int64), prepend=-1))
+        power = ((np.frexp(np.diff(np.append(starts, len(own))))[1] - 1) >> 1).astype(np.uint8)
+        slot = (own[starts] >> (32 - HOT_BITS)) & ((1 << HOT_BITS) // ranges - 1)
+        first = np.flatnonzero(np.diff(slot.astype(np.int64), prepend=-1))
+        levels = np.zeros((1 << HOT_BITS) // ranges, np.uint8)
+        levels[slot[first]] = np.maximum.reduceat(power, first)
+        return pa.table({"range": pa.array([table.column("range")[0].as_py()], pa.int32()), "levels": pa.array([_planes(levels)], pa.binary())})
+
+    rows = sets.select("tokens").mapInArrow(deal, "range int, n int, part binary").groupBy("range").applyInArrow(count, "range int, levels binary").collect()
+    out = np.zeros((ranges, (1 << HOT_BITS) // ranges), np.uint8)
+    for r in rows:
+        out[r.range] = _unplaned(r.levels, out.shape[1], [("u1", 1)])[0]
+    return _planes(out.ravel())
+
+
 def _packed_entries(tokens: np.ndarray, names: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> bytes:
-    """Entries of a group in order of their shingles, these as differences: about 10 bytes an entry, over
+    """Entries of a group in order of their shingles, these as differences: about 11 bytes an entry, over
     however many groups a set's entries are dealt."""
-    name = np.ascontiguousarray(names.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : NAME_BITS // 8]
-    return _planes(np.diff(tokens, prepend=np.uint32(0)).astype("<u4"), name, place.astype("<u2"), sizes.astype("<u4"))
+    cut = lambda x, bits: np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : bits // 8]
+    return _planes(cut(np.diff(tokens, prepend=tokens.dtype.type(0)), TOKEN_BITS), cut(names, NAME_BITS), place.astype("<u2"), sizes.astype("<u4"))
 
 
 def _entries(blob: bytes, n: int) -> list[np.ndarray]:
     """(tokens, names, place, sizes) of _packed_entries()."""
-    steps, names, place, sizes = _unplaned(blob, n, [("<u4", 4), ("<i8", NAME_BITS // 8), ("<u2", 2), ("<u4", 4)])
-    return [np.cumsum(steps, dtype=np.uint32), names, place, sizes]
+    steps, names, place, sizes = _unplaned(blob, n, [("<i8", TOKEN_BITS // 8), ("<i8", NAME_BITS // 8), ("<u2", 2), ("<u4", 4)])
+    return [np.cumsum(steps), names, place, sizes]
 
 
 def _name() -> Column:
@@ -204,6 +220,16 @@ def _possible(i: np.ndarray, j: np.ndarray, size: np.ndarray, place: np.ndarray,
     return i[ok], j[ok]
 
 
+def _partnered(size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries of one list, in order of their sizes, are in a pair that sizes and places do not rule out."""
+    most = (100 + percent) * (size - place) // percent - size  # the largest size that the entry may be linked with
+    below = np.searchsorted(size, most, "right")
+    largest = np.maximum.accumulate(most)
+    second = np.maximum.accumulate(np.minimum(most, np.append(-1, largest[:-1])))
+    # an entry that may be linked with its own size is among those below, and needs another one there
+    return (below > 0) & (np.where(most >= size, second[below - 1], largest[below - 1]) >= size)
+
+
 def _block_pairs(at: np.ndarray, token: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of entries of one list, for all lists among the entries `at`, which are in order of token,
     size and place.
@@ -237,21 +263,22 @@ def _block_pairs(at: np.ndarray, token: np.ndarray, size: np.ndarray, place: np.
         yield at[np.repeat(i, many)], at[j]
 
 
-def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFrame:
+def _lists(sets: DataFrame, levels: bytes, total: int, percent: int) -> DataFrame:
     """Candidates from the shingles' lists: (kind 0, a, b) are pairs of sets to compare, (kind 1, a, b)
-    says that set b stands in a long list whose pivot is set a. Sets are given by a 40-bit hash of
-    their name; where two have one hash, both are compared."""
+    says that set b stands in a long list whose pivot is set a. Entries that sizes and places rule out
+    with all others of their list are not in it. Sets are given by a 40-bit hash of their name, shingles
+    by 40 bits; where two have one hash, both are compared."""
     groups = max(1, math.ceil(total * (100 - percent) / 100 * 18 / GROUP_BYTES))
-    sent = sets.sparkSession.sparkContext.broadcast(hot)
+    sent = sets.sparkSession.sparkContext.broadcast(levels)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.unpackbits(sent.value).view(bool)
+        level = _unplaned(sent.value, 1 << HOT_BITS, [("u1", 1)])[0]
         names, sizes, tokens, place = [], [], [], []
 
         def packed() -> pa.RecordBatch:
             many = [len(x) for x in tokens]
             own, at, name, size = np.concatenate(tokens), np.concatenate(place), np.repeat(np.array(names, np.int64), many), np.repeat(np.array(sizes, np.uint32), many)
-            group = (own * np.uint32(0x9E3779B1) >> np.uint32(8)) % groups
+            group = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(groups)
             order = np.lexsort((own, group))
             cut = np.searchsorted(group[order], np.arange(groups + 1))
             held = np.flatnonzero(np.diff(cut))
@@ -266,8 +293,8 @@ def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFr
                 high = _high(blob)
                 n = len(high)
                 first = n - (n * percent + 99) // 100 + 1
-                end = late[high >> (32 - HOT_BITS)] & (high < COUNTED)
-                own = np.concatenate([high[~end], high[end]])[:first] if end.any() else high[:first]
+                order = np.argsort(level[high >> (32 - HOT_BITS)], kind="stable")[:first]
+                own = _tokens(blob)[order] >> np.uint64(48 - TOKEN_BITS)
                 tokens.append(own)
                 place.append(np.minimum(np.arange(len(own)), FAR).astype(np.uint16))
                 names.append(name)
@@ -291,25 +318,28 @@ def _lists(sets: DataFrame, hot: np.ndarray, total: int, percent: int) -> DataFr
         token, who, place, size = token[new], who[new], place[new], size[new]
         starts = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
         long = np.diff(np.append(starts, len(token)))
-        found, members = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
+        found, members = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
             a, b = who[i], who[j]
-            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+            found.append(np.unique(np.minimum(a, b) << 32 | np.maximum(a, b)))
 
         short = np.repeat((long > 1) & (long <= LONG), long)
-        for i, j in _block_pairs(np.flatnonzero(short), token, size, place, percent):
-            keep(i, j)
         for start, m in zip(starts[long > LONG], long[long > LONG], strict=True):
-            at = np.arange(start, start + m)
+            at = start + np.flatnonzero(_partnered(size[start : start + m], place[start : start + m], percent))
+            if len(at) <= LONG:
+                short[at] = True
+                continue
             pivot = at[np.argmin(who[at])]
             rest = at[at != pivot]
-            keep(*_possible(np.full(m - 1, pivot), rest, size, place, percent))
-            members.append(np.stack([np.full(m, who[pivot]), who[at]], 1))
-        out = [np.unique(np.concatenate(x), axis=0) for x in (found, members)]
+            keep(*_possible(np.full(len(rest), pivot), rest, size, place, percent))
+            members.append(np.unique(who[pivot] << 32 | who[at]))
+        for i, j in _block_pairs(np.flatnonzero(short), token, size, place, percent):
+            keep(i, j)
+        out = [np.unique(np.concatenate(x)) for x in (found, members)]
         kinds = np.repeat(np.arange(2, dtype=np.int32), [len(x) for x in out])
         both = np.concatenate(out)
-        return pa.table({"kind": pa.array(kinds), "a": pa.array(names[both[:, 0]]), "b": pa.array(names[both[:, 1]])})
+        return pa.table({"kind": pa.array(kinds), "a": pa.array(names[both >> 32]), "b": pa.array(names[both & 0xFFFFFFFF])})
 
     dealt = sets.select(_name(), "tokens").mapInArrow(deal, "group int, n int, entries binary")
     return dealt.groupBy("group").applyInArrow(pairs, "kind int, a long, b long")
@@ -408,10 +438,10 @@ def _components(rows: DataFrame, percent: int) -> DataFrame:
     given = rows.where("tokens IS NOT NULL")
     total = int(given.agg(F.sum("n")).first()[0] or 0)
     with scratch(spark):
-        hot = _hot(given, total)
+        levels = _levels(given, total)
         sets = stored(given.groupBy("set").agg(F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "sets", keep=True)
     with scratch(spark):
-        found = stored(_lists(given, hot, total, percent), "candidates", keep=True)
+        found = stored(_lists(given, levels, total, percent), "candidates", keep=True)
     pairs = found.where("kind = 0").select("a", "b").distinct()
     with scratch(spark):
         near = stored(_near(pairs, sets, percent), "near")

@@ -275,3 +275,42 @@ def test_list_entries_cost_the_same_over_few_and_many_groups():
         assert all((a == b).all() for a, b in zip(given, ngramjoin._entries(blob, 6000), strict=True))
         size[sets] = len(blob) / 6000
     assert size[6000] < 11 and size[6000] < 1.5 * size[60]
+
+
+def test_common_passages_of_copies_make_no_families(spark, monkeypatch):
+    """All shingles of a text with several near copies are in several documents; what very many share comes last all the same."""
+    r = random.Random(21)
+    words = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    passage, rows = " ".join(words(40)), []
+    for group in range(30):
+        first, last = words(r.randint(60, 140)), words(r.randint(60, 140))
+        rows += [(100 * group + k, " ".join([*first, passage, *last, f"e{k}"])) for k in range(6)]
+    kinds, stored = [], ngramjoin.stored
+
+    def kept(df, name, keep=False):
+        out = stored(df, name, keep)
+        if name == "candidates":
+            kinds.extend(x.kind for x in out.collect())
+        return out
+
+    monkeypatch.setattr(ngramjoin, "stored", kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: x.component_id for x in ngramjoin.near_duplicates(docs).collect()} == {i: i - i % 100 for i, _ in rows}
+    assert kinds.count(0) >= 30 and kinds.count(1) == 0
+    assert sorted(x.doc_id for x in ngramjoin.one_of_each(docs).collect()) == [100 * group for group in range(30)]
+
+
+def test_entries_without_a_possible_partner_are_not_in_a_long_list():
+    r = np.random.default_rng(8)
+    for n in (1, 2, 9, 60):
+        size = np.sort(r.integers(5, 60, n))
+        place = np.minimum(r.integers(0, 15, n), size - 1)
+        i, j = ngramjoin._possible(*np.triu_indices(n, 1), size, place, 75)
+        assert np.flatnonzero(ngramjoin._partnered(size, place, 75)).tolist() == sorted({*i.tolist(), *j.tolist()})
+        assert n < 60 or 0 < len({*i.tolist(), *j.tolist()}) < n
+
+
+def test_shingles_in_lists_are_told_by_more_than_32_bits():
+    tokens = np.array([5, 5 + 2**32, 5 + 2**33, 2**40 - 1], np.uint64)
+    blob = ngramjoin._packed_entries(tokens, np.arange(4), np.arange(4, dtype=np.uint16), np.full(4, 9, np.uint32))
+    assert ngramjoin._entries(blob, 4)[0].tolist() == tokens.tolist()
